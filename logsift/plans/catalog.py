@@ -113,3 +113,413 @@ def network_facts(spark, sf_dir):
 def mask_messages(spark, sf_dir):
     return (_flat(spark, sf_dir).groupBy("template_id", "template")
             .agg(F.count(F.lit(1)).alias("n")))
+
+
+# ------------------------------------------------------------ log search --
+import hashlib  # noqa: E402
+
+from ..operators import anomalies as D  # noqa: E402
+from ..operators import query as Q  # noqa: E402
+from ..operators import stats as S  # noqa: E402
+from ..operators.templates import template_stats  # noqa: E402
+
+AS_OF = "2024-01-31 00:00:00"
+_PAGE_COLS = ["log_id", "timestamp", "level", "message", "source", "log_type", "template_id",
+              "file_id", "filename"]
+_ORDER = "ORDER BY timestamp DESC NULLS LAST, log_id ASC"
+
+
+def _file_id(name: str) -> str:
+    return hashlib.md5(name.encode()).hexdigest()[:16]
+
+
+def _tmpl_id(text: str) -> str:
+    return "tmpl_" + hashlib.md5(text.encode()).hexdigest()[:8]
+
+
+_SEARCHES = {
+    # name: (LogQuery, DuckDB WHERE)
+    "query_level": (Q.LogQuery(level="ERROR"), "level = 'ERROR'"),
+    "query_time_range": (Q.LogQuery(start_time="2024-01-10 00:00:00", end_time="2024-01-10 06:00:00",
+                                    limit=1000),
+                         "timestamp BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-10 06:00:00'"),
+    "query_source_regex": (Q.LogQuery(source="HOST-1[0-9]$"),
+                           "regexp_matches(source, '(?i)HOST-1[0-9]$')"),
+    "query_message_regex": (Q.LogQuery(message_contains="fail(ed)? for (click|view)"),
+                            "regexp_matches(message, '(?i)fail(ed)? for (click|view)')"),
+    "query_log_type": (Q.LogQuery(log_type="firewall", offset=50, limit=100),
+                       "log_type = 'firewall'"),
+    "query_protocol": (Q.LogQuery(protocol="tcp"), "list_contains(protocols, 'TCP')"),
+    "query_ip": (Q.LogQuery(ip_address="10.0.1.8"),
+                 "(list_contains(ip_addresses, '10.0.1.8') OR src_ip = '10.0.1.8' OR dst_ip = '10.0.1.8')"),
+    "query_network_info": (Q.LogQuery(has_network_info=False), "NOT has_network_info"),
+    "query_template": (Q.LogQuery(template_id=_tmpl_id("tcp connection failed for error")),
+                       f"template_id = '{_tmpl_id('tcp connection failed for error')}'"),
+    "query_file": (Q.LogQuery(file_id=_file_id("file-3.log"), level="INFO"),
+                   f"file_id = '{_file_id('file-3.log')}' AND level = 'INFO'"),
+    "query_page": (Q.LogQuery(levels=("ERROR", "WARN"), log_type="docker", preset="7d", as_of=AS_OF,
+                              sort_by="level", sort_desc=False, offset=20, limit=50),
+                   "level IN ('ERROR', 'WARN') AND log_type = 'docker' AND "
+                   f"timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY"),
+}
+
+
+def _search_query(lq: Q.LogQuery):
+    def build(spark, sf_dir):
+        return Q.query_logs(tables.logs(spark, sf_dir), lq).select(*_PAGE_COLS)
+    return build
+
+
+for _name, (_lq, _where) in _SEARCHES.items():
+    _ord = ("ORDER BY level ASC NULLS FIRST, log_id ASC" if _lq.sort_by == "level" else _ORDER)
+    register(_name, with_logs(
+        f"SELECT {', '.join(_PAGE_COLS)} FROM logs_n WHERE {_where} {_ord} "
+        f"LIMIT {_lq.limit} OFFSET {_lq.offset}"))(_search_query(_lq))
+
+
+@register("query_total", with_logs(
+    "SELECT count(*) AS total_count FROM logs_n WHERE level = 'ERROR' AND "
+    "regexp_matches(source, '(?i)host-1')"))
+def query_total(spark, sf_dir):
+    return Q.total_count(tables.logs(spark, sf_dir), Q.LogQuery(level="ERROR", source="host-1"))
+
+
+@register("feed_recent", with_logs(
+    f"SELECT {', '.join(_PAGE_COLS)} FROM logs_n WHERE timestamp >= TIMESTAMP '{AS_OF}' - "
+    f"INTERVAL 5 MINUTE {_ORDER} LIMIT 10"))
+def feed_recent(spark, sf_dir):
+    """W19/R3 batch form: last 5 minutes before as_of, newest 10."""
+    return Q.recent(tables.logs(spark, sf_dir), AS_OF, 5, 10).select(*_PAGE_COLS)
+
+
+# ------------------------------------------------------------ statistics --
+def _logs(spark, sf_dir):
+    return tables.logs(spark, sf_dir)
+
+
+@register("stats_totals", with_logs(
+    "SELECT count(*) AS total_logs, count(DISTINCT template_id) AS total_templates, "
+    "count(DISTINCT file_id) AS total_files FROM logs_n"))
+def stats_totals(spark, sf_dir):
+    return S.totals(_logs(spark, sf_dir))
+
+
+def _count_by_sql(key, top=None, where=""):
+    lim = f" LIMIT {top}" if top else ""
+    return with_logs(f"SELECT {key}, count(*) AS count FROM logs_n {where} GROUP BY {key} "
+                     f"ORDER BY count DESC, {key} ASC NULLS FIRST{lim}")
+
+
+@register("stats_levels", _count_by_sql("level"))
+def stats_levels(spark, sf_dir):
+    return S.count_by(_logs(spark, sf_dir), "level")
+
+
+@register("stats_sources_top10", _count_by_sql("source", 10))
+def stats_sources_top10(spark, sf_dir):
+    return S.count_by(_logs(spark, sf_dir), "source", 10)
+
+
+@register("stats_types", _count_by_sql("log_type"))
+def stats_types(spark, sf_dir):
+    return S.count_by(_logs(spark, sf_dir), "log_type")
+
+
+@register("stats_files_top10", _count_by_sql("filename", 10, "WHERE file_id IS NOT NULL"))
+def stats_files_top10(spark, sf_dir):
+    return S.top_files(_logs(spark, sf_dir), 10)
+
+
+@register("stats_network", with_logs(
+    "SELECT (SELECT count(*) FROM logs_n WHERE has_network_info) AS logs_with_network_info, "
+    "(SELECT count(DISTINCT ip) FROM (SELECT unnest(ip_addresses) AS ip FROM logs_n)) AS unique_ips"))
+def stats_network(spark, sf_dir):
+    return S.network_summary(_logs(spark, sf_dir))
+
+
+@register("stats_top_protocols", with_logs(
+    "SELECT protocol, count(*) AS count FROM (SELECT unnest(protocols) AS protocol FROM logs_n) "
+    "GROUP BY protocol ORDER BY count DESC, protocol ASC NULLS FIRST LIMIT 10"))
+def stats_top_protocols(spark, sf_dir):
+    return S.top_protocols(_logs(spark, sf_dir), 10)
+
+
+@register("stats_hourly", with_logs(
+    f"SELECT strftime(timestamp, '%Y-%m-%d %H:00') AS hour, count(*) AS count FROM logs_n "
+    f"WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR GROUP BY 1"))
+def stats_hourly(spark, sf_dir):
+    return S.hourly_activity(_logs(spark, sf_dir), AS_OF, 24)
+
+
+@register("file_level_dist", with_logs(
+    "SELECT file_id, level, count(*) AS count FROM logs_n GROUP BY file_id, level"))
+def file_level_dist(spark, sf_dir):
+    return S.file_distribution(_logs(spark, sf_dir), "level")
+
+
+@register("file_type_dist", with_logs(
+    "SELECT file_id, log_type, count(*) AS count FROM logs_n GROUP BY file_id, log_type"))
+def file_type_dist(spark, sf_dir):
+    return S.file_distribution(_logs(spark, sf_dir), "log_type")
+
+
+@register("file_network", with_logs(
+    """SELECT n.file_id, n.logs_with_network_info, coalesce(p.unique_protocols, 0) AS unique_protocols,
+              coalesce(i.unique_ips, 0) AS unique_ips
+       FROM (SELECT file_id, count(*) AS logs_with_network_info FROM logs_n WHERE has_network_info GROUP BY file_id) n
+       LEFT JOIN (SELECT file_id, count(DISTINCT v) AS unique_protocols FROM
+                  (SELECT file_id, unnest(protocols) AS v FROM logs_n WHERE has_network_info) GROUP BY file_id) p
+              ON n.file_id = p.file_id
+       LEFT JOIN (SELECT file_id, count(DISTINCT v) AS unique_ips FROM
+                  (SELECT file_id, unnest(ip_addresses) AS v FROM logs_n WHERE has_network_info) GROUP BY file_id) i
+              ON n.file_id = i.file_id"""))
+def file_network(spark, sf_dir):
+    return S.file_network(_logs(spark, sf_dir))
+
+
+@register("file_date_range", with_logs(
+    "SELECT file_id, min(timestamp) AS earliest, max(timestamp) AS latest FROM logs_n GROUP BY file_id"))
+def file_date_range(spark, sf_dir):
+    return S.file_date_range(_logs(spark, sf_dir))
+
+
+@register("file_error_rate", with_logs(
+    """SELECT file_id, count(*) AS total_logs, count(*) FILTER (WHERE level = 'ERROR') AS error_count,
+              count(*) FILTER (WHERE has_network_info) AS with_network_info,
+              count(*) - count(*) FILTER (WHERE has_network_info) AS without_network_info,
+              round(100.0 * count(*) FILTER (WHERE level = 'ERROR') / count(*), 2) AS error_rate,
+              round(100.0 * count(*) FILTER (WHERE level = 'ERROR') / count(*), 2) > 5 AS error_alarm
+       FROM logs_n GROUP BY file_id"""))
+def file_error_rate(spark, sf_dir):
+    return S.file_error_rate(_logs(spark, sf_dir))
+
+
+@register("file_hour_of_day", with_logs(
+    "SELECT file_id, lpad(CAST(hour(timestamp) AS VARCHAR), 2, '0') || ':00' AS hour, count(*) AS count "
+    "FROM logs_n GROUP BY 1, 2"))
+def file_hour_of_day(spark, sf_dir):
+    return S.file_hour_of_day(_logs(spark, sf_dir))
+
+
+@register("level_error_rate", with_logs(
+    "SELECT round(100.0 * count(*) FILTER (WHERE level = 'ERROR') / count(*), 2) AS error_rate, "
+    "round(100.0 * count(*) FILTER (WHERE level = 'ERROR') / count(*), 2) > 5 AS error_alarm FROM logs_n"))
+def level_error_rate(spark, sf_dir):
+    return S.error_rate_from_levels(S.count_by(_logs(spark, sf_dir), "level"))
+
+
+_TEMPLATES_SQL = """templates AS (
+  SELECT template_id, arg_min(template, ingest_seq) AS template, count(*) AS count,
+         min(timestamp) AS first_seen, max(timestamp) AS last_seen
+  FROM logs_n WHERE template_id IS NOT NULL GROUP BY template_id)"""
+
+
+def _with_templates(select_sql: str) -> str:
+    return with_logs(select_sql, _TEMPLATES_SQL)
+
+
+@register("template_stats", _with_templates(
+    "SELECT template_id, template, count, first_seen, last_seen FROM templates"))
+def template_stats_q(spark, sf_dir):
+    return template_stats(_logs(spark, sf_dir)).select(
+        "template_id", "template", "count", "first_seen", "last_seen")
+
+
+@register("template_top", _with_templates(
+    "SELECT template_id, template, count FROM templates ORDER BY count DESC, template_id LIMIT 10"))
+def template_top(spark, sf_dir):
+    """The ten most frequent templates."""
+    t = template_stats(_logs(spark, sf_dir))
+    return Q.search_templates(t, None, "count").limit(10).select("template_id", "template", "count")
+
+
+@register("template_search", _with_templates(
+    "SELECT template_id, template, count, first_seen FROM templates "
+    "WHERE contains(lower(template), 'connection') OR contains(lower(template_id), 'connection')"))
+def template_search(spark, sf_dir):
+    """Substring search over templates."""
+    t = template_stats(_logs(spark, sf_dir))
+    return Q.search_templates(t, "Connection", "first_seen").select(
+        "template_id", "template", "count", "first_seen")
+
+
+@register("template_summary", _with_templates(
+    f"SELECT count(*) AS total_templates, count(*) FILTER (WHERE last_seen >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR) "
+    "AS active_templates, 0 AS anomalous_templates, CAST(round(avg(count)) AS BIGINT) AS avg_count FROM templates"))
+def template_summary(spark, sf_dir):
+    return S.template_summary(template_stats(_logs(spark, sf_dir)), AS_OF)
+
+
+@register("template_timeline", with_logs(
+    "SELECT template_id, CAST(timestamp AS DATE) AS date, count(*) AS count FROM logs_n "
+    "GROUP BY 1, 2"))
+def template_timeline(spark, sf_dir):
+    """Rows per template per day."""
+    return (_logs(spark, sf_dir).groupBy("template_id", F.to_date("timestamp").alias("date"))
+            .agg(F.count(F.lit(1)).alias("count")))
+
+
+# ------------------------------------------------------------- detectors --
+_DETECT_COLS = ["timestamp", "anomaly_type", "severity", "description", "log_count", "score"]
+_RECENT = "recent AS (SELECT * FROM logs_n WHERE timestamp >= TIMESTAMP '{as_of}' - INTERVAL {h} HOUR)"
+
+
+def _volume_cte(hours: int) -> str:
+    return _RECENT.format(as_of=AS_OF, h=hours) + """,
+hourly AS (SELECT date_trunc('hour', timestamp) AS hour, count(*) AS n FROM recent GROUP BY 1),
+cal AS (SELECT unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM hourly),
+series AS (SELECT cal.hour, coalesce(h.n, 0) AS n FROM cal LEFT JOIN hourly h ON cal.hour = h.hour),
+s1 AS (SELECT hour, n, count(*) OVER () AS cnt, row_number() OVER (ORDER BY hour) AS rn,
+              list(CAST(n AS DOUBLE)) OVER (ORDER BY hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS arr
+       FROM series),
+s2 AS (SELECT *, least(24, cnt - 1) AS w FROM s1),
+s3 AS (SELECT *, list_slice(arr, len(arr) - w + 1, len(arr)) AS lastw FROM s2),
+s4 AS (SELECT hour, n, cnt,
+              CASE WHEN w >= 2 AND rn >= w THEN list_avg(lastw) END AS rolling_mean,
+              CASE WHEN w >= 2 AND rn >= w THEN sqrt(list_sum(list_transform(lastw, lambda x: (x - list_avg(lastw)) * (x - list_avg(lastw)))) / (w - 1)) END AS rolling_std
+       FROM s3),
+s5 AS (SELECT *, (n - rolling_mean) / (rolling_std + 1e-6) AS z FROM s4)"""
+
+
+def _volume_sql(hours: int) -> str:
+    sel = """SELECT hour AS timestamp, CASE WHEN z > 0 THEN 'VOLUME_SPIKE' ELSE 'VOLUME_DROP' END AS anomaly_type,
+       CASE WHEN abs(z) > 5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+       (CASE WHEN z > 0 THEN 'Unusual spike' ELSE 'Unusual drop' END) || ' in log volume: ' || CAST(n AS VARCHAR)
+         || ' logs (z-score: ' || printf('%.2f', z) || ')' AS description,
+       CAST(n AS BIGINT) AS log_count, abs(z) AS score, z AS z_score, rolling_mean, rolling_std
+FROM s5 WHERE cnt >= 3 AND abs(z) > 3"""
+    return with_logs(sel, _volume_cte(hours))
+
+
+def _volume(hours):
+    def build(spark, sf_dir):
+        return D.detect_volume(_logs(spark, sf_dir), AS_OF, hours).select(
+            *_DETECT_COLS, "z_score", "rolling_mean", "rolling_std")
+    return build
+
+
+register("anomaly_volume", _volume_sql(24))(_volume(24))
+register("anomaly_volume_30d", _volume_sql(24 * 31))(_volume(24 * 31))
+
+
+@register("hourly_gapfill_rolling_z", with_logs(
+    "SELECT hour, n, rolling_mean, rolling_std, z FROM s5", _volume_cte(24 * 31)))
+def hourly_gapfill_rolling_z(spark, sf_dir):
+    """N1-N3 over the whole table: gap-filled hourly counts, trailing stats, z."""
+    series = D.hourly_volume(D.recent_logs(_logs(spark, sf_dir), AS_OF, 24 * 31))
+    return D.rolling_z(series).select("hour", "n", "rolling_mean", "rolling_std", "z")
+
+
+def _error_rate_sql(hours: int) -> str:
+    cte = _RECENT.format(as_of=AS_OF, h=hours) + """,
+hl AS (SELECT date_trunc('hour', timestamp) AS hour, count(*) AS total,
+              count(*) FILTER (WHERE level IN ('ERROR', 'CRITICAL', 'FATAL', 'WARN')) AS errors
+       FROM recent GROUP BY 1),
+r AS (SELECT *, errors / (total + 1e-6) AS rate, row_number() OVER (ORDER BY hour DESC) AS rn FROM hl),
+b AS (SELECT *, coalesce(avg(CASE WHEN rn > 1 THEN rate END) OVER (), 0.0) AS baseline_rate FROM r)"""
+    sel = """SELECT hour AS timestamp, 'HIGH_ERROR_RATE' AS anomaly_type,
+       CASE WHEN rate > 0.5 THEN 'CRITICAL' ELSE 'HIGH' END AS severity,
+       'High error rate detected: ' || printf('%.2f', rate * 100) || '% (' || CAST(errors AS VARCHAR)
+         || ' errors out of ' || CAST(total AS VARCHAR) || ' logs)' AS description,
+       CAST(total AS BIGINT) AS log_count, rate AS score, errors AS error_count, baseline_rate
+FROM b WHERE rate > 0.1 AND rate > baseline_rate * 2"""
+    return with_logs(sel, cte)
+
+
+def _error_rate(hours):
+    def build(spark, sf_dir):
+        return D.detect_error_rate(_logs(spark, sf_dir), AS_OF, hours).select(
+            *_DETECT_COLS, "error_count", "baseline_rate")
+    return build
+
+
+register("anomaly_error_rate", _error_rate_sql(24))(_error_rate(24))
+register("anomaly_error_rate_30d", _error_rate_sql(24 * 31))(_error_rate(24 * 31))
+
+
+def _new_templates_sql(hours: int) -> str:
+    cte = _TEMPLATES_SQL + ",\n" + _RECENT.format(as_of=AS_OF, h=hours) + f""",
+seen AS (SELECT template_id, count(*) AS count FROM recent WHERE template_id IS NOT NULL GROUP BY 1),
+t AS (SELECT s.template_id, s.count, h.first_seen >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR AS is_new
+      FROM seen s LEFT JOIN templates h ON s.template_id = h.template_id),
+a AS (SELECT count(*) AS total_templates, count(*) FILTER (WHERE is_new) AS new_templates,
+             coalesce(sum(CASE WHEN is_new THEN count END), 0) AS new_rows FROM t),
+r AS (SELECT *, new_templates / greatest(total_templates, 1) AS ratio FROM a)"""
+    sel = f"""SELECT TIMESTAMP '{AS_OF}' AS timestamp, 'NEW_TEMPLATE_SURGE' AS anomaly_type,
+       CASE WHEN ratio > 0.2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+       'Unusual number of new log templates: ' || CAST(new_templates AS VARCHAR) || ' new templates ('
+         || printf('%.1f', ratio * 100) || '% of total)' AS description,
+       CAST(new_rows AS BIGINT) AS log_count, ratio AS score,
+       new_templates AS new_template_count, total_templates AS total_template_count
+FROM r WHERE ratio > 0.05"""
+    return with_logs(sel, cte)
+
+
+def _new_templates(hours):
+    def build(spark, sf_dir):
+        logs = _logs(spark, sf_dir)
+        return D.detect_new_templates(logs, template_stats(logs), AS_OF, hours).select(
+            *_DETECT_COLS, "new_template_count", "total_template_count")
+    return build
+
+
+register("anomaly_new_templates", _new_templates_sql(24))(_new_templates(24))
+register("anomaly_new_templates_7d", _new_templates_sql(24 * 7))(_new_templates(24 * 7))
+
+
+def _rare_sql(hours: int) -> str:
+    cte = _RECENT.format(as_of=AS_OF, h=hours) + f""",
+hist AS (SELECT template_id, count(*) AS hist_count FROM logs_n
+         WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY 1),
+p5 AS (SELECT quantile_cont(hist_count, 0.05) AS rare_threshold FROM hist),
+rare AS (SELECT hist.*, p5.rare_threshold FROM hist, p5 WHERE hist_count <= rare_threshold),
+act AS (SELECT r.template_id, count(*) AS recent_count, arg_min(r.template, r.ingest_seq) AS template,
+               any_value(rare.hist_count) AS historical_avg, any_value(rare.rare_threshold) AS rare_threshold
+        FROM recent r JOIN rare ON r.template_id = rare.template_id
+        WHERE r.timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 2 HOUR GROUP BY 1)"""
+    sel = f"""SELECT TIMESTAMP '{AS_OF}' AS timestamp, 'RARE_TEMPLATE_ACTIVITY' AS anomaly_type,
+       'MEDIUM' AS severity,
+       'Unusual activity in rare template: ''' || substr(template, 1, 100) || '...'' ('
+         || CAST(recent_count AS VARCHAR) || ' occurrences)' AS description,
+       CAST(recent_count AS BIGINT) AS log_count, recent_count / rare_threshold AS score,
+       template_id, recent_count, CAST(historical_avg AS DOUBLE) AS historical_avg, rare_threshold
+FROM act WHERE recent_count > rare_threshold * 3"""
+    return with_logs(sel, cte)
+
+
+def _rare(hours):
+    def build(spark, sf_dir):
+        return D.detect_rare_templates(_logs(spark, sf_dir), AS_OF, hours).select(
+            *_DETECT_COLS, "template_id", "recent_count", "historical_avg", "rare_threshold")
+    return build
+
+
+register("anomaly_rare_templates", _rare_sql(24))(_rare(24))
+
+
+def _silence_sql(hours: int) -> str:
+    cte = _RECENT.format(as_of=AS_OF, h=hours) + """,
+sh AS (SELECT source, date_trunc('hour', timestamp) AS hour, count(*) AS n FROM recent
+       WHERE source IS NOT NULL GROUP BY 1, 2),
+hrs AS (SELECT hour, row_number() OVER (ORDER BY hour DESC) AS hour_rank, count(*) OVER () AS n_hours
+        FROM (SELECT DISTINCT hour FROM sh)),
+per AS (SELECT source, sum(n) AS total, sum(CASE WHEN hour_rank <= 2 THEN n ELSE 0 END) AS recent_n,
+               sum(CASE WHEN hour_rank > 2 THEN n ELSE 0 END) AS earlier, any_value(n_hours) AS n_hours
+        FROM sh JOIN hrs USING (hour) GROUP BY source),
+a AS (SELECT *, CASE WHEN n_hours > 2 THEN earlier / (n_hours - 2) ELSE 0.0 END AS historical_avg FROM per)"""
+    sel = f"""SELECT TIMESTAMP '{AS_OF}' AS timestamp, 'SOURCE_SILENCE' AS anomaly_type, 'MEDIUM' AS severity,
+       'Source ''' || source || ''' has gone silent (usually produces ' || printf('%.1f', historical_avg)
+         || ' logs/hour)' AS description, CAST(0 AS BIGINT) AS log_count, historical_avg AS score,
+       source, historical_avg
+FROM a WHERE total >= 10 AND recent_n = 0 AND historical_avg > 5"""
+    return with_logs(sel, cte)
+
+
+def _silence(hours):
+    def build(spark, sf_dir):
+        return D.detect_source_silence(_logs(spark, sf_dir), AS_OF, hours).select(
+            *_DETECT_COLS, "source", "historical_avg")
+    return build
+
+
+register("anomaly_source_silence", _silence_sql(24))(_silence(24))

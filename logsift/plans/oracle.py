@@ -218,7 +218,9 @@ def _json_only(key: str) -> str:
     return f"CASE log_type WHEN 'json' THEN {_json(key)} END"
 
 
-def with_logs(select_sql: str) -> str:
-    """Full oracle query: the logs CTE followed by the given SELECT, which
-    refers to the view ``logs_n`` (logs + has_network_info)."""
-    return f"WITH {logs_cte()}\n{select_sql}"
+def with_logs(select_sql: str, extra_ctes: str = "") -> str:
+    """Full oracle query: the logs CTE (and any extra CTEs) followed by the
+    given SELECT, which refers to the view ``logs_n`` (logs +
+    has_network_info)."""
+    extra = f",\n{extra_ctes}" if extra_ctes else ""
+    return f"WITH {logs_cte()}{extra}\n{select_sql}"
