@@ -121,6 +121,9 @@ EXTRA_DELIMITERS = (
     "<", ">", "|", "\\", "/", "?", "!", ";", "&", "%",
     "$", "#", "@", "^", "*", "+", "-", "_", "~", "`",
 )
+# template ids: prefix + this many hex digits of md5(template text); 64 bits
+# keep distinct templates apart even with billions of them (our rule)
+TEMPLATE_ID_HEX = 16
 DRAIN_DEPTH = 4
 DRAIN_SIMILARITY = 0.4
 DRAIN_MAX_CHILDREN = 100

@@ -12,23 +12,48 @@ NETWORK_INFO_FIELDS = ("ip_addresses", "src_ip", "dst_ip", "ip_address", "src_po
                        "dst_port", "protocol", "ports", "protocols", "mac_addresses")
 
 
-def _all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), 1)
+def _all(text: Column, pattern: str, guard: Column | None = None) -> Column:
+    """All matches of group 1.  ``guard`` is a cheap substring test that is
+    true whenever the pattern can match; rows failing it skip the regex."""
+    found = F.regexp_extract_all(text, F.lit(pattern), 1)
+    if guard is None:
+        return found
+    return F.when(guard, found).otherwise(F.array().cast("array<string>"))
+
+
+def _has(text: Column, *needles: str) -> Column:
+    cond = None
+    for n in needles:
+        c = text.contains(n)
+        cond = c if cond is None else (cond | c)
+    return cond
+
+
+# substring guards per pattern (on the lower-cased text), same order as
+# PORT_RES / PROTOCOL_RES; a pattern can only match if its guard holds
+_PORT_GUARDS = (("port",), ("src_port", "spt"), ("dst_port", "dpt"), (":",))
+_PROTOCOL_GUARDS = (("proto",), ("tcp", "udp", "icmp", "http", "ftp", "ssh", "smtp", "dns",
+                                 "dhcp", "snmp"))
 
 
 def _none_if_empty(arr: Column) -> Column:
     return F.when(F.size(arr) > 0, arr)
 
 
+def _ips(text: Column) -> Column:
+    return _all(text, K.IP_RE, text.contains("."))
+
+
 def ip_addresses(text: Column) -> Column:
     """every IPv4-shaped token in order, duplicates kept; NULL when none."""
-    return _none_if_empty(_all(text, K.IP_RE))
+    return _none_if_empty(_ips(text))
 
 
 def ports(text: Column) -> Column:
     """four patterns in pattern order, first occurrence of each text kept,
     only values 1..65535 (the text itself is kept, so '080' != '80')."""
-    found = F.concat(*[_all(text, p) for p in K.PORT_RES])
+    low = F.lower(text)
+    found = F.concat(*[_all(text, p, _has(low, *g)) for p, g in zip(K.PORT_RES, _PORT_GUARDS)])
     in_range = F.filter(
         found, lambda p: F.coalesce(p.try_cast("bigint").between(1, 65535), F.lit(False)))
     return _none_if_empty(F.array_distinct(in_range))
@@ -36,13 +61,15 @@ def ports(text: Column) -> Column:
 
 def protocols(text: Column) -> Column:
     """keyed protocols, then the known protocol words; upper, distinct."""
-    found = F.concat(*[_all(text, p) for p in K.PROTOCOL_RES])
+    low = F.lower(text)
+    found = F.concat(*[_all(text, p, _has(low, *g))
+                       for p, g in zip(K.PROTOCOL_RES, _PROTOCOL_GUARDS)])
     return _none_if_empty(F.array_distinct(F.transform(found, lambda p: F.upper(p))))
 
 
 def mac_addresses(text: Column) -> Column:
     """F5."""
-    return _none_if_empty(_all(text, K.MAC_RE))
+    return _none_if_empty(_all(text, K.MAC_RE, _has(text, ":", "-")))
 
 
 def protocol_name(proto: Column) -> Column:
@@ -62,7 +89,7 @@ def network_info(text: Column, field_src_ip: Column, field_dst_ip: Column,
     ``text`` should be a column reference (not a big expression) since it is
     scanned by several patterns.
     """
-    ips = _all(text, K.IP_RE)
+    ips = _ips(text)
     n = F.size(ips)
     members = {
         "ip_addresses": _none_if_empty(ips),

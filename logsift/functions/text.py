@@ -13,11 +13,19 @@ from .. import constants as K
 MASK_SENTINEL = "\u0001"
 
 
+def _mask_guards(text: Column) -> tuple:
+    """Per masking rule, a cheap test that holds whenever the rule can match
+    (uuid: '-', long hex: 32+ characters, ISO time: 'T' and ':', e-mail: '@')."""
+    return (text.contains("-"), F.length(text) >= 32,
+            text.contains("T") & text.contains(":"), None, text.contains("@"))
+
+
 def mask(text: Column) -> Column:
     """the five masking rules, applied in order."""
     out = text
-    for pattern in K.MASK_RES:
-        out = F.regexp_replace(out, pattern, MASK_SENTINEL)
+    for pattern, guard in zip(K.MASK_RES, _mask_guards(text)):
+        replaced = F.regexp_replace(out, pattern, MASK_SENTINEL)
+        out = replaced if guard is None else F.when(guard, replaced).otherwise(out)
     return out
 
 
@@ -36,9 +44,9 @@ def masked_message(text: Column) -> Column:
     return F.array_join(tokens(mask(text)), " ")
 
 
-def short_md5_id(prefix: str, text: Column) -> Column:
-    """prefix + first 8 hex digits of md5(text)."""
-    return F.concat(F.lit(prefix), F.substring(F.md5(text), 1, 8))
+def short_md5_id(prefix: str, text: Column, digits: int = K.TEMPLATE_ID_HEX) -> Column:
+    """prefix + the first hex digits of md5(text)."""
+    return F.concat(F.lit(prefix), F.substring(F.md5(text), 1, digits))
 
 
 def hour_bucket_text(ts: Column) -> Column:

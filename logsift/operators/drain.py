@@ -1,0 +1,200 @@
+"""Template mining (T1): fixed-depth tree clustering of tokenised messages,
+after He et al., "Drain: An Online Log Parsing Approach with Fixed Depth
+Tree" (ICWS 2017), run as a Spark job.
+
+Plan:
+
+1. Distinct masked messages with their row count and first arrival
+   (``groupBy`` with partial aggregation: a message that holds a third of all
+   rows costs one partial row per task).
+2. Tree path (the leaf): token count, then the first ``depth - 2`` tokens,
+   a token holding a digit becomes ``<*>``.  Leaves do not interact, so the
+   leaf is the partition key of the clustering.
+3. A leaf with more than ``max_leaf`` distinct messages is split by a hash of
+   the message into buckets of at most about ``max_leaf`` messages each; the
+   clusters found per bucket are merged by a second Drain pass over the
+   bucket clusters of that leaf (their number is small: templates, not
+   messages).  Leaves below the bound keep exact sequential Drain semantics.
+4. ``groupBy(leaf, bucket).applyInPandas``: within a group, messages in
+   arrival order join the most similar cluster (share of equal non-wildcard
+   positions, ties to the cluster with more wildcards) when the similarity
+   is at least ``sim``; unequal positions become ``<*>``; otherwise a new
+   cluster starts.  Vectorised with numpy over the group's clusters.
+5. The message -> template mapping is joined back to the logs (J6).
+
+Deviations from the library the reference calls: each distinct message is
+clustered once (its row count is carried as weight), and no child or
+cluster cap evicts clusters (caps would drop templates).
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..session import ensure_checkpoint_dir
+
+PARAM = K.MASK_TOKEN
+MAX_LEAF = 20_000
+
+_STAGE1_SCHEMA = ("leaf string, bucket int, message string, rows long, n_buckets int, cluster int, "
+                  "cluster_template string, cluster_seq long")
+_STAGE2_SCHEMA = "leaf string, bucket int, cluster int, merged_template string"
+
+
+def _leaf_key(tokens_col: F.Column, depth: int) -> F.Column:
+    n_prefix = max(depth - 2, 0)
+    parts = [F.size(tokens_col).cast("string")]
+    for i in range(n_prefix):
+        t = F.get(tokens_col, i)
+        parts.append(F.when(t.rlike(r"\d"), F.lit(PARAM)).otherwise(F.coalesce(t, F.lit(""))))
+    return F.concat_ws("\u0002", *parts)
+
+
+def drain_group(token_lists: list[list[str]], sim: float) -> tuple[np.ndarray, list[list[str]]]:
+    """Sequential Drain over messages of one leaf (all of equal length).
+
+    Returns the cluster index of each message and the cluster templates.
+    """
+    n = len(token_lists)
+    if n == 0:
+        return np.zeros(0, dtype=np.int64), []
+    length = len(token_lists[0])
+    assign = np.zeros(n, dtype=np.int64)
+    if length == 0:
+        return assign, [[]]
+    vocab: dict[str, int] = {PARAM: -1}
+    ids = np.array([[vocab.setdefault(t, len(vocab)) for t in toks] for toks in token_lists],
+                   dtype=np.int64)
+    cap = 16
+    clusters = np.empty((cap, length), dtype=np.int64)
+    k = 0
+    for i in range(n):
+        m = ids[i]
+        if k:
+            c = clusters[:k]
+            is_param = c == -1
+            sims = ((c == m) & ~is_param).sum(axis=1) / length
+            params = is_param.sum(axis=1)
+            best_sim = sims.max()
+            if best_sim >= sim:
+                cand = np.flatnonzero(sims == best_sim)
+                j = int(cand[np.argmax(params[cand])])
+                row = clusters[j]
+                row[row != m] = -1
+                assign[i] = j
+                continue
+        if k == cap:
+            cap *= 2
+            grown = np.empty((cap, length), dtype=np.int64)
+            grown[:k] = clusters[:k]
+            clusters = grown
+        clusters[k] = m
+        assign[i] = k
+        k += 1
+    inv = {v: t for t, v in vocab.items()}
+    templates = [[inv[int(x)] for x in clusters[j]] for j in range(k)]
+    return assign, templates
+
+
+def _stage1(sim: float):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["first_seq", "message"], kind="mergesort")
+        toks = [m.split(" ") if m else [] for m in pdf["message"]]
+        assign, templates = drain_group(toks, sim)
+        seqs = pdf["first_seq"].to_numpy()
+        first = {}
+        for a, s in zip(assign, seqs):
+            first.setdefault(int(a), int(s))
+        return pd.DataFrame({
+            "leaf": pdf["leaf"].to_numpy(), "bucket": pdf["bucket"].to_numpy(),
+            "message": pdf["message"].to_numpy(), "rows": pdf["rows"].to_numpy(),
+            "n_buckets": pdf["n_buckets"].to_numpy(), "cluster": assign.astype(np.int32),
+            "cluster_template": [" ".join(templates[a]) for a in assign],
+            "cluster_seq": [first[int(a)] for a in assign],
+        })
+    return fn
+
+
+def _stage2(sim: float):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cluster_seq", "bucket", "cluster"], kind="mergesort")
+        toks = [t.split(" ") if t else [] for t in pdf["cluster_template"]]
+        assign, templates = drain_group(toks, sim)
+        return pd.DataFrame({
+            "leaf": pdf["leaf"].to_numpy(), "bucket": pdf["bucket"].to_numpy(),
+            "cluster": pdf["cluster"].to_numpy(),
+            "merged_template": [" ".join(templates[a]) for a in assign],
+        })
+    return fn
+
+
+def mine_templates(messages: DataFrame, message: str = "template", seq: str = "ingest_seq",
+                   depth: int = K.DRAIN_DEPTH, sim: float = K.DRAIN_SIMILARITY,
+                   max_leaf: int = MAX_LEAF) -> DataFrame:
+    """Mapping from each distinct (masked, tokenised) message to its mined
+    template: columns message, mined_template, mined_template_id, rows,
+    cluster_size (rows of the whole cluster)."""
+    distinct = (messages.where(F.col(message).isNotNull())
+                .groupBy(F.col(message).alias("message"))
+                .agg(F.count(F.lit(1)).alias("rows"), F.min(seq).alias("first_seq")))
+    toks = F.when(F.col("message") == "", F.array().cast("array<string>")) \
+        .otherwise(F.split(F.col("message"), " "))
+    distinct = distinct.withColumn("leaf", _leaf_key(toks, depth))
+    # leaf sizes: one partial-aggregated row per leaf, joined back by key
+    sizes = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("_leaf_n"))
+    n_buckets = F.greatest(F.lit(1), F.ceil(F.col("_leaf_n") / F.lit(max_leaf))).cast("int")
+    with_b = (distinct.join(sizes, "leaf")
+              .withColumn("n_buckets", n_buckets)
+              .withColumn("bucket", F.pmod(F.xxhash64("message"), F.col("n_buckets")).cast("int")))
+
+    s1 = (with_b.select("leaf", "bucket", "message", "first_seq", "rows", "n_buckets")
+          .groupBy("leaf", "bucket").applyInPandas(_stage1(sim), _STAGE1_SCHEMA))
+    # stage 1 feeds both the merge pass and the final mapping: write it once
+    # to the shared checkpoint folder instead of clustering twice
+    ensure_checkpoint_dir(messages.sparkSession)
+    s1 = s1.checkpoint(eager=True)
+
+    # second pass only over leaves that were split; one row per bucket cluster
+    split_clusters = (s1.where(F.col("n_buckets") > 1)
+                      .groupBy("leaf", "bucket", "cluster")
+                      .agg(F.first("cluster_template").alias("cluster_template"),
+                           F.min("cluster_seq").alias("cluster_seq")))
+    merged = split_clusters.groupBy("leaf").applyInPandas(_stage2(sim), _STAGE2_SCHEMA)
+    out = (s1.join(merged, ["leaf", "bucket", "cluster"], "left")
+           .withColumn("mined_template", F.coalesce("merged_template", "cluster_template")))
+    tid = F.concat(F.lit("tmpl_"), F.substring(F.md5(F.concat_ws("\u0002", "leaf", "mined_template")),
+                                               1, K.TEMPLATE_ID_HEX))
+    out = out.withColumn("mined_template_id", tid)
+    size = out.groupBy("mined_template_id").agg(F.sum("rows").alias("cluster_size"))
+    return (out.join(size, "mined_template_id")
+            .select("message", "mined_template", "mined_template_id", "rows", "cluster_size"))
+
+
+def assign_mined_templates(logs: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Mined template id, text and cluster size on every log row (an
+    equi-join on the exact template text; AQE splits a hot key's partition)."""
+    m = mapping.select(F.col("message").alias("template"), "mined_template_id", "mined_template",
+                       "cluster_size")
+    return logs.join(m, "template", "left")
+
+
+def mined_template_stats(logs_with_mined: DataFrame) -> DataFrame:
+    """T5 over mined templates: rows, distinct messages, first/last seen."""
+    return (logs_with_mined.groupBy("mined_template_id")
+            .agg(F.first("mined_template").alias("template"),
+                 F.count(F.lit(1)).alias("count"),
+                 F.countDistinct("template").alias("n_messages"),
+                 F.min("timestamp").alias("first_seen"),
+                 F.max("timestamp").alias("last_seen"))
+            .withColumnRenamed("mined_template_id", "template_id"))
+
+
+def python_id(leaf: str, template: str) -> str:
+    """Same id as the Spark expression, for tests."""
+    return "tmpl_" + hashlib.md5(f"{leaf}\u0002{template}".encode()).hexdigest()[:K.TEMPLATE_ID_HEX]

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from . import tables
 from .oracle import with_logs
 
@@ -134,7 +135,7 @@ def _file_id(name: str) -> str:
 
 
 def _tmpl_id(text: str) -> str:
-    return "tmpl_" + hashlib.md5(text.encode()).hexdigest()[:8]
+    return "tmpl_" + hashlib.md5(text.encode()).hexdigest()[:K.TEMPLATE_ID_HEX]
 
 
 _SEARCHES = {
@@ -523,3 +524,93 @@ def _silence(hours):
 
 
 register("anomaly_source_silence", _silence_sql(24))(_silence(24))
+
+
+# ------------------------------------------------------- template mining --
+from ..operators import drain as T  # noqa: E402
+
+
+@register("templates_mined")
+def templates_mined(spark, sf_dir):
+    """Mined templates over all log rows (rows-only check; the
+    clustering is order-dependent and not SQL-expressible).  Properties are
+    tested in tests/test_drain.py."""
+    logs = _logs(spark, sf_dir)
+    mapping = T.mine_templates(logs)
+    return T.mined_template_stats(T.assign_mined_templates(logs, mapping))
+
+
+# ------------------------------------------------------ ML detector, all --
+from ..operators import iforest as IF  # noqa: E402
+
+
+def _ml(hours):
+    def build(spark, sf_dir):
+        return IF.detect_ml(_logs(spark, sf_dir), AS_OF, hours).select(
+            *_DETECT_COLS, "ml_score", *IF.FEATURES)
+    return build
+
+
+# rows-only: the forest is randomised (properties in tests/test_iforest.py)
+register("anomaly_ml")(_ml(24))
+register("anomaly_ml_30d")(_ml(24 * 31))
+
+
+@register("hourly_features", with_logs(
+    """SELECT c.hour, coalesce(n_logs, 0) AS n_logs, coalesce(n_errors, 0) AS n_errors,
+              coalesce(n_templates, 0) AS n_templates, coalesce(n_sources, 0) AS n_sources,
+              hour(c.hour) AS hour_of_day, isodow(c.hour) - 1 AS day_of_week
+       FROM cal c LEFT JOIN feats f ON c.hour = f.hour""",
+    f"""recent AS (SELECT * FROM logs_n WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 744 HOUR),
+feats AS (SELECT date_trunc('hour', timestamp) AS hour, count(level) AS n_logs,
+                 CAST(sum(CASE WHEN level IN ('ERROR', 'CRITICAL', 'FATAL') THEN 1 ELSE 0 END) AS BIGINT) AS n_errors,
+                 count(DISTINCT template_id) AS n_templates, count(DISTINCT source) AS n_sources
+          FROM recent GROUP BY 1),
+cal AS (SELECT unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM feats)"""))
+def hourly_features_q(spark, sf_dir):
+    """A20 over the whole table (31 days before as_of)."""
+    return S.hourly_features(D.recent_logs(_logs(spark, sf_dir), AS_OF, 24 * 31))
+
+
+_ANOM_COLS = ["timestamp", "anomaly_type", "severity", "description", "log_count", "score"]
+
+
+def _anomalies_all_sql(hours: int) -> str:
+    cols = ", ".join(_ANOM_COLS)
+    return "\nUNION ALL\n".join(
+        f"SELECT {cols} FROM ({sql})" for sql in (
+            _volume_sql(hours), _error_rate_sql(hours), _new_templates_sql(hours),
+            _rare_sql(hours), _silence_sql(hours)))
+
+
+@register("anomalies_all", _anomalies_all_sql(24))
+def anomalies_all(spark, sf_dir):
+    """Every rule-based detector over the last 24 h, unioned in the
+    anomaly layout (the ML detector is in anomalies_all_ml)."""
+    logs = _logs(spark, sf_dir)
+    out = D.run_detection(logs, template_stats(logs), AS_OF, 24, include_ml=False)
+    return out.select(*_ANOM_COLS)
+
+
+@register("anomalies_all_30d", _anomalies_all_sql(24 * 31))
+def anomalies_all_30d(spark, sf_dir):
+    """D7 over 31 days, rule-based detectors."""
+    logs = _logs(spark, sf_dir)
+    out = D.run_detection(logs, template_stats(logs), AS_OF, 24 * 31, include_ml=False)
+    return out.select(*_ANOM_COLS)
+
+
+@register("anomalies_all_ml")
+def anomalies_all_ml(spark, sf_dir):
+    """D7 with all six detectors (rows-only check)."""
+    logs = _logs(spark, sf_dir)
+    out = D.run_detection(logs, template_stats(logs), AS_OF, 24, include_ml=True)
+    return out.select(*_ANOM_COLS)
+
+
+@register("anomalies_by_day")
+def anomalies_by_day(spark, sf_dir):
+    """Per day, log rows, anomalies (31-day rule-based run), top severity."""
+    logs = _logs(spark, sf_dir)
+    an = D.run_detection(logs, template_stats(logs), AS_OF, 24 * 31, include_ml=False)
+    return D.anomalies_by_day(logs, an)

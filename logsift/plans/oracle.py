@@ -196,7 +196,7 @@ logs AS (
     CASE WHEN len(port_list) > 0 THEN port_list END AS ports,
     CASE WHEN len(proto_list) > 0 THEN proto_list END AS protocols,
     CASE WHEN len(mac_list) > 0 THEN mac_list END AS mac_addresses,
-    'tmpl_' || substr(md5(template), 1, 8) AS template_id, template,
+    'tmpl_' || substr(md5(template), 1, {K.TEMPLATE_ID_HEX}) AS template_id, template,
     syslog__hostname, syslog__program, syslog__pid,
     apache_access__method, apache_access__url, apache_access__status, apache_access__size,
     apache_access__referer, apache_access__user_agent,
