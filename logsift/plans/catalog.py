@@ -614,3 +614,116 @@ def anomalies_by_day(spark, sf_dir):
     logs = _logs(spark, sf_dir)
     an = D.run_detection(logs, template_stats(logs), AS_OF, 24 * 31, include_ml=False)
     return D.anomalies_by_day(logs, an)
+
+
+# ------------------------------------------------------ files and sources --
+from ..sources import event_lines as EL  # noqa: E402
+from ..sources import structured as ST  # noqa: E402
+from ..sources import text_files as TF  # noqa: E402
+
+_FILES_CTE = """flines AS (
+  SELECT event_id, line, 'file-' || CAST(event_id % 11 AS VARCHAR) || '.log' AS original_filename,
+         ts, regexp_replace(line, '^\\s+|\\s+$', '', 'g') = '' AS blank
+  FROM raw_lines),
+fb AS (SELECT original_filename, min(event_id) FILTER (WHERE NOT blank) AS first_pos,
+              max(event_id) FILTER (WHERE NOT blank) AS last_pos FROM flines GROUP BY 1),
+files AS (
+  SELECT substr(md5(f.original_filename), 1, 16) AS file_id, f.original_filename,
+         CAST(sum(strlen(line)) + count(*) - 1 AS BIGINT) AS file_size,
+         max(ts) AS upload_timestamp,
+         count(*) FILTER (WHERE NOT blank) AS processed_logs,
+         CASE WHEN count(*) FILTER (WHERE NOT blank) = 0 THEN 1
+              ELSE count(*) FILTER (WHERE blank AND event_id > first_pos AND event_id < last_pos) END
+           AS failed_logs,
+         'completed' AS status
+  FROM flines f JOIN fb USING (original_filename) GROUP BY f.original_filename)"""
+
+
+def _registry(spark, sf_dir):
+    return TF.file_registry(EL.event_files(spark, sf_dir))
+
+
+@register("file_ingest_counts", with_logs(
+    "SELECT file_id, original_filename, file_size, upload_timestamp, processed_logs, failed_logs, "
+    "status FROM files", _FILES_CTE))
+def file_ingest_counts(spark, sf_dir):
+    """The file registry of the fixture's files."""
+    return _registry(spark, sf_dir).select(
+        "file_id", "original_filename", "file_size", "upload_timestamp", "processed_logs",
+        "failed_logs", "status")
+
+
+@register("files_listing", with_logs(
+    "SELECT file_id, original_filename, file_size, processed_logs, failed_logs, status FROM files "
+    "ORDER BY upload_timestamp DESC, file_id LIMIT 5", _FILES_CTE))
+def files_listing(spark, sf_dir):
+    """Newest five uploads (a page of the file list)."""
+    return TF.list_files(_registry(spark, sf_dir)).limit(5).select(
+        "file_id", "original_filename", "file_size", "processed_logs", "failed_logs", "status")
+
+
+@register("files_summary", with_logs(
+    "SELECT CAST(sum(file_size) AS BIGINT) AS total_size, CAST(sum(processed_logs) AS BIGINT) AS total_processed, "
+    "CAST(sum(failed_logs) AS BIGINT) AS total_failed, count(*) AS total_files FROM files", _FILES_CTE))
+def files_summary(spark, sf_dir):
+    """Totals over the file registry."""
+    return S.files_summary(_registry(spark, sf_dir))
+
+
+_PRI_SPARK = ("'<' || cast(event_id % 192 AS varchar(20)) || '>' || date_format(ts,'MMM dd HH:mm:ss') "
+              "|| ' host-' || cast(user_id % 20 AS varchar(20)) || ' ' || event_type || "
+              "(CASE WHEN event_id % 2 = 0 THEN '[' || cast(user_id AS varchar(20)) || ']' ELSE '' END) "
+              "|| ': ' || event_type || ' from user ' || cast(user_id AS varchar(20))")
+_PRI_DUCK = _PRI_SPARK.replace("date_format(ts,'MMM dd HH:mm:ss')", "strftime(ts,'%b %d %H:%M:%S')")
+
+
+def _pri_oracle() -> str:
+    from .oracle import q as lit
+    g = {name: f"regexp_extract(line, {lit(K.SYSLOG_PRI_RE)}, {i})"
+         for i, name in enumerate(K.SYSLOG_PRI_GROUPS, 1)}
+    sev = " ".join(f"WHEN {k} THEN '{v}'" for k, v in K.SEVERITY_LEVELS.items())
+    return f"""WITH pl AS (SELECT event_id, {_PRI_DUCK} AS line FROM events),
+p AS (SELECT event_id, {g['time']} AS time, {g['host']} AS host, {g['ident']} AS ident,
+             nullif({g['pid']}, '') AS pid, {g['message']} AS message,
+             CAST({g['pri']} AS INTEGER) AS pri FROM pl)
+SELECT event_id, time, host, ident, pid, message, pri, CAST(pri // 8 AS INTEGER) AS facility,
+       pri % 8 AS severity, CASE pri % 8 {sev} END AS level FROM p"""
+
+
+@register("parse_syslog_pri", _pri_oracle())
+def parse_syslog_pri_q(spark, sf_dir):
+    """The collector's priority-syslog parser over lines derived from
+    every event."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    lines = ev.select("event_id", F.expr(_PRI_SPARK).alias("line"))
+    return ST.parse_syslog_pri(lines).select(
+        "event_id", "time", "host", "ident", "pid", "message", "pri", "facility", "severity", "level")
+
+
+_COLLECTOR_TIME = ("CASE WHEN event_id % 5 = 0 THEN 'not a time' "
+                   "ELSE date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") || 'Z' END")
+_COLLECTOR_TIME_DUCK = ("CASE WHEN event_id % 5 = 0 THEN 'not a time' "
+                        "ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' END")
+
+
+@register("collector_ingest", with_logs(
+    f"""SELECT l.ingest_seq, coalesce(CAST(TRY_CAST(c.time AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS TIMESTAMP),
+              TIMESTAMP '{AS_OF}') AS timestamp,
+              coalesce(c.src, c.tag, 'fluent-bit') AS source, l.level, l.message, l.log_type
+       FROM logs_n l JOIN (SELECT event_id, {_COLLECTOR_TIME_DUCK} AS time,
+                                  CASE WHEN event_id % 3 = 0 THEN 'agent-' || CAST(user_id % 5 AS VARCHAR) END AS src,
+                                  CASE WHEN event_id % 2 = 0 THEN 'file.' || event_type END AS tag
+                           FROM events) c ON l.event_id = c.event_id"""))
+def collector_ingest(spark, sf_dir):
+    """S6/R1 batch form: collector records made from every event's line, with
+    missing/bad times and sources, through the one parse path (Q15)."""
+    lines = EL.raw_lines(spark, sf_dir)
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_id", F.expr(_COLLECTOR_TIME).alias("time"),
+        F.expr("CASE WHEN event_id % 3 = 0 THEN 'agent-' || CAST(user_id % 5 AS STRING) END").alias("source"),
+        F.expr("CASE WHEN event_id % 2 = 0 THEN 'file.' || event_type END").alias("tag"))
+    recs = (lines.select("event_id", F.col("line").alias("log")).join(ev, "event_id")
+            .withColumnRenamed("event_id", "ingest_seq"))
+    entries = ST.collector_to_entries(recs, ingest_ts=F.lit(AS_OF).cast("timestamp"))
+    logs = ST.entries_to_logs(entries, ingest_ts=F.lit(AS_OF).cast("timestamp"))
+    return logs.select("ingest_seq", "timestamp", "source", "level", "message", "log_type")

@@ -66,3 +66,14 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring(F.md5(filename), 1, 16).alias("file_id"),
         F.col("event_id").alias("ingest_seq"),
         F.col("ts").alias("ingest_ts"))
+
+
+def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw lines grouped into the fixture's files ('file-<n>.log'), in the
+    layout of ``text_files.read_lines``: position = event id, one block per
+    file, modification time = the latest event time of the file."""
+    lines = raw_lines(spark, sf_dir)
+    return lines.select(
+        "line", "file_id", F.col("filename").alias("original_filename"),
+        F.col("ts").cast("timestamp").alias("file_mtime"), F.lit(0).cast("bigint").alias("block_start"),
+        F.col("ingest_seq"))
