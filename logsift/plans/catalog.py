@@ -727,3 +727,38 @@ def collector_ingest(spark, sf_dir):
     entries = ST.collector_to_entries(recs, ingest_ts=F.lit(AS_OF).cast("timestamp"))
     logs = ST.entries_to_logs(entries, ingest_ts=F.lit(AS_OF).cast("timestamp"))
     return logs.select("ingest_seq", "timestamp", "source", "level", "message", "log_type")
+
+
+# ------------------------------------------------------------- streaming --
+import uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..streaming import streams as R  # noqa: E402
+
+
+def _run_stream_to_table(spark, sf_dir, make_agg):
+    """Run a streaming aggregate over the stored logs table (the table's files
+    as a file stream, one availableNow run) and return its result table."""
+    path = tables.stored_logs_path(spark, sf_dir)
+    batch = tables.logs(spark, sf_dir)
+    stream = spark.readStream.schema(batch.schema).option("basePath", path).parquet(path)
+    run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logsift/stream-{uuid.uuid4().hex[:12]}"
+    q = R.start_table_sink(make_agg(stream), f"{run}/out", f"{run}/ckpt", "complete",
+                           {"availableNow": True})
+    q.awaitTermination()
+    return spark.read.parquet(f"{run}/out").drop("_batch")
+
+
+@register("stream_hourly_levels", with_logs(
+    "SELECT date_trunc('hour', timestamp) AS hour, level, count(*) AS count FROM logs_n GROUP BY 1, 2"))
+def stream_hourly_levels(spark, sf_dir):
+    """Streaming one-hour tumbling counts per level (equal to batch)."""
+    return _run_stream_to_table(spark, sf_dir, R.hourly_level_counts)
+
+
+@register("stream_templates", with_logs(
+    "SELECT template_id, count(*) AS count, min(timestamp) AS first_seen, max(timestamp) AS last_seen "
+    "FROM logs_n GROUP BY 1"))
+def stream_templates(spark, sf_dir):
+    """Running template statistics as streaming state (equal to batch)."""
+    return _run_stream_to_table(spark, sf_dir, R.running_template_stats)
