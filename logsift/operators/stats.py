@@ -218,3 +218,72 @@ def level_share(logs: DataFrame) -> DataFrame:
     per = logs.groupBy("level").agg(F.count(F.lit(1)).alias("count"))
     share = 100.0 * F.col("count") / F.sum("count").over(Window.partitionBy())
     return per.select("level", "count", F.round(share, 2).alias("percentage"))
+
+
+# our rule: a duration written as 'took <n> ms' in a message is a response time
+RESPONSE_TIME_RE = r"took (\d+) ms"
+
+
+def performance_buckets(logs: DataFrame, bucket_hours: int = 4) -> DataFrame:
+    """Per time-of-day bucket ('00:00', '04:00', ...): mean response time
+    (ms, from messages that state one), rows, error rows."""
+    b = (F.floor(F.hour("timestamp") / bucket_hours) * bucket_hours).cast("int")
+    label = F.concat(F.lpad(b.cast("string"), 2, "0"), F.lit(":00"))
+    rt = F.regexp_extract(F.col("message"), RESPONSE_TIME_RE, 1).try_cast("double")
+    return (logs.groupBy(label.alias("time"))
+            .agg(F.round(F.avg(rt), 6).alias("response_time"),
+                 F.count(F.lit(1)).alias("throughput"),
+                 F.count_if(F.col("level").isin(*K.CLIENT_ERROR_LEVELS)).alias("errors")))
+
+
+def metric_correlation(hourly: DataFrame) -> DataFrame:
+    """Pearson correlation of hourly volume and of hourly source count
+    with the hourly error rate (one row)."""
+    rate = F.col("n_errors") / F.col("n_logs")
+    h = hourly.where(F.col("n_logs") > 0).withColumn("error_rate", rate)
+    return h.agg(F.corr("n_logs", "error_rate").alias("corr_volume_error_rate"),
+                 F.corr("n_sources", "error_rate").alias("corr_sources_error_rate"))
+
+
+def network_split(logs: DataFrame) -> DataFrame:
+    """Rows with and without network facts (one row)."""
+    return logs.agg(F.count_if(F.col("network_info").isNotNull()).alias("with_network_info"),
+                    F.count_if(F.col("network_info").isNull()).alias("without_network_info"))
+
+
+def period_growth(logs: DataFrame) -> DataFrame:
+    """Per day, logs, templates, files and error rate, with the growth in
+    percent over the previous day (NULL for the first day).  The window runs
+    over the per-day rows only (one row per day)."""
+    daily = (logs.groupBy(F.to_date("timestamp").alias("date"))
+             .agg(F.count(F.lit(1)).alias("logs"),
+                  F.countDistinct("template_id").alias("templates"),
+                  F.countDistinct("file_id").alias("files"),
+                  (100.0 * F.count_if(F.col("level").isin(*K.CLIENT_ERROR_LEVELS))
+                   / F.count(F.lit(1))).alias("error_rate")))
+    w = Window.orderBy("date")
+    out = daily
+    for c in ("logs", "templates", "files", "error_rate"):
+        prev = F.lag(c).over(w)
+        out = out.withColumn(f"{c}_growth", F.round(100.0 * (F.col(c) - prev) / prev, 6))
+    return out.withColumn("error_rate", F.round("error_rate", 6))
+
+
+TREND_BAND = 0.1  # our rule: rows/day of slope that counts as a trend
+
+
+def template_trend(logs: DataFrame) -> DataFrame:
+    """Per template, least-squares slope of its daily row counts over the
+    days it occurs; increasing / decreasing beyond +-0.1 rows per day."""
+    daily = (logs.groupBy("template_id", F.to_date("timestamp").alias("date"))
+             .agg(F.count(F.lit(1)).alias("n")))
+    slope = (daily.groupBy("template_id")
+             .agg(F.regr_slope(F.col("n").cast("double"),
+                               F.unix_date("date").cast("double")).alias("slope"),
+                  F.count(F.lit(1)).alias("days")))
+    # a slope needs two days
+    slope = slope.withColumn("slope", F.when(F.col("days") >= 2, F.col("slope")))
+    trend = (F.when(F.col("slope") > TREND_BAND, "increasing")
+             .when(F.col("slope") < -TREND_BAND, "decreasing").otherwise("stable"))
+    return slope.select("template_id", "days", F.round("slope", 6).alias("slope"),
+                        trend.alias("trend"))

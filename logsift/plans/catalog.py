@@ -762,3 +762,112 @@ def stream_hourly_levels(spark, sf_dir):
 def stream_templates(spark, sf_dir):
     """Running template statistics as streaming state (equal to batch)."""
     return _run_stream_to_table(spark, sf_dir, R.running_template_stats)
+
+
+# ------------------------------------------------------ dashboard series --
+@register("perf_buckets", with_logs(
+    """SELECT lpad(CAST(CAST(floor(hour(timestamp) / 4) * 4 AS INTEGER) AS VARCHAR), 2, '0') || ':00' AS time,
+              round(avg(TRY_CAST(nullif(regexp_extract(message, 'took (\\d+) ms', 1), '') AS DOUBLE)), 6) AS response_time,
+              count(*) AS throughput, count(*) FILTER (WHERE level = 'ERROR') AS errors
+       FROM logs_n GROUP BY 1"""))
+def perf_buckets(spark, sf_dir):
+    """Response time, throughput and errors per 4-hour time-of-day bucket."""
+    return S.performance_buckets(_logs(spark, sf_dir))
+
+
+def _error_categories_sql() -> str:
+    parts = []
+    for name, words in K.ERROR_CATEGORIES:
+        cond = " OR ".join(f"contains(lower(message), '{w}')" for w in words)
+        parts.append(f"WHEN {cond} THEN '{name}'")
+    cat = f"CASE {' '.join(parts)} ELSE 'other' END"
+    return with_logs(f"""SELECT category, count, round(100.0 * count / sum(count) OVER (), 2) AS percentage
+FROM (SELECT {cat} AS category, count(*) AS count FROM logs_n WHERE level = 'ERROR' GROUP BY 1)""")
+
+
+@register("error_categories", _error_categories_sql())
+def error_categories(spark, sf_dir):
+    """Error rows by keyword category with their share."""
+    return S.error_categories(_logs(spark, sf_dir))
+
+
+@register("metric_correlation", with_logs(
+    """SELECT corr(n_logs, n_errors / n_logs) AS corr_volume_error_rate,
+              corr(n_sources, n_errors / n_logs) AS corr_sources_error_rate
+       FROM (SELECT date_trunc('hour', timestamp) AS hour, count(level) AS n_logs,
+                    sum(CASE WHEN level IN ('ERROR', 'CRITICAL', 'FATAL') THEN 1 ELSE 0 END) AS n_errors,
+                    count(DISTINCT source) AS n_sources FROM logs_n GROUP BY 1)"""))
+def metric_correlation(spark, sf_dir):
+    """Correlation of hourly volume / sources with the hourly error rate."""
+    return S.metric_correlation(S.hourly_features(_logs(spark, sf_dir)))
+
+
+@register("error_trend", with_logs(
+    """SELECT CAST(timestamp AS DATE) AS date, count(*) AS total,
+              count(*) FILTER (WHERE level = 'ERROR') AS errors,
+              round(100.0 * count(*) FILTER (WHERE level = 'ERROR') / count(*), 2) AS error_rate
+       FROM logs_n GROUP BY 1"""))
+def error_trend(spark, sf_dir):
+    """C4: errors and error rate per day."""
+    return S.error_trend(_logs(spark, sf_dir))
+
+
+@register("level_share", with_logs(
+    "SELECT level, count, round(100.0 * count / sum(count) OVER (), 2) AS percentage "
+    "FROM (SELECT level, count(*) AS count FROM logs_n GROUP BY 1)"))
+def level_share(spark, sf_dir):
+    """Rows per level with their share."""
+    return S.level_share(_logs(spark, sf_dir))
+
+
+@register("network_split", with_logs(
+    "SELECT count(*) FILTER (WHERE has_network_info) AS with_network_info, "
+    "count(*) FILTER (WHERE NOT has_network_info) AS without_network_info FROM logs_n"))
+def network_split(spark, sf_dir):
+    """Rows with and without network facts."""
+    return S.network_split(_logs(spark, sf_dir))
+
+
+def _growth(c: str) -> str:
+    return (f"round(100.0 * ({c} - lag({c}) OVER (ORDER BY date)) / lag({c}) OVER (ORDER BY date), 6) "
+            f"AS {c}_growth")
+
+
+@register("period_growth", with_logs(
+    f"""SELECT date, logs, templates, files, round(error_rate, 6) AS error_rate,
+              {_growth('logs')}, {_growth('templates')}, {_growth('files')}, {_growth('error_rate')}
+       FROM (SELECT CAST(timestamp AS DATE) AS date, count(*) AS logs,
+                    count(DISTINCT template_id) AS templates, count(DISTINCT file_id) AS files,
+                    100.0 * count(*) FILTER (WHERE level = 'ERROR') / count(*) AS error_rate
+             FROM logs_n GROUP BY 1)"""))
+def period_growth(spark, sf_dir):
+    """Day-over-day growth of logs, templates, files and error rate."""
+    return S.period_growth(_logs(spark, sf_dir))
+
+
+@register("template_trend", with_logs(
+    f"""SELECT template_id, days, round(slope, 6) AS slope,
+              CASE WHEN slope > {S.TREND_BAND} THEN 'increasing'
+                   WHEN slope < -{S.TREND_BAND} THEN 'decreasing' ELSE 'stable' END AS trend
+       FROM (SELECT template_id, count(*) AS days,
+                    CASE WHEN count(*) >= 2 THEN regr_slope(n, d) END AS slope
+       FROM (SELECT template_id, CAST(CAST(timestamp AS DATE) - DATE '1970-01-01' AS DOUBLE) AS d,
+                    CAST(count(*) AS DOUBLE) AS n FROM logs_n GROUP BY template_id, CAST(timestamp AS DATE))
+       GROUP BY template_id)"""))
+def template_trend(spark, sf_dir):
+    """Per template slope of daily counts, banded into a trend."""
+    return S.template_trend(_logs(spark, sf_dir))
+
+
+def _by_day_sql() -> str:
+    an = _anomalies_all_sql(24 * 31)
+    return with_logs(f"""SELECT coalesce(n.date, a.date) AS date, coalesce(n.normal, 0) AS normal,
+       coalesce(a.anomalies, 0) AS anomalies,
+       CASE a.sev WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' END AS severity
+FROM (SELECT CAST(timestamp AS DATE) AS date, count(*) AS normal FROM logs_n GROUP BY 1) n
+FULL OUTER JOIN (SELECT CAST(timestamp AS DATE) AS date, count(*) AS anomalies,
+                        max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS sev
+                 FROM ({an}) GROUP BY 1) a ON n.date = a.date""")
+
+
+ORACLE["anomalies_by_day"] = _by_day_sql()
