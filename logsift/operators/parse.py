@@ -61,6 +61,8 @@ def _group(line: Column, log_type: Column, name: str, pattern: str, groups, g: s
     v = F.regexp_extract(line, _UNIX + pattern, idx)
     if (name, g) in _OPTIONAL:
         v = F.nullif(v, F.lit(""))
+    if (name, g) == ("cisco_syslog", "timezone"):
+        v = F.nullif(v, F.lit(":"))  # Q9: the pattern can capture a bare ':'
     return F.when(log_type == name, v)
 
 

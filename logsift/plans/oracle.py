@@ -98,6 +98,8 @@ def logs_cte() -> str:
             ("docker", K.DOCKER_RE, K.DOCKER_GROUPS, ())):
         for i, grp in enumerate(groups, 1):
             g[f"{name}__{grp}"] = _group(pat, i, name, grp in opt)
+    # a bare ':' captured as time zone is no time zone
+    g["cisco_syslog__timezone"] = f"nullif({g['cisco_syslog__timezone']}, ':')"
     for key, pat in (("src_port", K.FIREWALL_SPT_RE), ("dst_port", K.FIREWALL_DPT_RE),
                      ("protocol", K.FIREWALL_PROTO_RE)):
         g[f"firewall__{key}"] = _group(pat, 4, "firewall", True)

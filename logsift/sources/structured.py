@@ -25,8 +25,13 @@ def entries_to_logs(entries: DataFrame, ingest_ts: Column | None = None) -> Data
     Given timestamp, level, source and metadata win over parsed values.
     """
     ingest_ts = ingest_ts if ingest_ts is not None else F.current_timestamp()
-    seq = (F.col("ingest_seq") if "ingest_seq" in entries.columns
-           else F.monotonically_increasing_id())
+    # arrival order: given, else row ids (batch) or the arrival time (stream)
+    if "ingest_seq" in entries.columns:
+        seq = F.col("ingest_seq")
+    elif entries.isStreaming:
+        seq = F.unix_micros(F.current_timestamp())
+    else:
+        seq = F.monotonically_increasing_id()
     raw = entries.select(
         F.col("message").alias("line"), F.col("source").alias("source"),
         F.coalesce(F.col("timestamp"), ingest_ts).alias("ingest_ts"),

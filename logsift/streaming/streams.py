@@ -41,7 +41,7 @@ def file_tail_stream(spark: SparkSession, directory: str, tag_prefix: str = "fil
                        F.coalesce("source", "tag").alias("source"),
                        F.col("file_mtime").alias("ingest_ts"),
                        F.col("file").alias("filename"),
-                       F.monotonically_increasing_id().alias("ingest_seq"))
+                       F.unix_micros("file_mtime").alias("ingest_seq"))
     logs = assign_exact_templates(parse_lines(raw))
     return logs.withColumn("event_date", F.to_date("timestamp"))
 
@@ -52,6 +52,9 @@ def start_logs_sink(logs_stream: DataFrame, table_path: str, checkpoint: str,
     trigger = trigger or {"processingTime": "1 second"}
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if "log_id" not in batch.columns:
+            batch = batch.withColumn("log_id", F.concat_ws(
+                "-", F.lit(str(batch_id)), F.monotonically_increasing_id().cast("string")))
         append_logs(batch, table_path)
 
     return (logs_stream.writeStream.foreachBatch(write)

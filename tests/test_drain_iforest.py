@@ -1,0 +1,77 @@
+"""Properties of the template miner and the isolation forest."""
+import datetime as dt
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from logsift.operators import drain as T
+from logsift.operators import iforest as IF
+
+
+def test_drain_group_merges_similar():
+    msgs = [m.split() for m in ["user a logged in", "user b logged in", "user c logged out",
+                                "disk x is full"]]
+    assign, templates = T.drain_group(msgs, 0.4)
+    assert assign[0] == assign[1] == assign[2]
+    assert templates[assign[0]] == ["user", "<*>", "logged", "<*>"]
+
+
+def _messages(spark):
+    rows = []
+    for i in range(300):
+        rows.append((f"conn from host{i % 17} port {i % 5}", i))
+        rows.append((f"job {i % 3} finished in {i % 7} ms", 1000 + i))
+    return spark.createDataFrame(rows, "template string, ingest_seq long")
+
+
+def test_every_row_one_template_and_members_match(spark):
+    msgs = _messages(spark)
+    mapping = T.mine_templates(msgs)
+    m = mapping.collect()
+    assert len(m) == msgs.select("template").distinct().count()
+    for r in m:
+        toks, tmpl = r["message"].split(" "), r["mined_template"].split(" ")
+        assert len(toks) == len(tmpl)
+        assert all(b == "<*>" or a == b for a, b in zip(toks, tmpl))
+    total = sum(r["rows"] for r in m)
+    sizes = {r["mined_template_id"]: r["cluster_size"] for r in m}
+    assert sum(sizes.values()) == total
+
+
+def test_split_leaf_gives_same_templates(spark):
+    msgs = _messages(spark)
+    whole = {r["mined_template"] for r in T.mine_templates(msgs).collect()}
+    split = {r["mined_template"] for r in T.mine_templates(msgs, max_leaf=10).collect()}
+    assert whole == split
+
+
+def test_repartition_does_not_change_templates(spark):
+    msgs = _messages(spark)
+    a = {(r["message"], r["mined_template_id"]) for r in T.mine_templates(msgs).collect()}
+    b = {(r["message"], r["mined_template_id"])
+         for r in T.mine_templates(msgs.repartition(7)).collect()}
+    assert a == b
+
+
+def test_iforest_flags_outlier_and_share(spark):
+    rng = np.random.default_rng(0)
+    start = dt.datetime(2024, 1, 1)
+    rows = []
+    for h in range(200):
+        n = int(rng.normal(100, 5))
+        rows.append((start + dt.timedelta(hours=h), n, int(n * 0.1), 20, 5, h % 24, (h // 24) % 7))
+    rows[150] = (rows[150][0], 900, 600, 200, 50, rows[150][5], rows[150][6])
+    feats = spark.createDataFrame(rows, "hour timestamp, n_logs long, n_errors long, n_templates long, "
+                                        "n_sources long, hour_of_day int, day_of_week int")
+    out = IF.isolation_scores(feats).collect()
+    flagged = [r for r in out if r["is_outlier"]]
+    assert 0.08 * len(out) <= len(flagged) <= 0.12 * len(out)
+    worst = max(out, key=lambda r: r["anomaly_score"])
+    assert worst["hour"] == rows[150][0]
+    assert worst["is_outlier"]
+
+
+def test_average_path_length():
+    c = IF.average_path_length(np.array([1, 2, 256]))
+    assert c[0] == 0 and c[1] == 1
+    assert abs(c[2] - 10.2448) < 1e-3
