@@ -871,3 +871,84 @@ FULL OUTER JOIN (SELECT CAST(timestamp AS DATE) AS date, count(*) AS anomalies,
 
 
 ORACLE["anomalies_by_day"] = _by_day_sql()
+
+
+# ------------------------------------------- whole texts of other tables --
+from ..functions import network as NW  # noqa: E402
+from ..functions import text as TX  # noqa: E402
+from .oracle import _mask_sql, _ports_sql, _protocols_sql  # noqa: E402
+
+
+@register("mask_documents", f"""SELECT doc_id, n_chars, len(toks) AS n_tokens,
+       len(list_filter(toks, lambda t: t = '<*>')) AS n_masks, md5(array_to_string(toks, ' ')) AS masked_md5
+FROM (SELECT doc_id, n_chars, CASE WHEN m = '' THEN []::VARCHAR[] ELSE string_split(m, ' ') END AS toks
+      FROM (SELECT doc_id, n_chars, {_mask_sql('text')} AS m FROM documents))""")
+def mask_documents(spark, sf_dir):
+    """F9/F10 over whole documents: tokens, masks, digest of the masked text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    toks = TX.tokens(TX.mask(F.col("text")))
+    return docs.select("doc_id", "n_chars", toks.alias("t")).select(
+        "doc_id", "n_chars", F.size("t").alias("n_tokens"),
+        F.size(F.filter("t", lambda x: x == K.MASK_TOKEN)).alias("n_masks"),
+        F.md5(F.array_join("t", " ")).alias("masked_md5"))
+
+
+@register("document_network", f"""SELECT doc_id,
+       array_to_string(regexp_extract_all(text, '{K.IP_RE}', 1), ',') AS ip_addresses,
+       array_to_string({_ports_sql('text')}, ',') AS ports,
+       array_to_string({_protocols_sql('text')}, ',') AS protocols,
+       array_to_string(regexp_extract_all(text, '{K.MAC_RE}', 1), ',') AS mac_addresses
+FROM documents""")
+def document_network(spark, sf_dir):
+    """F1-F5 over whole documents (empty lists as '')."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    t = F.col("text")
+    empty = F.lit("")
+    return docs.select(
+        "doc_id",
+        F.coalesce(F.array_join(NW.ip_addresses(t), ","), empty).alias("ip_addresses"),
+        F.coalesce(F.array_join(NW.ports(t), ","), empty).alias("ports"),
+        F.coalesce(F.array_join(NW.protocols(t), ","), empty).alias("protocols"),
+        F.coalesce(F.array_join(NW.mac_addresses(t), ","), empty).alias("mac_addresses"))
+
+
+@register("display_fields", with_logs(
+    """SELECT log_id, lpad(CAST(hour(timestamp) AS VARCHAR), 2, '0') || ':00' AS hour_label,
+              CASE WHEN length(message) > 50 THEN substr(message, 1, 50) || '...' ELSE message END AS short_message,
+              CASE WHEN TRY_CAST(apache_access__status AS INTEGER) >= 400 THEN 'destructive'
+                   WHEN TRY_CAST(apache_access__status AS INTEGER) >= 300 THEN 'secondary'
+                   ELSE 'default' END AS status_class
+       FROM logs_n WHERE log_type = 'apache_access'"""))
+def display_fields(spark, sf_dir):
+    """F15/F17/F18 on access-log rows: hour label, cut message, status class."""
+    f = _flat(spark, sf_dir).where(F.col("log_type") == "apache_access")
+    return f.select("log_id", TX.hour_label(F.col("timestamp")).alias("hour_label"),
+                    TX.truncate_text(F.col("message"), 50).alias("short_message"),
+                    TX.status_class(F.col("apache_access__status")).alias("status_class"))
+
+
+@register("file_sizes_readable", with_logs(
+    """SELECT file_id, CASE WHEN file_size = 0 THEN '0 Bytes' ELSE
+              regexp_replace(CAST(round(file_size / pow(1024, i), 2) AS VARCHAR), '\\.0$', '') || ' ' ||
+              (['Bytes', 'KB', 'MB', 'GB'])[i + 1] END AS size_text
+       FROM (SELECT file_id, file_size, CAST(floor(ln(file_size) / ln(1024)) AS INTEGER) AS i FROM files)""",
+    _FILES_CTE))
+def file_sizes_readable(spark, sf_dir):
+    """F16: file sizes as text, base 1024, two decimals."""
+    return _registry(spark, sf_dir).select("file_id", TX.readable_size(F.col("file_size")).alias("size_text"))
+
+
+@register("templates_mined_conversations")
+def templates_mined_conversations(spark, sf_dir):
+    """T1 over every line of every conversation turn (rows-only check)."""
+    from ..operators.parse import parse_lines
+    from ..operators.templates import assign_exact_templates
+    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    lines = conv.select(F.posexplode(F.split("text", "\n")).alias("pos", "line"), "conv_id", "turn",
+                        F.col("role").alias("source"))
+    lines = lines.select("line", "source", F.lit(AS_OF).cast("timestamp").alias("ingest_ts"),
+                         (F.col("conv_id") * 1_000_000 + F.col("turn") * 1_000 + F.col("pos"))
+                         .alias("ingest_seq"))
+    logs = assign_exact_templates(parse_lines(lines))
+    mapping = T.mine_templates(logs)
+    return T.mined_template_stats(T.assign_mined_templates(logs, mapping))
