@@ -16,11 +16,24 @@ def _severity_map() -> Column:
     return F.create_map(*pairs)
 
 
+def _rank_words(pattern: str) -> list[str]:
+    """The alternatives of a rank's word pattern, lower case."""
+    return pattern.split("(", 1)[1].split(")", 1)[0].lower().split("|")
+
+
 def level_from_words(text: Column) -> Column:
-    """the first ranked word pattern found anywhere in the text, else NULL."""
+    """the first ranked word pattern found anywhere in the text, else NULL.
+
+    A rank's pattern is only run when the lower-cased text contains one of its
+    words (a cheap byte search that every match implies)."""
+    low = F.lower(text)
     expr = None
     for level, pattern in K.LEVEL_WORD_RANKS:
-        cond = text.rlike("(?i)" + pattern)
+        guard = None
+        for w in _rank_words(pattern):
+            c = low.contains(w)
+            guard = c if guard is None else (guard | c)
+        cond = guard & text.rlike("(?i)" + pattern)
         expr = F.when(cond, F.lit(level)) if expr is None else expr.when(cond, F.lit(level))
     return expr
 
@@ -31,7 +44,7 @@ def level_from_priority(text: Column) -> Column:
     n mod 8 only depends on the last three digits (1000 is a multiple of 8),
     so arbitrarily long numbers stay exact without a wide cast.
     """
-    digits = F.regexp_extract(text, K.PRIORITY_RE, 1)
+    digits = F.when(text.contains("<"), F.regexp_extract(text, K.PRIORITY_RE, 1)).otherwise("")
     tail = F.substring(F.concat(F.lit("00"), digits), -3, 3).cast("int")
     return F.when(digits != "", _severity_map()[F.pmod(tail, F.lit(8))])
 

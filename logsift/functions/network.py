@@ -80,16 +80,29 @@ def protocol_name(proto: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), proto), proto)
 
 
-def network_info(text: Column, field_src_ip: Column, field_dst_ip: Column,
-                 field_ip_address: Column, field_src_port: Column,
-                 field_dst_port: Column, field_protocol: Column) -> Column:
-    """P14/P19 + F1-F5: facts found in the message override the ones taken from
-    parsed fields.  NULL when no member is set (the reference's empty dict).
+def raw_arrays(text: Column) -> dict[str, Column]:
+    """F1, F3, F4, F5 as plain (possibly empty) arrays, one regex pass each."""
+    low = F.lower(text)
+    ports_found = F.concat(*[_all(text, p, _has(low, *g)) for p, g in zip(K.PORT_RES, _PORT_GUARDS)])
+    ports_ok = F.filter(
+        ports_found, lambda p: F.coalesce(p.try_cast("bigint").between(1, 65535), F.lit(False)))
+    protos_found = F.concat(*[_all(text, p, _has(low, *g))
+                              for p, g in zip(K.PROTOCOL_RES, _PROTOCOL_GUARDS)])
+    return {
+        "ips": _ips(text),
+        "ports": F.array_distinct(ports_ok),
+        "protocols": F.array_distinct(F.transform(protos_found, lambda p: F.upper(p))),
+        "macs": _all(text, K.MAC_RE, _has(text, ":", "-")),
+    }
+
 
-    ``text`` should be a column reference (not a big expression) since it is
-    scanned by several patterns.
-    """
-    ips = _ips(text)
+def network_struct(ips: Column, ports_: Column, protocols_: Column, macs: Column,
+                   field_src_ip: Column, field_dst_ip: Column, field_ip_address: Column,
+                   field_src_port: Column, field_dst_port: Column,
+                   field_protocol: Column) -> Column:
+    """The ``network_info`` struct from the found arrays (column
+    references) and the fields taken from the parsed format; facts found in
+    the message override the field values."""
     n = F.size(ips)
     members = {
         "ip_addresses": _none_if_empty(ips),
@@ -99,12 +112,22 @@ def network_info(text: Column, field_src_ip: Column, field_dst_ip: Column,
         "src_port": field_src_port,
         "dst_port": field_dst_port,
         "protocol": protocol_name(field_protocol),
-        "ports": ports(text),
-        "protocols": protocols(text),
-        "mac_addresses": mac_addresses(text),
+        "ports": _none_if_empty(ports_),
+        "protocols": _none_if_empty(protocols_),
+        "mac_addresses": _none_if_empty(macs),
     }
-    st = F.struct(*[members[k].alias(k) for k in NETWORK_INFO_FIELDS])
-    return st
+    return F.struct(*[members[k].alias(k) for k in NETWORK_INFO_FIELDS])
+
+
+def network_info(text: Column, field_src_ip: Column, field_dst_ip: Column,
+                 field_ip_address: Column, field_src_port: Column,
+                 field_dst_port: Column, field_protocol: Column) -> Column:
+    """P14/P19 + F1-F5 in one expression (see ``raw_arrays`` and
+    ``network_struct`` for the two-step form the parser uses)."""
+    a = raw_arrays(text)
+    return network_struct(a["ips"], a["ports"], a["protocols"], a["macs"], field_src_ip,
+                          field_dst_ip, field_ip_address, field_src_port, field_dst_port,
+                          field_protocol)
 
 
 def null_if_empty_struct(col: str = "network_info") -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.levels import extract_level
-from ..functions.network import network_info, null_if_empty_struct
+from ..functions.network import network_struct, null_if_empty_struct, raw_arrays
 
 # Java's '.' and '$' also stop at '\r' and Unicode line ends; UNIX_LINES makes
 # them stop at '\n' only, like the patterns' original dialect.
@@ -43,16 +43,34 @@ _REGEX_PROMOTED = ("message", "level", "parsed_timestamp", "log_type",
 _JSON_NETWORK = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "ip_address")
 
 
+_WHITESPACE = " \t\n\r\x0b\x0c"  # the ASCII whitespace class
+
+
 def strip_text(c: Column) -> Column:
-    """Python-style strip of surrounding whitespace."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Python-style strip of surrounding (ASCII) whitespace."""
+    return F.trim(c, F.lit(_WHITESPACE))
+
+
+def _format_guard(name: str, line: Column) -> Column:
+    """A cheap test implied by every match of the format's pattern, so the
+    pattern only runs on lines that can match it."""
+    has = line.contains
+    return {
+        "syslog": has(":"),
+        "apache_access": has("[") & has('"'),
+        "firewall": has("SRC=") & has("DST="),
+        "cisco_syslog": has("-") & has(":"),
+        "windows_event": has("-") & has(":"),
+        "json_structured": F.startswith(line, F.lit("{")),
+        "docker": has("T") & has("Z") & has(":"),
+    }[name]
 
 
 def classify(line: Column, json_map: Column) -> Column:
     """Log type of a raw line; first matching format wins."""
     expr = F.when(json_map.isNotNull(), F.lit("json"))
     for name, pattern, _ in _REGEX_TYPES:
-        expr = expr.when(line.rlike(_UNIX + pattern), F.lit(name))
+        expr = expr.when(_format_guard(name, line) & line.rlike(_UNIX + pattern), F.lit(name))
     return expr.otherwise(F.lit("unknown"))
 
 
@@ -193,11 +211,16 @@ def parse_lines(df: DataFrame, line: str = "line", ingest_ts: str = "ingest_ts",
         metadata.alias("metadata"),
     )
 
-    # --- stage 4: level re-derivation (P18) and network facts (P14, P19) ---
+    # --- stage 4: found arrays, each regex pass once per row ---------------
     msg = F.col("message")
+    arrays = raw_arrays(msg)
+    s3 = s3.select("*", *[c.alias(f"_a_{k}") for k, c in arrays.items()])
+
+    # --- stage 5: level re-derivation (P18) and network facts (P14, P19) ---
     level = F.when(F.col("_field_level") == "INFO", extract_level(msg)).otherwise(F.col("_field_level"))
-    ni = network_info(msg, F.col("_nf_src_ip"), F.col("_nf_dst_ip"), F.col("_nf_ip_address"),
-                      F.col("_nf_src_port"), F.col("_nf_dst_port"), F.col("_nf_protocol"))
+    ni = network_struct(F.col("_a_ips"), F.col("_a_ports"), F.col("_a_protocols"), F.col("_a_macs"),
+                        F.col("_nf_src_ip"), F.col("_nf_dst_ip"), F.col("_nf_ip_address"),
+                        F.col("_nf_src_port"), F.col("_nf_dst_port"), F.col("_nf_protocol"))
     s4 = s3.select(
         *[F.col(c) for c in passthrough], "timestamp", level.alias("level"), "message", "source",
         "log_type", ni.alias("network_info"), "parsed_fields", "metadata",
