@@ -952,3 +952,119 @@ def templates_mined_conversations(spark, sf_dir):
     logs = assign_exact_templates(parse_lines(lines))
     mapping = T.mine_templates(logs)
     return T.mined_template_stats(T.assign_mined_templates(logs, mapping))
+
+
+# ------------------------------------------- merges, joins, feed, report --
+from ..operators.templates import merge_template_stats  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+
+_SPLIT = "2024-01-15 00:00:00"
+
+
+@register("template_stats_merged", _with_templates(
+    "SELECT template_id, template, count, first_seen, last_seen FROM templates"))
+def template_stats_merged(spark, sf_dir):
+    """Statistics of two time slices merged by union + re-aggregate equal
+    the statistics of the whole table."""
+    logs = _logs(spark, sf_dir)
+    early = template_stats(logs.where(F.col("timestamp") < F.lit(_SPLIT).cast("timestamp")))
+    late = template_stats(logs.where(F.col("timestamp") >= F.lit(_SPLIT).cast("timestamp")))
+    return merge_template_stats(early, late).select(
+        "template_id", "template", "count", "first_seen", "last_seen")
+
+
+@register("query_client_page", with_logs(
+    f"SELECT {', '.join(_PAGE_COLS)} FROM logs_n WHERE level = 'ERROR' {_ORDER} LIMIT 10 OFFSET 20"))
+def query_client_page(spark, sf_dir):
+    """The third client page (10 rows) of the first server page."""
+    lq = Q.LogQuery(level="ERROR")
+    page = Q.query_logs(tables.logs(spark, sf_dir), lq)
+    return Q.client_page(page, 3, 10, lq).select(*_PAGE_COLS)
+
+
+@register("files_lookup", with_logs(
+    "SELECT file_id, original_filename, processed_logs FROM files "
+    "WHERE contains(lower(original_filename), 'file-1')", _FILES_CTE))
+def files_lookup(spark, sf_dir):
+    """File list filtered by a name substring."""
+    return Q.find_files(_registry(spark, sf_dir), text="FILE-1").select(
+        "file_id", "original_filename", "processed_logs")
+
+
+_FEED_NEW = f"timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 2 HOUR"
+_FEED_SHOWN = (f"timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 3 HOUR AND "
+               f"timestamp < TIMESTAMP '{AS_OF}' - INTERVAL 90 MINUTE")
+
+
+@register("feed_merge", with_logs(
+    f"""SELECT log_id, timestamp, level, message FROM (
+          SELECT DISTINCT log_id, timestamp, level, message FROM logs_n WHERE {_FEED_NEW}
+          UNION SELECT DISTINCT log_id, timestamp, level, message FROM logs_n WHERE {_FEED_SHOWN})
+        ORDER BY timestamp DESC, log_id LIMIT 20"""))
+def feed_merge(spark, sf_dir):
+    """New rows merged with the rows already shown, newest 20 kept."""
+    logs = tables.logs(spark, sf_dir)
+    cols = ["log_id", "timestamp", "level", "message"]
+    new = logs.where(F.expr(_FEED_NEW)).select(*cols)
+    shown = logs.where(F.expr(_FEED_SHOWN)).select(*cols)
+    return (new.unionByName(shown).dropDuplicates(["log_id"])
+            .orderBy(F.col("timestamp").desc(), "log_id").limit(20))
+
+
+@register("feed_new_rows", with_logs(
+    f"""SELECT log_id, timestamp FROM logs_n n WHERE {_FEED_NEW.replace('timestamp', 'n.timestamp')}
+        AND NOT EXISTS (SELECT 1 FROM logs_n s WHERE s.log_id = n.log_id AND
+                        {_FEED_SHOWN.replace('timestamp', 's.timestamp')})"""))
+def feed_new_rows(spark, sf_dir):
+    """Rows of the newest window that were not shown before (anti join)."""
+    logs = tables.logs(spark, sf_dir)
+    new = logs.where(F.expr(_FEED_NEW)).select("log_id", "timestamp")
+    shown = logs.where(F.expr(_FEED_SHOWN)).select("log_id")
+    return new.join(shown, "log_id", "left_anti")
+
+
+@register("logs_with_files", with_logs(
+    "SELECT l.log_id, l.template_id, f.original_filename, f.status, t.count AS template_count "
+    "FROM logs_n l LEFT JOIN files f ON l.file_id = f.file_id "
+    "LEFT JOIN templates t ON l.template_id = t.template_id",
+    _FILES_CTE + ",\n" + _TEMPLATES_SQL))
+def logs_with_files(spark, sf_dir):
+    """Every log row with its file's registry row and its template's
+    count.  The right sides are aggregates (one row per file / template);
+    AQE broadcasts them when their measured size is small, else it joins by
+    shuffle and splits a hot key's partition."""
+    logs = tables.logs(spark, sf_dir)
+    files = _registry(spark, sf_dir).select("file_id", "original_filename", "status")
+    tmpl = template_stats(logs).select("template_id", F.col("count").alias("template_count"))
+    return (logs.select("log_id", "template_id", "file_id").join(files, "file_id", "left")
+            .join(tmpl, "template_id", "left")
+            .select("log_id", "template_id", "original_filename", "status", "template_count"))
+
+
+@register("anomaly_report", f"""SELECT strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp,
+       anomaly_type AS type, severity, description, score
+FROM ({_anomalies_all_sql(24 * 31)})""")
+def anomaly_report(spark, sf_dir):
+    """Report rows of the 31-day rule-based run (severity order)."""
+    logs = _logs(spark, sf_dir)
+    an = D.run_detection(logs, template_stats(logs), AS_OF, 24 * 31, include_ml=False)
+    return SK.anomaly_report(D.report_order(an)).drop("details")
+
+
+@register("template_counts_7d", with_logs(
+    f"SELECT template_id, count(*) AS count FROM logs_n "
+    f"WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY 1"))
+def template_counts_7d(spark, sf_dir):
+    """Rows per template over the 7 days before as_of."""
+    logs = _logs(spark, sf_dir)
+    since = F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 7 DAYS")
+    return (logs.where((F.col("timestamp") >= since) & (F.col("event_date") >= F.to_date(since)))
+            .groupBy("template_id").agg(F.count(F.lit(1)).alias("count")))
+
+
+@register("template_count_p5", with_logs(
+    f"SELECT quantile_cont(count, 0.05) AS p5 FROM (SELECT template_id, count(*) AS count FROM logs_n "
+    f"WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY 1)"))
+def template_count_p5(spark, sf_dir):
+    """5th percentile (linear interpolation) of 7-day template counts."""
+    return template_counts_7d(spark, sf_dir).agg(F.percentile("count", 0.05).alias("p5"))
