@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from .anomalies import _details, _ts, fmt, recent_logs
+from ..session import ensure_checkpoint_dir
 from .stats import hourly_features
 
 FEATURES = ("n_logs", "n_errors", "n_templates", "n_sources", "hour_of_day", "day_of_week")
@@ -178,7 +179,10 @@ def detect_ml(logs: DataFrame, as_of, hours: int = 24) -> DataFrame:
     """ML_DETECTED_ANOMALY for outlier hours (needs >= 100 rows and >= 24
     hourly feature rows)."""
     rec = recent_logs(logs, as_of, hours)
-    feats = hourly_features(rec)
+    # one row per hour; written once to the shared checkpoint folder because
+    # the size check, the scaling, the sampling and the scoring all read it
+    ensure_checkpoint_dir(logs.sparkSession)
+    feats = hourly_features(rec).checkpoint(eager=True)
     n_logs, n_hours = (feats.agg(F.coalesce(F.sum("n_logs"), F.lit(0)), F.count(F.lit(1)))
                        .first())
     empty = feats.sparkSession.createDataFrame([], _ML_SCHEMA)
