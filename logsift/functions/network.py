@@ -40,8 +40,19 @@ def _none_if_empty(arr: Column) -> Column:
     return F.when(F.size(arr) > 0, arr)
 
 
+def _count_of(text: Column, ch: str) -> Column:
+    """Occurrences of one character (byte-level replace, no regex)."""
+    return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
+
+
 def _ips(text: Column) -> Column:
-    return _all(text, K.IP_RE, text.contains("."))
+    # an IPv4 token holds three dots
+    return _all(text, K.IP_RE, _count_of(text, ".") >= 3)
+
+
+def _mac_guard(text: Column) -> Column:
+    # a MAC address holds five ':' or '-' separators
+    return (_count_of(text, ":") + _count_of(text, "-")) >= 5
 
 
 def ip_addresses(text: Column) -> Column:
@@ -69,7 +80,7 @@ def protocols(text: Column) -> Column:
 
 def mac_addresses(text: Column) -> Column:
     """F5."""
-    return _none_if_empty(_all(text, K.MAC_RE, _has(text, ":", "-")))
+    return _none_if_empty(_all(text, K.MAC_RE, _mac_guard(text)))
 
 
 def protocol_name(proto: Column) -> Column:
@@ -92,7 +103,7 @@ def raw_arrays(text: Column) -> dict[str, Column]:
         "ips": _ips(text),
         "ports": F.array_distinct(ports_ok),
         "protocols": F.array_distinct(F.transform(protos_found, lambda p: F.upper(p))),
-        "macs": _all(text, K.MAC_RE, _has(text, ":", "-")),
+        "macs": _all(text, K.MAC_RE, _mac_guard(text)),
     }
 
 

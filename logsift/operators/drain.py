@@ -15,7 +15,9 @@ Plan:
    clusters found per bucket are merged by a second Drain pass over the
    bucket clusters of that leaf (their number is small: templates, not
    messages).  Leaves below the bound keep exact sequential Drain semantics.
-4. ``groupBy(leaf, bucket).applyInPandas``: within a group, messages in
+4. ``repartition(leaf, bucket)`` + sort + ``mapInPandas``: each task walks
+   its sorted rows and clusters one (leaf, bucket) run at a time (no
+   per-group call overhead).  Within a run, messages in
    arrival order join the most similar cluster (share of equal non-wildcard
    positions, ties to the cluster with more wildcards) when the similarity
    is at least ``sim``; unequal positions become ``<*>``; otherwise a new
@@ -30,6 +32,7 @@ cluster cap evicts clusters (caps would drop templates).
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import ensure_checkpoint_dir
+from ..session import configure, ensure_checkpoint_dir
 
 PARAM = K.MASK_TOKEN
 MAX_LEAF = 20_000
@@ -102,22 +105,51 @@ def drain_group(token_lists: list[list[str]], sim: float) -> tuple[np.ndarray, l
     return assign, templates
 
 
-def _stage1(sim: float):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first_seq", "message"], kind="mergesort")
-        toks = [m.split(" ") if m else [] for m in pdf["message"]]
-        assign, templates = drain_group(toks, sim)
+def _stage1_partition(sim: float):
+    """mapInPandas over rows sorted by (leaf, bucket, first_seq, message):
+    each contiguous (leaf, bucket) run is clustered as one group; a run that
+    continues into the next Arrow batch is carried over, so memory holds at
+    most one group (bounded by the bucket size) plus one batch."""
+    def process(pdf: pd.DataFrame) -> pd.DataFrame:
+        # rows arrive sorted by (leaf, bucket, first_seq, message)
+        leaf = pdf["leaf"].to_numpy()
+        bucket = pdf["bucket"].to_numpy()
+        msgs = pdf["message"].to_numpy()
         seqs = pdf["first_seq"].to_numpy()
-        first = {}
-        for a, s in zip(assign, seqs):
-            first.setdefault(int(a), int(s))
-        return pd.DataFrame({
-            "leaf": pdf["leaf"].to_numpy(), "bucket": pdf["bucket"].to_numpy(),
-            "message": pdf["message"].to_numpy(), "rows": pdf["rows"].to_numpy(),
-            "n_buckets": pdf["n_buckets"].to_numpy(), "cluster": assign.astype(np.int32),
-            "cluster_template": [" ".join(templates[a]) for a in assign],
-            "cluster_seq": [first[int(a)] for a in assign],
-        })
+        n = len(pdf)
+        change = np.r_[True, (leaf[1:] != leaf[:-1]) | (bucket[1:] != bucket[:-1])]
+        starts = np.flatnonzero(change)
+        ends = np.r_[starts[1:], n]
+        cluster = np.empty(n, dtype=np.int32)
+        tmpl = np.empty(n, dtype=object)
+        cseq = np.empty(n, dtype=np.int64)
+        for a, b in zip(starts, ends):
+            assign, templates = drain_group([m.split(" ") if m else [] for m in msgs[a:b]], sim)
+            joined = [" ".join(t) for t in templates]
+            first: dict[int, int] = {}
+            for x, sq in zip(assign, seqs[a:b]):
+                first.setdefault(int(x), int(sq))
+            cluster[a:b] = assign
+            tmpl[a:b] = [joined[x] for x in assign]
+            cseq[a:b] = [first[int(x)] for x in assign]
+        return pd.DataFrame({"leaf": leaf, "bucket": bucket, "message": msgs,
+                             "rows": pdf["rows"].to_numpy(), "n_buckets": pdf["n_buckets"].to_numpy(),
+                             "cluster": cluster, "cluster_template": tmpl, "cluster_seq": cseq})
+
+    def fn(it):
+        carry = None
+        for pdf in it:
+            if carry is not None and len(carry):
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last_leaf, last_bucket = pdf["leaf"].iloc[-1], pdf["bucket"].iloc[-1]
+            tail = ((pdf["leaf"] == last_leaf) & (pdf["bucket"] == last_bucket)).to_numpy()
+            done, carry = pdf[~tail], pdf[tail]
+            if len(done):
+                yield process(done)
+        if carry is not None and len(carry):
+            yield process(carry)
     return fn
 
 
@@ -140,6 +172,7 @@ def mine_templates(messages: DataFrame, message: str = "template", seq: str = "i
     """Mapping from each distinct (masked, tokenised) message to its mined
     template: columns message, mined_template, mined_template_id, rows,
     cluster_size (rows of the whole cluster)."""
+    configure(messages.sparkSession)
     distinct = (messages.where(F.col(message).isNotNull())
                 .groupBy(F.col(message).alias("message"))
                 .agg(F.count(F.lit(1)).alias("rows"), F.min(seq).alias("first_seq")))
@@ -153,12 +186,17 @@ def mine_templates(messages: DataFrame, message: str = "template", seq: str = "i
               .withColumn("n_buckets", n_buckets)
               .withColumn("bucket", F.pmod(F.xxhash64("message"), F.col("n_buckets")).cast("int")))
 
+    # one shuffle by (leaf, bucket), then each task clusters its sorted runs
     s1 = (with_b.select("leaf", "bucket", "message", "first_seq", "rows", "n_buckets")
-          .groupBy("leaf", "bucket").applyInPandas(_stage1(sim), _STAGE1_SCHEMA))
+          .repartition("leaf", "bucket")
+          .sortWithinPartitions("leaf", "bucket", "first_seq", "message")
+          .mapInPandas(_stage1_partition(sim), _STAGE1_SCHEMA))
     # stage 1 feeds both the merge pass and the final mapping: write it once
-    # to the shared checkpoint folder instead of clustering twice
-    ensure_checkpoint_dir(messages.sparkSession)
-    s1 = s1.checkpoint(eager=True)
+    # as a table in the shared checkpoint folder instead of clustering twice
+    spark = messages.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logsift/drain-{uuid.uuid4().hex[:12]}"
+    s1.write.mode("overwrite").parquet(path)
+    s1 = spark.read.parquet(path)
 
     # second pass only over leaves that were split; one row per bucket cluster
     split_clusters = (s1.where(F.col("n_buckets") > 1)

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from .anomalies import _details, _ts, fmt, recent_logs
-from ..session import ensure_checkpoint_dir
+from ..session import configure, ensure_checkpoint_dir
 from .stats import hourly_features
 
 FEATURES = ("n_logs", "n_errors", "n_templates", "n_sources", "hour_of_day", "day_of_week")
@@ -137,6 +137,7 @@ def isolation_scores(features: DataFrame, n_trees: int = K.IFOREST_TREES,
                      contamination: float = K.IFOREST_CONTAMINATION) -> DataFrame:
     """Feature rows (hour + FEATURES) -> + anomaly_score, decision, is_outlier."""
     spark = features.sparkSession
+    configure(spark)
     stats = features.agg(*[F.avg(f).alias(f"m_{f}") for f in FEATURES],
                          *[F.stddev_pop(f).alias(f"s_{f}") for f in FEATURES],
                          F.count(F.lit(1)).alias("_n"))

@@ -74,6 +74,33 @@ def classify(line: Column, json_map: Column) -> Column:
     return expr.otherwise(F.lit("unknown"))
 
 
+# Separator for extracting all groups of a match in one regex pass; a line
+# that already holds it falls back to one extraction per group.
+_SEP = "\u001f"
+
+
+def all_groups(line: Column, pattern: str, n: int) -> Column:
+    """Array of the ``n`` groups of the (start-anchored) pattern's match: one
+    ``regexp_replace`` writes the groups joined by a separator (a group that
+    takes no part gives ''), then ``split``.  Only used on lines known to
+    match the pattern."""
+    tail = "" if pattern.endswith("$") else "(?:.*)$"
+    template = _SEP.join(f"${i}" for i in range(1, n + 1))
+    one_pass = F.split(F.regexp_replace(line, _UNIX + pattern + tail, template), _SEP)
+    per_group = F.array(*[F.regexp_extract(line, _UNIX + pattern, i) for i in range(1, n + 1)])
+    return F.when(line.contains(_SEP), per_group).otherwise(one_pass)
+
+
+def _group_from(arr: Column, log_type: Column, name: str, groups, g: str) -> Column:
+    idx = groups.index(g)
+    v = F.get(arr, idx)
+    if (name, g) in _OPTIONAL:
+        v = F.nullif(v, F.lit(""))
+    if (name, g) == ("cisco_syslog", "timezone"):
+        v = F.nullif(v, F.lit(":"))  # Q9: the pattern can capture a bare ':'
+    return F.when(log_type == name, v)
+
+
 def _group(line: Column, log_type: Column, name: str, pattern: str, groups, g: str) -> Column:
     idx = groups.index(g) + 1
     v = F.regexp_extract(line, _UNIX + pattern, idx)
@@ -120,10 +147,15 @@ def parse_lines(df: DataFrame, line: str = "line", ingest_ts: str = "ingest_ts",
 
     # --- stage 2: groups of the winning format ----------------------------
     line_c, t = F.col("_line"), F.col("log_type")
+    arrays = {}
+    for name, pattern, groups in _REGEX_TYPES:
+        if groups:
+            arrays[name] = F.when(t == name, all_groups(line_c, pattern, len(groups)))
+    s1 = s1.withColumn("_groups", F.coalesce(*arrays.values()))
     grp = {}
     for name, pattern, groups in _REGEX_TYPES:
         for g in groups:
-            grp[(name, g)] = _group(line_c, t, name, pattern, groups, g)
+            grp[(name, g)] = _group_from(F.col("_groups"), t, name, groups, g)
     # Q1: ports and protocol are taken after DST, each on its own
     for key, pattern in (("src_port", K.FIREWALL_SPT_RE), ("dst_port", K.FIREWALL_DPT_RE),
                          ("protocol", K.FIREWALL_PROTO_RE)):

@@ -943,13 +943,18 @@ def templates_mined_conversations(spark, sf_dir):
     """T1 over every line of every conversation turn (rows-only check)."""
     from ..operators.parse import parse_lines
     from ..operators.templates import assign_exact_templates
-    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    lines = conv.select(F.posexplode(F.split("text", "\n")).alias("pos", "line"), "conv_id", "turn",
-                        F.col("role").alias("source"))
-    lines = lines.select("line", "source", F.lit(AS_OF).cast("timestamp").alias("ingest_ts"),
-                         (F.col("conv_id") * 1_000_000 + F.col("turn") * 1_000 + F.col("pos"))
-                         .alias("ingest_seq"))
-    logs = assign_exact_templates(parse_lines(lines))
+    src = f"{sf_dir}/conversations.parquet"
+
+    def build():
+        conv = spark.read.parquet(src)
+        lines = conv.select(F.posexplode(F.split("text", "\n")).alias("pos", "line"), "conv_id",
+                            "turn", F.col("role").alias("source"))
+        lines = lines.select("line", "source", F.lit(AS_OF).cast("timestamp").alias("ingest_ts"),
+                             (F.col("conv_id") * 1_000_000 + F.col("turn") * 1_000 + F.col("pos"))
+                             .alias("ingest_seq"))
+        return assign_exact_templates(parse_lines(tables.spread(lines)))
+
+    logs = tables.stored(spark, "conversation-logs", [src], build)
     mapping = T.mine_templates(logs)
     return T.mined_template_stats(T.assign_mined_templates(logs, mapping))
 

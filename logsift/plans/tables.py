@@ -34,7 +34,7 @@ META_COLUMNS = {
 
 
 # bump when the parsed table's content or layout changes
-LOGS_VERSION = "4"
+LOGS_VERSION = "6"
 
 
 def _fs_path(spark: SparkSession, path: str):
@@ -55,6 +55,30 @@ def stored_logs_path(spark: SparkSession, sf_dir: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/logsift/logs-{key}"
 
 
+def stored(spark: SparkSession, name: str, inputs: list[str], build, partition_by=None) -> DataFrame:
+    """A table derived by Spark from ``inputs``, written once into the shared
+    checkpoint folder (keyed by the inputs' path/size/mtime and LOGS_VERSION)
+    and read back, so later plans start from a stored table."""
+    configure(spark)
+    sig = "|".join(_input_signature(spark, p) for p in inputs) + ":" + LOGS_VERSION + ":" + name
+    key = hashlib.sha1(sig.encode()).hexdigest()[:16]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logsift/{name}-{key}"
+    fs, p = _fs_path(spark, path + "/_SUCCESS")
+    if not fs.exists(p):
+        w = build().write.mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(partition_by)
+        w.parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a small input over the cores before CPU-heavy work (large
+    inputs already arrive in many splits; no key, so no skew)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored parsed-logs table for ``sf_dir`` (built on first use)."""
     configure(spark)
@@ -80,10 +104,7 @@ def build_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The parse is CPU-bound (regular expressions).  Large inputs arrive in
     # many file splits; a small input that fits one split is spread
     # round-robin over the cores first (no key, so no skew).
-    par = spark.sparkContext.defaultParallelism
-    if raw.rdd.getNumPartitions() < par:
-        raw = raw.repartition(par)
-    parsed = parse_lines(raw)
+    parsed = parse_lines(spread(raw))
     out = assign_exact_templates(parsed)
     return out.select(
         F.concat(F.col("file_id"), F.lit("-"), F.col("ingest_seq").cast("string")).alias("log_id"),

@@ -24,9 +24,32 @@ def configure(spark: SparkSession) -> SparkSession:
     for k, v in RUNTIME_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``logsift`` importable in the Python workers (grouped pandas
+    functions are pickled by reference): the package is zipped once per
+    SparkContext and distributed with ``addPyFile`` like ``--py-files``."""
+    sc = spark.sparkContext
+    if getattr(sc, "_logsift_shipped", False):
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="logsift-pyfiles-"), "logsift.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, dirs, files in os.walk(pkg_dir):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(out)
+    sc._logsift_shipped = True
+
+
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "logsift", extra: dict | None = None) -> SparkSession:
     """Local/test session: UI off, UTC, AQE on."""
