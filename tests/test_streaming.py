@@ -53,3 +53,23 @@ def test_file_tail_stream(spark, tmp_dir):
     rows = spark.read.parquet(out).collect()
     assert sorted(r["log_type"] for r in rows) == ["unknown", "windows_event"]
     assert {r["source"] for r in rows} == {"host-x"}
+
+
+def test_live_feed_dedupes_and_keeps_newest(spark, tmp_dir):
+    import datetime as dt
+    src = os.path.join(tmp_dir, "feed_in")
+    os.makedirs(src)
+    base = dt.datetime(2024, 1, 1, 12, 0, 0)
+    rows = [{"log_id": f"id{i % 25}", "timestamp": (base + dt.timedelta(seconds=i % 25)).isoformat(),
+             "level": "INFO", "message": f"m{i % 25}", "source": "s"} for i in range(40)]
+    with open(os.path.join(src, "a.json"), "w") as f:
+        f.write("\n".join(json.dumps(r) for r in rows) + "\n")
+    schema = "log_id string, timestamp timestamp, level string, message string, source string"
+    stream = spark.readStream.schema(schema).json(src)
+    out = os.path.join(tmp_dir, "feed")
+    q = R.live_feed(stream, out, os.path.join(tmp_dir, "ckf"), keep=20, trigger={"availableNow": True})
+    q.awaitTermination()
+    got = spark.read.parquet(f"{out}/batch=0").collect()
+    assert len(got) == 20
+    assert len({r["log_id"] for r in got}) == 20
+    assert min(r["timestamp"] for r in got) == base + dt.timedelta(seconds=5)
