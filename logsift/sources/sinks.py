@@ -62,3 +62,10 @@ def stream_json_lines(sdf: DataFrame, path: str, checkpoint: str, trigger: str =
     return (sdf.writeStream.format("json").option("path", path)
             .option("checkpointLocation", checkpoint)
             .trigger(processingTime=trigger).outputMode("append").start())
+
+
+def stream_console(sdf: DataFrame, checkpoint: str, trigger: str = "1 second"):
+    """S13 (stream): console output of each micro-batch (debugging)."""
+    return (sdf.writeStream.format("console").option("truncate", "false")
+            .option("checkpointLocation", checkpoint).trigger(processingTime=trigger)
+            .outputMode("append").start())
