@@ -73,3 +73,34 @@ def test_live_feed_dedupes_and_keeps_newest(spark, tmp_dir):
     assert len(got) == 20
     assert len({r["log_id"] for r in got}) == 20
     assert min(r["timestamp"] for r in got) == base + dt.timedelta(seconds=5)
+
+
+def test_periodic_detection_appends_anomalies(spark, tmp_dir):
+    import datetime as dt
+    import time
+
+    start = dt.datetime(2024, 1, 1)
+    rows, seq = [], 0
+    for h in range(30):
+        n = 80 if h == 28 else 10 + h % 3
+        for k in range(n):
+            rows.append((f"l{seq}", seq, start + dt.timedelta(hours=h, minutes=k % 60), "INFO", "m",
+                         "s1", "t1", "m"))
+            seq += 1
+    logs = spark.createDataFrame(rows, "log_id string, ingest_seq long, timestamp timestamp, "
+                                       "level string, message string, source string, "
+                                       "template_id string, template string")
+    logs_path = os.path.join(tmp_dir, "logs")
+    logs.withColumn("event_date", F.to_date("timestamp")).write.partitionBy("event_date").parquet(logs_path)
+    an_path = os.path.join(tmp_dir, "anomalies")
+    q = R.periodic_detection(spark, logs_path, an_path, os.path.join(tmp_dir, "ckd"),
+                             interval="1 second", hours=24 * 365 * 10)
+    try:
+        deadline = time.time() + 120
+        while time.time() < deadline and not os.path.exists(os.path.join(an_path, "_SUCCESS")):
+            time.sleep(1)
+    finally:
+        q.stop()
+    got = spark.read.parquet(an_path)
+    assert got.where(F.col("anomaly_type") == "VOLUME_SPIKE").count() >= 1
+    assert "created_at" in got.columns
