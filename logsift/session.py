@@ -57,7 +57,10 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
          .config("spark.ui.enabled", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", os.environ.get("LOGSIFT_DRIVER_MEMORY", "16g"))
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # call-site capture for error messages costs a JVM round trip per
+         # column function; the parse plan builds hundreds of them
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
     if master:
         b = b.master(master)
     for k, v in (extra or {}).items():
