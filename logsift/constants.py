@@ -23,14 +23,6 @@ APACHE_RE = (
 APACHE_GROUPS = ("remote_addr", "timestamp", "method", "url", "protocol", "status",
                  "size", "referer", "user_agent")
 
-# The stricter access-log form.  Every line it accepts is already accepted by
-# APACHE_RE, which is tried first, so it never labels a line; it only feeds the
-# has_user_agent flag.
-NGINX_RE = (
-    r'^(\S+)\s+-\s+\S+\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)\s+(\S+)"\s+(\d+)\s+(\S+)'
-    r'\s+"([^"]*)"\s+"([^"]*)"'
-)
-
 FIREWALL_RE = (
     r"^.*?(ACCEPT|DENY|DROP|REJECT).*?SRC=(\d+\.\d+\.\d+\.\d+).*?DST=(\d+\.\d+\.\d+\.\d+)"
 )

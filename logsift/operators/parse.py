@@ -11,6 +11,8 @@ template columns, plus every input column that is passed through.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -257,4 +259,9 @@ def parse_lines(df: DataFrame, line: str = "line", ingest_ts: str = "ingest_ts",
         *[F.col(c) for c in passthrough], "timestamp", level.alias("level"), "message", "source",
         "log_type", ni.alias("network_info"), "parsed_fields", "metadata",
         F.col("_ingest_ts").alias("ingest_ts"))
-    return s4.withColumn("network_info", null_if_empty_struct("network_info"))
+    out = s4.withColumn("network_info", null_if_empty_struct("network_info"))
+    # Barrier: a later filter on a parsed column (level, network_info, ...)
+    # must run on the parse output, not be pushed through these projections,
+    # where Catalyst would substitute (and multiply) the regex expressions.
+    # Filters are not pushed through a metrics node; it also counts the rows.
+    return out.observe(f"logsift_parse_{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("rows"))

@@ -41,6 +41,8 @@ class LogQuery:
     ip_address: str | None = None
     preset: str | None = None
     as_of: dt.datetime | str | None = None
+    # Equality on parsed fields, e.g. {"status": "500", "method": "GET"}
+    fields: dict[str, str] | None = None
     sort_by: str = "timestamp"
     sort_desc: bool = True
     limit: int = 100
@@ -91,6 +93,8 @@ def predicate(q: LogQuery) -> Column:
         conds.append(F.array_contains(F.col("network_info.ip_addresses"), ip)
                      | (F.col("network_info.src_ip") == ip)
                      | (F.col("network_info.dst_ip") == ip))
+    for key, value in (q.fields or {}).items():
+        conds.append(F.col("parsed_fields")[key] == F.lit(str(value)))
     # plain conjuncts (NULL counts as false in a filter), so that the simple
     # ones stay pushable to the scan
     out = F.lit(True)

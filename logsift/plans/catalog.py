@@ -158,6 +158,8 @@ _SEARCHES = {
                        f"template_id = '{_tmpl_id('tcp connection failed for error')}'"),
     "query_file": (Q.LogQuery(file_id=_file_id("file-3.log"), level="INFO"),
                    f"file_id = '{_file_id('file-3.log')}' AND level = 'INFO'"),
+    "query_fields": (Q.LogQuery(fields={"status": "500", "method": "GET"}),
+                     "apache_access__status = '500' AND apache_access__method = 'GET'"),
     "query_page": (Q.LogQuery(levels=("ERROR", "WARN"), log_type="docker", preset="7d", as_of=AS_OF,
                               sort_by="level", sort_desc=False, offset=20, limit=50),
                    "level IN ('ERROR', 'WARN') AND log_type = 'docker' AND "
