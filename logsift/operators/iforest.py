@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from .anomalies import _details, _ts, fmt, recent_logs
+from .anomalies import _details, fmt, recent_logs
 from ..session import configure, ensure_checkpoint_dir
 from .stats import hourly_features
 
@@ -211,5 +211,4 @@ _ML_SCHEMA = ("timestamp timestamp, anomaly_type string, severity string, descri
               "details map<string,string>, ml_score double, n_logs bigint, n_errors bigint, "
               "n_templates bigint, n_sources bigint, hour_of_day int, day_of_week int")
 
-__all__ = ["detect_ml", "isolation_scores", "build_tree", "path_lengths", "average_path_length",
-           "_ts"]
+__all__ = ["detect_ml", "isolation_scores", "build_tree", "path_lengths", "average_path_length"]

@@ -2,7 +2,6 @@
 fire most of them)."""
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from logsift.operators import anomalies as D

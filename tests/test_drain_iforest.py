@@ -2,7 +2,6 @@
 import datetime as dt
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from logsift.operators import drain as T
 from logsift.operators import iforest as IF
