@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, substring_dedup
+from . import line_dedup, packing, simhash, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op4_packing": packing.op4_packing,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
