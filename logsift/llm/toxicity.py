@@ -4,8 +4,8 @@ inverted index, distance-weighted votes.
 Terms are lower-cased words without outer punctuation and their prefixes of 4
 and 5 characters.  Fitting uses a bounded sample of the labelled training rows
 (at most ``PER_CLASS`` of each class, those of least hash): terms whose
-chi-square against the label reaches ``MIN_CHI2`` form the vocabulary (at most
-``MAX_TERMS``), and the sample's vectors over it form the index, which is
+chi-square against the label reaches ``MIN_CHI2``, at least half of them toxic,
+form the vocabulary (at most ``MAX_TERMS``), and the sample's vectors over it form the index, which is
 therefore bounded and broadcast.  Document frequencies count all documents.
 
 Search is exact: blocks of examples are visited by falling upper bound (the
@@ -37,6 +37,7 @@ PER_CLASS = 4000
 MAX_TERMS = 2000
 MIN_CHI2 = 30.0
 MIN_DF = 4
+MIN_SHARE = 0.5            # toxic share among the labelled rows with a term, at least
 K = 15
 BLOCK = 64
 SHRINK = 0.5
@@ -189,7 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     a, b = F.col("a"), F.col("b")
     chi2 = (F.pow(a * n0 - b * n1, 2.0) * (n0 + n1)
             / ((a + b) * (n0 + n1 - a - b) * F.lit(n0).cast("double") * n1))
-    chosen = (df.withColumn("chi2", chi2).where((F.col("chi2") >= MIN_CHI2) & (a * n0 > b * n1))
+    weight = {c: totals[c] / n[c] for c in (0, 1)}
+    share = a * weight[1] / (a * weight[1] + b * weight[0])
+    chosen = (df.withColumn("chi2", chi2).where((F.col("chi2") >= MIN_CHI2) & (share >= MIN_SHARE))
               .orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).select("term").collect())
     vocab = {r["term"]: i for i, r in enumerate(chosen)}
     seen = {r["id"]: r["n"] for r in docs.select("text").mapInArrow(_df_rows(vocab), "id long, n long")
@@ -197,7 +200,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     idf = np.array([math.log((seen.get(-1, 0) + 1) / (seen.get(i, 0) + 1)) + 1 for i in range(len(vocab))])
     rows = sample.select("doc_id", "y", "text").mapInArrow(
         _count_rows(vocab), "doc_id long, y long, ids array<long>, tf array<long>")
-    weight = {c: totals[c] / n[c] for c in (0, 1)}
     empty = {r["y"]: r["count"] * weight[r["y"]]
              for r in rows.where(F.size("ids") == 0).groupBy("y").count().collect()}
     base = (empty.get(1, 0) + 0.5 * n1 / (n0 + n1)) / (sum(empty.values()) + 0.5)
