@@ -3,9 +3,12 @@
 Public vocabularies measure each document's words: characters per token and
 token entropy with the byte-level BPE, byte-fallback share with the piece BPE.
 Each language has a rejection band per measure, from the quartiles of all its
-documents that pass the base rules (``SPREAD`` interquartile ranges beyond
-them, at least the floors below); languages with under ``MIN_DOCS`` such
-documents share one band over all languages.
+documents that pass the base rules; languages with under ``MIN_DOCS`` such
+documents share one band over all languages.  Characters per token vary with
+the inverse square root of the length, so a document is rejected only if its
+distance from the median is beyond ``SHIFT`` interquartile ranges and, times
+the root of its tokens, beyond ``SPREAD`` ranges of that product.  Entropy is
+rejected below, byte fallback above ``SPREAD`` ranges from the quartile.
 
 A word's tokens do not depend on its neighbours, so they are kept in a bounded
 table per worker.  Edge cases: null and empty texts have no words and fail the
@@ -29,10 +32,10 @@ from .tokens import Chunks, byte_bpe
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-SPREAD = 4.0
+SPREAD, SHIFT = 5.0, 2.0
 MIN_DOCS = 100
 # floors: smallest width taken for a measure's interquartile range
-FLOOR = {"chars_per_token": 0.1, "token_entropy": 0.02, "fallback_share": 0.02}
+FLOOR = {"chars_per_token": 0.02, "token_entropy": 0.02, "fallback_share": 0.02}
 _LINE_WORD = re.compile(r"[^\x20\x09-\x0D]")
 _C = odd_constants(21, 3)
 
@@ -113,22 +116,31 @@ def fertility(docs: DataFrame, bpe_path: str | None = None, piece_path: str | No
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
     m = stage(m, "measures")
     names = list(FLOOR)
-    quartiles = [F.percentile_approx(c, [0.25, 0.75], 10000).alias(c) for c in names]
     good = m.where("not base_failed")
-    own = good.groupBy("lang").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= MIN_DOCS)
-    whole = good.agg(*[q.alias(f"all_{c}") for q, c in zip(quartiles, names)])      # one row
-
-    def band(c):
-        q = F.coalesce(F.col(f"b.{c}"), F.col(f"all_{c}"))
-        width = SPREAD * F.greatest(q[1] - q[0], F.lit(FLOOR[c]))
-        return q[0] - width, q[1] + width
-
-    out = m.alias("m").join(F.broadcast(whole)).join(
-        own.alias("b"), F.col("m.lang").eqNullSafe(F.col("b.lang")), "left")
-    low, high = zip(*(band(c) for c in names))
-    bad = ((F.col("m.chars_per_token") < low[0]) | (F.col("m.chars_per_token") > high[0])
-           | (F.col("m.token_entropy") < low[1]) | (F.col("m.fallback_share") > high[2]))
-    return out.select("m.*", (~F.col("m.base_failed") & ~F.coalesce(bad, F.lit(False))).alias("kept"))
+    m = _with_bands(m, good, names).withColumn("scaled", (
+        F.col("chars_per_token") - F.col("q_chars_per_token")[1]) * F.sqrt("n_tokens"))
+    m = _with_bands(m, m.where("not base_failed"), ["scaled"])
+
+    def width(c):
+        return F.greatest(F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0], F.lit(FLOOR.get(c, 0.2)))
+
+    far = F.abs(F.col("chars_per_token") - F.col("q_chars_per_token")[1]) > SHIFT * width("chars_per_token")
+    bad = (far & (F.abs("scaled") > SPREAD * width("scaled"))
+           | (F.col("token_entropy") < F.col("q_token_entropy")[0] - SPREAD * width("token_entropy"))
+           | (F.col("fallback_share") > F.col("q_fallback_share")[2] + SPREAD * width("fallback_share")))
+    return m.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(bad, F.lit(False))).drop(
+        "scaled", "q_scaled", *[f"q_{c}" for c in names])
+
+
+def _with_bands(m: DataFrame, good: DataFrame, names: list[str]) -> DataFrame:
+    """``m`` with ``q_<name>``: quartiles of its language, else of all."""
+    quartiles = [F.percentile_approx(c, [0.25, 0.5, 0.75], 10000).alias(f"q_{c}") for c in names]
+    own = (good.groupBy("lang").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= MIN_DOCS)
+           .select(F.col("lang").alias("b_lang"), *[F.col(f"q_{c}").alias(f"b_{c}") for c in names]))
+    whole = good.agg(*quartiles)      # one row
+    q = [F.coalesce(f"b_{c}", f"q_{c}").alias(f"q_{c}") for c in names]
+    joined = m.join(F.broadcast(whole)).join(own, F.col("lang").eqNullSafe(F.col("b_lang")), "left")
+    return joined.select(*m.columns, *q)
 
 
 def op2_quality_fertility(spark, sf_dir):

@@ -3,8 +3,9 @@ inverted index, distance-weighted votes.
 
 Terms are lower-cased words without outer punctuation and their prefixes of 4
 and 5 characters.  Fitting uses a bounded sample of the labelled training rows
-(at most ``PER_CLASS`` of each class, those of least hash): terms whose
-chi-square against the label reaches ``MIN_CHI2``, at least half of them toxic,
+(at most ``PER_CLASS`` of each class, those of least hash): terms that
+a share of the toxic rows has (so that copies of one document do not count as
+evidence) and whose chi-square against the label reaches ``MIN_CHI2``, nine in ten rows with it toxic,
 form the vocabulary (at most ``MAX_TERMS``), and the sample's vectors over it form the index, which is
 therefore bounded and broadcast.  Document frequencies count all documents.
 
@@ -36,8 +37,8 @@ from .common import stage, table
 PER_CLASS = 4000
 MAX_TERMS = 2000
 MIN_CHI2 = 30.0
-MIN_DF = 4
-MIN_SHARE = 0.5            # toxic share among the labelled rows with a term, at least
+MIN_DF, MIN_SUPPORT = 4, 0.02   # toxic rows with a term: so many, and this share of them
+MIN_SHARE = 0.9            # toxic share among the labelled rows with a term, at least
 K = 15
 BLOCK = 64
 SHRINK = 0.5
@@ -186,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model({}, np.zeros(0), [], float(bool(n1)), {0: 1.0, 1: 1.0})
     df = (sample.select("text", "y").mapInArrow(_term_rows, "term string, y long, n long")
           .groupBy("term").agg(F.sum(F.expr("n * y")).alias("a"), F.sum(F.expr("n * (1 - y)")).alias("b"))
-          .where(F.col("a") + F.col("b") >= MIN_DF))
+          .where(F.col("a") >= max(MIN_DF, MIN_SUPPORT * n1)))
     a, b = F.col("a"), F.col("b")
     chi2 = (F.pow(a * n0 - b * n1, 2.0) * (n0 + n1)
             / ((a + b) * (n0 + n1 - a - b) * F.lit(n0).cast("double") * n1))
