@@ -19,7 +19,8 @@
    (a fixed bound); the other occurrences are joined with the word table and
    go back to their document, which travels as packed ids, not as text.
 
-Decoding joins the pieces' bytes and undoes the meta symbol and the prefix.
+Decoding joins the pieces' bytes and undoes the meta symbol and the prefix; as in
+the library, a literal meta symbol of the text comes back as a blank.
 
 Edge cases: null and empty texts have no ids; control pieces in a text are
 ordinary characters; repeated rows are encoded each; other columns are not
