@@ -244,8 +244,9 @@ def test_pipeline_stages(spark, tmp_dir):
         .write.parquet(f"{tmp_dir}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_dir}/labels.parquet")
     out = C.run(spark, tmp_dir)
-    ids = {r["doc_id"] for r in out.collect()}
-    assert set(range(60)) <= ids and 100 not in ids
+    length = {r["doc_id"]: r["doc_tokens"] for r in out.collect()}
+    assert all(length.get(i, 0) > 80 for i in range(60))
+    assert length.get(100, 1) == 1      # its one line is a variant of an earlier one
     frame = spark.read.parquet(f"{tmp_dir}/documents.parquet")
     for name, fn in C.STAGES[:-1]:
         assert fn(spark, frame, tmp_dir).columns == frame.columns, name
