@@ -70,8 +70,8 @@ def is_error(level: Column, levels=K.ML_ERROR_LEVELS) -> Column:
 
 
 def readable_size(nbytes: Column) -> Column:
-    """F16: base 1024, two decimals, units Bytes KB MB GB; 0 -> '0 Bytes'."""
-    units = F.array(*[F.lit(u) for u in ("Bytes", "KB", "MB", "GB")])
+    """F16: base 1024, two decimals, units Bytes KB MB GB TB PB EB; 0 -> '0 Bytes'."""
+    units = F.array(*[F.lit(u) for u in ("Bytes", "KB", "MB", "GB", "TB", "PB", "EB")])
     i = F.floor(F.log(nbytes.cast("double")) / F.log(F.lit(1024.0))).cast("int")
     value = F.round(nbytes / F.pow(F.lit(1024.0), i), 2)
     # JavaScript prints 2.5 as '2.5' and 3.0 as '3'

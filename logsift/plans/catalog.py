@@ -657,10 +657,10 @@ def file_ingest_counts(spark, sf_dir):
 
 @register("files_listing", with_logs(
     "SELECT file_id, original_filename, file_size, processed_logs, failed_logs, status FROM files "
-    "ORDER BY upload_timestamp DESC, file_id LIMIT 5", _FILES_CTE))
+    "ORDER BY upload_timestamp DESC, file_id", _FILES_CTE))
 def files_listing(spark, sf_dir):
-    """Newest five uploads (a page of the file list)."""
-    return TF.list_files(_registry(spark, sf_dir)).limit(5).select(
+    """All uploads, newest first."""
+    return TF.list_files(_registry(spark, sf_dir)).select(
         "file_id", "original_filename", "file_size", "processed_logs", "failed_logs", "status")
 
 
