@@ -219,6 +219,8 @@ def word_ids(words: DataFrame, path: str | None = None, kind: str = "bpe") -> Da
     pieces = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in vocab.pieces.items()],
                                    "piece string, id int, score double")
     base = min(vocab.byte.values()) if vocab.byte else 0
+    # dealt by word before the explode, so that the far larger edges stay where they are
+    words = words.repartition(4 * spark.sparkContext.defaultParallelism, "word")
     short = words.where(F.length("word") <= MASK) if kind == "bpe" else words
     edges = lattice(short, pieces, vocab.longest, base)
     if kind == "bpe":
