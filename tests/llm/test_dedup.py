@@ -189,3 +189,30 @@ def test_line_dedup_chunks_give_the_same_groups(spark, monkeypatch):
     monkeypatch.setattr(L, "CHUNK", 3)
     assert sorted((r["row"]["doc_id"], r["n_removed"]) for r in L.line_dedup(df).collect()) == whole
     assert sum(n for _, n in whole) > 30
+
+
+def test_a_near_pair_is_a_candidate_in_its_first_shared_block_only():
+    import numpy as np
+    import pyarrow as pa
+
+    line = [f"w{i}" for i in range(40)]
+    words = line + ["other"] + line[1:] + [f"v{i}" for i in range(40)]
+    s, m = L._sketches(words, np.array([40, 40, 40]))
+    for other, expected in ((1, True), (2, False)):
+        shared, found = [], []
+        for k in range(2 * L.HALF):
+            block = s[:, k // L.HALF] >> np.uint64(L.BLOCK_BITS * (k % L.HALF)) & np.uint64((1 << L.BLOCK_BITS) - 1)
+            if expected and block[0] != block[other]:
+                continue
+            two = [0, other]
+            t = pa.table({"key": pa.array([k << L.BLOCK_BITS] * 2), "s1": s[two, 0].view(np.int64),
+                          "s2": s[two, 1].view(np.int64), "m": m[two].view(np.int64), "chars": pa.array([150, 150])})
+            shared.append(k)
+            if L._Sketched(t).candidates(np.array([0]), np.array([1]))[0]:
+                found.append(k)
+        assert shared and found == (shared[:1] if expected else [])
+
+
+def test_overlap_of_distinct_words_is_asked_for_before_the_edit_distance():
+    assert L.similar("a b c d e f g h one", "a b c d e f g h two")
+    assert not L.similar(" ".join(["the"] * 50 + ["of"]), " ".join(["and"] * 50 + ["to"]))
