@@ -25,14 +25,22 @@ def template_stats(logs: DataFrame) -> DataFrame:
     time), the template text of the first row by arrival.
 
     Partial aggregation runs map-side, so a template that holds a third of
-    all rows costs one small partial row per task, not one hot task.
+    all rows costs one small partial row per task, not one hot task.  The rows
+    are grouped by id and text with numbers as buffers, which a hash aggregate
+    can hold; picking the text by arrival would sort them, so that is done on
+    the few (id, text) rows afterwards.
     """
-    return (logs.where(F.col("template_id").isNotNull())
-            .groupBy("template_id")
-            .agg(F.min_by("template", "ingest_seq").alias("template"),
-                 F.count(F.lit(1)).alias("count"),
-                 F.min("timestamp").alias("first_seen"),
-                 F.max("timestamp").alias("last_seen"))
+    texts = (logs.where(F.col("template_id").isNotNull())
+             .groupBy("template_id", "template")
+             .agg(F.min("ingest_seq").alias("seq"),
+                  F.count(F.lit(1)).alias("count"),
+                  F.min("timestamp").alias("first_seen"),
+                  F.max("timestamp").alias("last_seen")))
+    return (texts.groupBy("template_id")
+            .agg(F.min_by("template", "seq").alias("template"),
+                 F.sum("count").alias("count"),
+                 F.min("first_seen").alias("first_seen"),
+                 F.max("last_seen").alias("last_seen"))
             .withColumn("cluster_size", F.col("count")))
 
 

@@ -44,3 +44,10 @@ def test_time_window_prunes_partitions(ready):
 def test_partial_aggregation_before_shuffle(ready):
     p = _plan(catalog.SPARK["stats_levels"](ready, SF))
     assert "partial_count" in p
+
+
+def test_template_statistics_hash_the_log_rows(ready):
+    p = _plan(catalog.SPARK["template_stats"](ready, SF))
+    tree = p[:p.index("\n\n(1)")] if "\n\n(1)" in p else p
+    last = [line for line in tree.splitlines() if "Aggregate" in line][-1]     # the one next to the scan
+    assert "HashAggregate" in last
