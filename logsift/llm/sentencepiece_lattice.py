@@ -11,10 +11,14 @@
 3. *Fold.*  ``aggregate`` folds the edges into the segmentation.  For a unigram
    vocabulary that is Viterbi (largest sum of scores).  The public vocabulary
    is a BPE one, for which Viterbi gives other ids than the library: there each
-   step of the fold merges the best-scored edge (leftmost on ties) whose inside
-   holds exactly one boundary; boundaries are the bits of one long.  Words over
-   ``MASK`` characters, whose boundaries exceed a long, take the same merges
-   in a small Python helper.
+   step of the fold takes the next edge, best score first (leftmost on ties),
+   and merges it if its ends are boundaries and its inside holds exactly one;
+   boundaries are the bits of one long.  One pass over the edges gives what
+   repeated best-first merging gives, unless a merge enables one with a better
+   score; a piece for which that happens in its own merges is found from the
+   vocabulary.  Words with such a piece (a run of 16 blanks) and words over
+   ``MASK`` characters, whose boundaries exceed a long, take the merges in a
+   small Python helper.
 4. *Documents.*  The ids of the ``FREQUENT`` most frequent words are broadcast
    (a fixed bound); the other occurrences are joined with the word table and
    go back to their document, which travels as packed ids, not as text.
@@ -32,6 +36,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -77,6 +82,17 @@ class Pieces:
         before = f"(?<=[^\\W\\d_])(?=[{cut}])|" if cut else ""
         self.cut = re.compile(f"{before}(?<=[^{META}])(?={META})|(?<=\\n)|(?=\\n)")
 
+    @cached_property
+    def late(self) -> list[str]:
+        """Pieces whose own merges don't come in the order of their scores."""
+        out = []
+        for p in self.pieces:
+            trace: list = []
+            merge_word(p, self, trace)
+            if trace != sorted(trace):
+                out.append(p)
+        return out
+
     def words(self, text: str | None) -> list[str]:
         if not text:
             return []
@@ -95,8 +111,9 @@ def model(path: str | None = None) -> Pieces:
     return _MODELS[path]
 
 
-def merge_word(word: str, vocab: Pieces) -> list[int]:
-    """BPE ids of one word by a heap of neighbouring pairs."""
+def merge_word(word: str, vocab: Pieces, trace: list | None = None) -> list[int]:
+    """BPE ids of one word by a heap of neighbouring pairs; ``trace`` takes
+    (cost, start, end) of every merge."""
     n = len(word)
     part, nxt, prev = list(word), list(range(1, n + 1)), list(range(-1, n - 1))
     heap: list = []
@@ -112,6 +129,8 @@ def merge_word(word: str, vocab: Pieces) -> list[int]:
         _, i, a, b, j = heapq.heappop(heap)
         if part[i] == a and nxt[i] == j and part[j] == b:
             part[i], part[j] = a + b, ""
+            if trace is not None:
+                trace.append((-vocab.pieces[a + b][1], i, i + len(a + b)))
             nxt[i] = nxt[j]
             if nxt[i] < n:
                 prev[nxt[i]] = i
@@ -161,11 +180,9 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, byte_base: int) -
     ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spelled)
     rows = hit.select("word", "k", (-F.coalesce("score", F.lit(-1e30))).alias("cost"), (F.col("at") - 1).alias("i"),
                       (F.col("at") + F.col("k") - 1).alias("j"), ids.alias("ids"))
-    bit = F.expr("shiftleft(1L, j) - shiftleft(1L, i + 1)"), F.expr("shiftleft(1L, i) + shiftleft(1L, j)")
-    wide = F.struct("cost", "i", bit[0].alias("inside"), bit[1].alias("ends"))
-    return rows.groupBy("word").agg(
-        F.sort_array(F.collect_list(F.struct("cost", "i", "j", "ids"))).alias("edges"),
-        F.sort_array(F.collect_list(F.when(F.col("k") > 1, wide))).alias("wide"))
+    inside, ends = F.expr("shiftleft(1L, j) - shiftleft(1L, i + 1)"), F.expr("shiftleft(1L, i) + shiftleft(1L, j)")
+    return rows.groupBy("word").agg(F.sort_array(F.collect_list(F.struct(
+        "cost", "i", "j", inside.alias("inside"), ends.alias("ends"), "ids"))).alias("edges"))
 
 
 def _path_ids(edges: Column, ends: Column) -> Column:
@@ -174,20 +191,22 @@ def _path_ids(edges: Column, ends: Column) -> Column:
         edges, lambda e: (e["i"] == F.get(ends, t - 1)) & (e["j"] == F.get(ends, t))), F.lit(0))["ids"]))
 
 
-def fold_bpe(word: Column, wide: Column) -> Column:
-    """Boundaries once no edge can be merged.  ``wide`` are the edges over more
-    than one character, as the bits of their ends and of the places inside."""
-    n = F.length(word)
+def fold_bpe(word: Column, edges: Column) -> Column:
+    """Boundaries, as bits of a long, once every edge has been tried, best score
+    first.  One pass is enough where no merge enables a better one
+    (``Pieces.late`` has the others)."""
+    whole = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(word) + 1) - F.lit(1)
+    return F.aggregate(edges, whole, lambda mask, e: F.when(
+        (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inside"])) == 1),
+        mask.bitwiseAND(F.bitwise_not(e["inside"]))).otherwise(mask))
 
-    def step(mask, _):
-        best = F.get(F.filter(wide, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"])
-                              & (F.bit_count(mask.bitwiseAND(e["inside"])) == 1)), F.lit(0))
-        return F.coalesce(mask.bitwiseAND(F.bitwise_not(best["inside"])), mask)
 
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n - 1, F.size(wide))))
-    whole = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - F.lit(1)
-    return F.aggregate(steps, whole, step, lambda mask: F.filter(F.sequence(F.lit(0), n), lambda x: F.call_function(
-        "shiftright", mask, x).bitwiseAND(F.lit(1).cast("long")) == 1))
+def _bpe_ids(edges: Column, mask: Column) -> Column:
+    """Ids of the edges between consecutive boundaries."""
+    path = F.filter(edges, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"])
+                    & (mask.bitwiseAND(e["inside"]) == 0))
+    return F.flatten(F.transform(F.array_sort(F.transform(
+        path, lambda e: F.struct(e["i"].alias("i"), e["ids"].alias("ids")))), lambda e: e["ids"]))
 
 
 def fold_viterbi(word: Column, edges: Column) -> Column:
@@ -221,19 +240,20 @@ def word_ids(words: DataFrame, path: str | None = None, kind: str = "bpe") -> Da
     base = min(vocab.byte.values()) if vocab.byte else 0
     # dealt by word before the explode, so that the far larger edges stay where they are
     words = words.repartition(4 * spark.sparkContext.defaultParallelism, "word")
-    short = words.where(F.length("word") <= MASK) if kind == "bpe" else words
-    edges = lattice(short, pieces, vocab.longest, base)
-    if kind == "bpe":
-        ends = fold_bpe(F.col("word"), F.col("wide"))
-    else:
-        edges = edges.withColumn("best", fold_viterbi(F.col("word"), F.col("edges")))
-        ends = viterbi_ends(F.col("best"))
-    # the boundaries are used several times below, so they stay a column
-    out = edges.withColumn("ends", ends).select("word", _path_ids(F.col("edges"), F.col("ends")).alias("ids"))
     if kind != "bpe":
-        return out
-    long = words.where(F.length("word") > MASK).select("word").mapInArrow(_merged(path), "word string, ids array<int>")
-    return out.union(long)
+        edges = lattice(words, pieces, vocab.longest, base)
+        # the boundaries are used several times below, so they stay a column
+        edges = edges.withColumn("best", fold_viterbi(F.col("word"), F.col("edges")))
+        edges = edges.withColumn("ends", viterbi_ends(F.col("best")))
+        return edges.select("word", _path_ids(F.col("edges"), F.col("ends")).alias("ids"))
+    folded = F.length("word") <= MASK
+    if vocab.late:
+        folded &= ~F.col("word").rlike("|".join(map(re.escape, vocab.late)))
+    edges = lattice(words.where(folded), pieces, vocab.longest, base)
+    edges = edges.withColumn("mask", fold_bpe(F.col("word"), F.col("edges")))
+    out = edges.select("word", _bpe_ids(F.col("edges"), F.col("mask")).alias("ids"))
+    rest = words.where(~folded).select("word").mapInArrow(_merged(path), "word string, ids array<int>")
+    return out.union(rest)
 
 
 def _rare(path, frequent):

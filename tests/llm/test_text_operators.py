@@ -152,7 +152,8 @@ def test_sentencepiece_ids_equal_the_library(spark):
     prepare(spark)
     lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     rng = random.Random(6)
-    texts = [t for t in ODD if "\x1c" not in t] + ["the,quick.brown (fox) " * 3, "a" * 100 + " " + "ab" * 70] + [
+    texts = [t for t in ODD if "\x1c" not in t] + ["the,quick.brown (fox) " * 3, "a" * 100 + " " + "ab" * 70,
+                                                 "x" + " " * 37 + "the y" + " " * 16 + "\n" + " " * 15 + "z"] + [
         "".join(rng.choice("abcdetn  .,\né日") for _ in range(50)) for _ in range(15)] + [None]
     df = spark.createDataFrame(list(enumerate(texts)) + [(0, ODD[1])], "doc_id long, text string")
     out = sp.encode(df)
