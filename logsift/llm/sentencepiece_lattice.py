@@ -37,6 +37,7 @@ import heapq
 import re
 from collections import Counter
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -77,10 +78,10 @@ class Pieces:
         marks = [m for m in MARKS if not any(x[1] == m and x[0].isalpha() for x in inner)]
         if any(x[1] == META and x[0] != META or "\n" in x for x in inner):
             raise ValueError("pieces reach across words")
-        # a run of meta symbols and what follows it; a newline; marks after letters
+        # a newline, or a run of meta symbols and what follows it; after a letter a mark starts anew
         cut = "".join(map(re.escape, marks))
-        before = f"(?<=[^\\W\\d_])(?=[{cut}])|" if cut else ""
-        self.cut = re.compile(f"{before}(?<=[^{META}])(?={META})|(?<=\\n)|(?=\\n)")
+        plain, mark = f"[^{META}\n{cut}]++", f"|(?<![^\\W\\d_])[{cut}]" if cut else ""
+        self.word = re.compile(f"\n|{META}*+[^{META}\n](?:{plain}{mark})*+|{META}++")
 
     @cached_property
     def late(self) -> list[str]:
@@ -96,7 +97,7 @@ class Pieces:
     def words(self, text: str | None) -> list[str]:
         if not text:
             return []
-        return [w for w in self.cut.split(META + text.replace(" ", META)) if w]
+        return self.word.findall(META + text.replace(" ", META))
 
     def char_ids(self, c: str) -> list[int]:
         return [self.pieces[c][0]] if c in self.pieces else [self.byte[b] for b in c.encode()]
@@ -275,7 +276,7 @@ def _packed(path, frequent):
     def run(it):
         vocab, known = model(path), frequent.value
         for b in it:
-            out = [b"".join(known.get(w, hole) for w in vocab.words(t)) for t in b.column(2).to_pylist()]
+            out = [b"".join(map(known.get, vocab.words(t), repeat(hole))) for t in b.column(2).to_pylist()]
             small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in out]   # ids are below 2**16 - 1
             yield pa.RecordBatch.from_arrays(
                 [b.column(3), b.column(0), b.column(1), pa.array(small, pa.binary())], names=["doc_id", "did", "rid", "packed"])
