@@ -69,6 +69,28 @@ def is_error(level: Column, levels=K.ML_ERROR_LEVELS) -> Column:
     return F.when(level.isin(*levels), F.lit(1)).otherwise(F.lit(0))
 
 
+def json_object(text: Column) -> Column:
+    """A text that is one JSON object, whole, as map<string,string>; else NULL.
+
+    Spark's reader ignores what follows the first value, so the text is read as
+    the first of two elements of an array: anything after the object breaks the
+    array or changes its length.
+    """
+    end = '{"\\u0001":null}'
+    parsed = F.from_json(F.concat(F.lit("["), text, F.lit(f",{end}]")), "array<map<string,string>>",
+                         {"allowSingleQuotes": "false"})
+    only = F.get(F.transform(F.array(parsed), lambda p: F.when(
+        (F.size(p) == 2) & F.map_contains_key(F.get(p, F.lit(1)), F.lit("\u0001")), F.get(p, F.lit(0)))), F.lit(0))
+    return F.when(F.startswith(F.ltrim(text, F.lit(" \t\r\n")), F.lit("{")), only)
+
+
+def iso_time(text: Column) -> Column:
+    """Text that begins with a whole date -> timestamp, else NULL (a bare time or
+    year would otherwise be completed from the clock)."""
+    t = F.trim(text)
+    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]|$)"), F.try_to_timestamp(t))
+
+
 def readable_size(nbytes: Column) -> Column:
     """F16: base 1024, two decimals, units Bytes KB MB GB TB PB EB; 0 -> '0 Bytes'."""
     units = F.array(*[F.lit(u) for u in ("Bytes", "KB", "MB", "GB", "TB", "PB", "EB")])

@@ -12,6 +12,10 @@ in hours (24 by default), never over log rows.
 
 from __future__ import annotations
 
+import logging
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -262,13 +266,20 @@ def detect_source_silence(logs: DataFrame, as_of, hours: int = 24) -> DataFrame:
 
 
 # -------------------------------------------------------------- D7 all ------
-def run_detection(logs: DataFrame, templates: DataFrame, as_of, hours: int = 24,
-                  include_ml: bool = True, sink=None) -> DataFrame:
-    """All detectors, unioned in the anomaly layout.
+class DetectionRun(NamedTuple):
+    written: list[str]
+    failed: list[str]
 
-    With a ``sink(name, df)`` each detector's result is written on its own and
-    a failing detector does not stop the others (failures are logged and
-    skipped, as in the reference's run loop).
+
+def run_detection(logs: DataFrame, templates: DataFrame, as_of, hours: int = 24,
+                  include_ml: bool = True, sink=None, only=None):
+    """All detectors (or those named in ``only``).
+
+    Without a sink: their union in the anomaly layout, one lazy plan in which an
+    error of any detector is an error of the whole.  With a ``sink(name, df)``
+    each detector is planned and written on its own; one that fails is logged
+    and does not stop the others.  Then a ``DetectionRun`` with the names that
+    were written and those that failed is returned.
     """
     parts = {
         "volume": lambda: detect_volume(logs, as_of, hours),
@@ -280,18 +291,18 @@ def run_detection(logs: DataFrame, templates: DataFrame, as_of, hours: int = 24,
     if include_ml:
         from .iforest import detect_ml
         parts["ml"] = lambda: detect_ml(logs, as_of, hours)
-    out = None
+    parts = {n: build for n, build in parts.items() if only is None or n in only}
+    if sink is None:
+        return reduce(DataFrame.unionByName, [as_anomalies(build()) for build in parts.values()])
+    written, failed = [], []
     for name, build in parts.items():
         try:
-            df = as_anomalies(build())
-            if sink is not None:
-                sink(name, df)
+            sink(name, as_anomalies(build()))
+            written.append(name)
         except Exception as exc:  # noqa: BLE001 - isolation per detector
-            import logging
             logging.getLogger(__name__).error("detector %s failed: %s", name, exc)
-            continue
-        out = df if out is None else out.unionByName(df)
-    return out
+            failed.append(name)
+    return DetectionRun(written, failed)
 
 
 def anomalies_by_day(logs: DataFrame, anomalies: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.levels import extract_level
 from ..functions.network import network_struct, null_if_empty_struct, raw_arrays
+from ..functions.text import iso_time, json_object
 
 # Java's '.' and '$' also stop at '\r' and Unicode line ends; UNIX_LINES makes
 # them stop at '\n' only, like the patterns' original dialect.
@@ -139,8 +140,7 @@ def parse_lines(df: DataFrame, line: str = "line", ingest_ts: str = "ingest_ts",
     df = df.where(stripped != "")
 
     # --- stage 1: strip, JSON attempt, classify --------------------------
-    json_map = F.when(F.startswith(stripped, F.lit("{")),
-                      F.from_json(L, "map<string,string>"))
+    json_map = F.when(F.startswith(stripped, F.lit("{")), json_object(L))
     s1 = df.select(*[F.col(c) for c in passthrough],
                    L.alias("_line"), stripped.alias("_stripped"),
                    F.col(ingest_ts).alias("_ingest_ts"), F.col(source).alias("source"),
@@ -181,7 +181,7 @@ def parse_lines(df: DataFrame, line: str = "line", ingest_ts: str = "ingest_ts",
                .when(t == "docker", G("docker", "message"))
                .otherwise(F.col("_stripped")))
     json_ts_text = F.when(F.map_contains_key(j, "timestamp"), j["timestamp"]).otherwise(j["time"])
-    parsed_ts = (F.when(t == "json", F.try_to_timestamp(json_ts_text))
+    parsed_ts = (F.when(t == "json", iso_time(json_ts_text))
                  .when(t == "syslog", _syslog_time(G("syslog", "timestamp"), F.col("_ingest_ts")))
                  .when(t == "apache_access",
                        F.try_to_timestamp(G("apache_access", "timestamp"),

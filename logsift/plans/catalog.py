@@ -408,7 +408,7 @@ register("anomaly_volume_30d", _volume_sql(24 * 31))(_volume(24 * 31))
 @register("hourly_gapfill_rolling_z", with_logs(
     "SELECT hour, n, rolling_mean, rolling_std, z FROM s5", _volume_cte(24 * 31)))
 def hourly_gapfill_rolling_z(spark, sf_dir):
-    """N1-N3 over the whole table: gap-filled hourly counts, trailing stats, z."""
+    """N1-N3 over the 31 days before as_of: gap-filled hourly counts, trailing stats, z."""
     series = D.hourly_volume(D.recent_logs(_logs(spark, sf_dir), AS_OF, 24 * 31))
     return D.rolling_z(series).select("hour", "n", "rolling_mean", "rolling_std", "z")
 
@@ -466,6 +466,19 @@ def _new_templates(hours):
     return build
 
 
+@register("new_templates", with_logs(
+    f"""SELECT s.template_id, t.template, s.count, t.first_seen,
+              t.first_seen >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR AS is_new
+       FROM seen s JOIN templates t ON s.template_id = t.template_id""",
+    _TEMPLATES_SQL + ",\n" + _RECENT.format(as_of=AS_OF, h=24 * 31) + """,
+seen AS (SELECT template_id, count(*) AS count FROM recent WHERE template_id IS NOT NULL GROUP BY 1)"""))
+def new_templates_31d(spark, sf_dir):
+    """D3 detail: the templates of the last 31 days, whether new, with count and first sighting."""
+    logs = _logs(spark, sf_dir)
+    return D.new_templates(logs, template_stats(logs), AS_OF, 24 * 31).select(
+        "template_id", "template", "count", "first_seen", "is_new")
+
+
 register("anomaly_new_templates", _new_templates_sql(24))(_new_templates(24))
 register("anomaly_new_templates_7d", _new_templates_sql(24 * 7))(_new_templates(24 * 7))
 
@@ -570,7 +583,7 @@ feats AS (SELECT date_trunc('hour', timestamp) AS hour, count(level) AS n_logs,
           FROM recent GROUP BY 1),
 cal AS (SELECT unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM feats)"""))
 def hourly_features_q(spark, sf_dir):
-    """A20 over the whole table (31 days before as_of)."""
+    """A20 over the 31 days before as_of."""
     return S.hourly_features(D.recent_logs(_logs(spark, sf_dir), AS_OF, 24 * 31))
 
 
@@ -952,8 +965,9 @@ def templates_mined_conversations(spark, sf_dir):
         lines = conv.select(F.posexplode(F.split("text", "\n")).alias("pos", "line"), "conv_id",
                             "turn", F.col("role").alias("source"))
         lines = lines.select("line", "source", F.lit(AS_OF).cast("timestamp").alias("ingest_ts"),
-                             (F.col("conv_id") * 1_000_000 + F.col("turn") * 1_000 + F.col("pos"))
-                             .alias("ingest_seq"))
+                             # one long: 2^27 conversations of 2^16 turns of 2^20 lines
+                             (F.shiftleft(F.col("conv_id").cast("long"), 36)
+                              + F.shiftleft(F.col("turn").cast("long"), 20) + F.col("pos")).alias("ingest_seq"))
         return assign_exact_templates(parse_lines(tables.spread(lines)))
 
     logs = tables.stored(spark, "conversation-logs", [src], build)

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def append_logs(logs: DataFrame, path: str) -> None:
+def append_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
     """Append log rows to the table, partitioned by event date."""
     (logs.sortWithinPartitions("event_date", "timestamp")
-     .write.mode("append").partitionBy("event_date").parquet(path))
+     .write.mode(mode).partitionBy("event_date").parquet(path))
 
 
 def append_anomalies(anomalies: DataFrame, path: str) -> None:
@@ -24,6 +24,11 @@ def append_anomalies(anomalies: DataFrame, path: str) -> None:
      .write.mode("append").parquet(path))
 
 
+def write_anomalies(anomalies: DataFrame, path: str) -> None:
+    """One detector's rows of one run; a second try replaces the first."""
+    anomalies.withColumn("created_at", F.current_timestamp()).write.mode("overwrite").parquet(path)
+
+
 def _text_safe(df: DataFrame) -> DataFrame:
     """Arrays, maps and structs as JSON text (CSV has no nested types)."""
     cols = []

@@ -11,14 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.text import iso_time, json_object
 from ..operators.parse import parse_lines
 from ..operators.templates import assign_exact_templates
 
 
-def _iso_time(text: Column) -> Column:
-    return F.try_to_timestamp(text)
-
-
 def entries_to_logs(entries: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
     """Entries (timestamp?, level?, message, source?, metadata?) -> logs.
 
@@ -62,7 +59,7 @@ def collector_to_entries(records: DataFrame, ingest_ts: Column | None = None) ->
     tag = F.col("tag")
     rest = [c for c in records.columns if c not in ("log", "time", "tag", "source")]
     return records.select(*rest,
-        F.coalesce(_iso_time(F.col("time")), ingest_ts).alias("timestamp"),
+        F.coalesce(iso_time(F.col("time")), ingest_ts).alias("timestamp"),
         F.lit(None).cast("string").alias("level"),
         F.col("log").alias("message"),
         F.coalesce(F.col("source"), tag, F.lit(K.COLLECTOR_DEFAULT_SOURCE)).alias("source"),
@@ -73,7 +70,7 @@ def json_log_filter(records: DataFrame, key: str = "log") -> DataFrame:
     """Records as map<string,string>; when ``key`` holds a JSON object its
     fields are added to the record (parsed fields win), the key is kept."""
     rec = F.col("record")
-    parsed = F.from_json(rec[key], "map<string,string>")
+    parsed = json_object(rec[key])
     merged = F.when(parsed.isNull(), rec).otherwise(
         F.map_concat(F.map_filter(rec, lambda k, v: ~F.map_contains_key(parsed, k)), parsed))
     return records.withColumn("record", merged)

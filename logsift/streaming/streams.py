@@ -16,6 +16,9 @@ batch and output written through ``foreachBatch`` is idempotent per batch id.
 
 from __future__ import annotations
 
+import hashlib
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +30,17 @@ from ..sources.structured import collector_to_entries, entries_to_logs
 from ..sources.text_files import tail_lines
 
 
+def _with_id(logs: DataFrame) -> DataFrame:
+    """``log_id`` from what the record holds, so that a record read again has
+    the same id (as have records alike in time, source, text and metadata)."""
+    key = F.struct("timestamp", "source", "message", F.sort_array(F.map_entries("metadata")).alias("metadata"))
+    return logs.withColumn("log_id", F.md5(F.to_json(key)))
+
+
 def collector_stream(spark: SparkSession, input_dir: str) -> DataFrame:
     """Collector JSON-lines files -> log rows (streaming DataFrame)."""
     recs = spark.readStream.schema(COLLECTOR_SCHEMA).json(input_dir)
-    return entries_to_logs(collector_to_entries(recs))
+    return _with_id(entries_to_logs(collector_to_entries(recs)))
 
 
 def file_tail_stream(spark: SparkSession, directory: str, tag_prefix: str = "file",
@@ -43,19 +53,22 @@ def file_tail_stream(spark: SparkSession, directory: str, tag_prefix: str = "fil
                        F.col("file").alias("filename"),
                        F.unix_micros("file_mtime").alias("ingest_seq"))
     logs = assign_exact_templates(parse_lines(raw))
-    return logs.withColumn("event_date", F.to_date("timestamp"))
+    return _with_id(logs).withColumn("event_date", F.to_date("timestamp"))
 
 
 def start_logs_sink(logs_stream: DataFrame, table_path: str, checkpoint: str,
                     trigger: dict | None = None):
-    """Append every micro-batch to the partitioned logs table."""
+    """Add every micro-batch to the partitioned logs table.  A batch owns
+    the folder ``ingest_batch=<stream>-<batch id>``, so a batch that is done
+    again replaces its rows instead of doubling them."""
     trigger = trigger or {"processingTime": "1 second"}
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if "log_id" not in batch.columns:
             batch = batch.withColumn("log_id", F.concat_ws(
-                "-", F.lit(str(batch_id)), F.monotonically_increasing_id().cast("string")))
-        append_logs(batch, table_path)
+                "-", F.lit(stream), F.lit(str(batch_id)), F.monotonically_increasing_id().cast("string")))
+        append_logs(batch, f"{table_path}/ingest_batch={stream}-{batch_id}", mode="overwrite")
 
     return (logs_stream.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
@@ -108,25 +121,31 @@ def running_template_stats(logs_stream: DataFrame) -> DataFrame:
 def start_table_sink(agg_stream: DataFrame, out_path: str, checkpoint: str,
                      output_mode: str = "complete", trigger: dict | None = None):
     """Write an aggregate stream's current result as a parquet table per batch
-    (complete mode: the whole result; update mode: changed rows)."""
+    (complete mode: the whole result; update mode: the changed rows, in a folder
+    ``_batch=<id>`` that a batch done again replaces)."""
     trigger = trigger or {"processingTime": "1 second"}
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        mode = "overwrite" if output_mode == "complete" else "append"
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode(mode).parquet(out_path)
+        if output_mode == "complete":
+            batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(out_path)
+        else:
+            batch.write.mode("overwrite").parquet(f"{out_path}/_batch={batch_id}")
 
     return (agg_stream.writeStream.outputMode(output_mode).foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
 def periodic_detection(spark: SparkSession, logs_path: str, anomalies_path: str,
-                       checkpoint: str, interval: str = "300 seconds", hours: int = 24):
+                       checkpoint: str, interval: str = "300 seconds", hours: int = 24,
+                       retry_after: float = 60.0):
     """Every ``interval`` run all detectors over the stored logs table with
-    as_of = the batch's time and append the anomalies (failures of one
-    detector are isolated inside ``run_detection``)."""
+    as_of = the batch's time.  Each detector's anomalies are written on their own
+    (``run=<batch id>/detector=<name>``, replaced when the batch is done again),
+    so one that fails leaves the others whole; failed ones are tried once more
+    after ``retry_after`` seconds."""
     from ..operators.anomalies import run_detection
     from ..operators.templates import template_stats
-    from ..sources.sinks import append_anomalies
+    from ..sources.sinks import write_anomalies
 
     timer = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
@@ -135,9 +154,15 @@ def periodic_detection(spark: SparkSession, logs_path: str, anomalies_path: str,
         if as_of is None:
             return
         logs = spark.read.parquet(logs_path)
-        out = run_detection(logs, template_stats(logs), as_of, hours)
-        if out is not None:
-            append_anomalies(out, anomalies_path)
+        templates = template_stats(logs)
+
+        def sink(name: str, df: DataFrame) -> None:
+            write_anomalies(df, f"{anomalies_path}/run={batch_id}/detector={name}")
+
+        failed = run_detection(logs, templates, as_of, hours, sink=sink).failed
+        if failed:
+            time.sleep(retry_after)
+            run_detection(logs, templates, as_of, hours, sink=sink, only=failed)
 
     return (timer.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(processingTime=interval).start())

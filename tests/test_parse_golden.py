@@ -34,6 +34,13 @@ GOLDEN = [
      "WARN", {"message": "x", "meta_keys": ["src_ip"], "ts": dt.datetime(2024, 1, 1)}),
     ('{"message":"x","level":3,"protocol":17}', "json", "3", {"protocol": "UDP"}),
     ("{broken}", "json_structured", "INFO", {}),
+    ('{"message":"x"} trailing text', "unknown", "INFO", {"message": '{"message":"x"} trailing text'}),
+    ('{"message":"x"}, {"message":"y"}', "json_structured", "INFO", {}),
+    ('{"message":"x"}] rest', "unknown", "INFO", {}),
+    ("{'message':'x'}", "json_structured", "INFO", {}),
+    ('  {"message":"x","a":{"b":[1]}} ', "json", "INFO", {"message": "x"}),
+    ('{"message":"x","time":"10:00"}', "json", "INFO", {"ts": INGEST}),
+    ('{"message":"x","time":"2024"}', "json", "INFO", {"ts": INGEST}),
     ("<131>disk", "unknown", "ERROR", {}),
     ("<5>hello", "unknown", "NOTICE", {}),
     ("connection blocked aa:bb:cc:dd:ee:01", "unknown", "WARN",

@@ -1,4 +1,5 @@
 """Streaming jobs over files written to a temporary folder."""
+import glob
 import json
 import os
 
@@ -97,10 +98,59 @@ def test_periodic_detection_appends_anomalies(spark, tmp_dir):
                              interval="1 second", hours=24 * 365 * 10)
     try:
         deadline = time.time() + 120
-        while time.time() < deadline and not os.path.exists(os.path.join(an_path, "_SUCCESS")):
+        while time.time() < deadline and not glob.glob(os.path.join(an_path, "run=*", "detector=volume", "_SUCCESS")):
             time.sleep(1)
     finally:
         q.stop()
     got = spark.read.parquet(an_path)
     assert got.where(F.col("anomaly_type") == "VOLUME_SPIKE").count() >= 1
     assert "created_at" in got.columns
+
+
+def _collector_input(tmp_dir, n=3):
+    src = os.path.join(tmp_dir, "records")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.json"), "w") as f:
+        for i in range(n):
+            f.write(json.dumps({"log": f"job {i} ok", "time": f"2024-01-01T10:00:0{i}Z", "tag": "t"}) + "\n")
+    return src
+
+
+def test_a_batch_done_again_keeps_each_row_once(spark, tmp_dir):
+    src, table, ck = _collector_input(tmp_dir), os.path.join(tmp_dir, "logs"), os.path.join(tmp_dir, "ck")
+    for _ in range(2):
+        R.start_logs_sink(R.collector_stream(spark, src), table, ck, {"availableNow": True}).awaitTermination()
+        for f in glob.glob(os.path.join(ck, "commits", "*")) + glob.glob(os.path.join(ck, "commits", ".*.crc")):
+            os.remove(f)        # the commit is lost: the next start does the batch again
+    rows = spark.read.parquet(table)
+    assert rows.count() == rows.select("log_id").distinct().count() == 3
+
+
+def test_live_feed_of_the_collector_stream(spark, tmp_dir):
+    src, out = _collector_input(tmp_dir), os.path.join(tmp_dir, "feed")
+    R.live_feed(R.collector_stream(spark, src), out, os.path.join(tmp_dir, "ck"), keep=2,
+                trigger={"availableNow": True}).awaitTermination()
+    assert [r["message"] for r in spark.read.parquet(f"{out}/batch=0").orderBy("message").collect()] == ["job 1 ok", "job 2 ok"]
+
+
+def test_a_failing_detector_leaves_the_others(spark, monkeypatch):
+    import datetime as dt
+
+    from logsift.operators import anomalies as D
+    from logsift.operators.templates import template_stats
+
+    rows = [(i, dt.datetime(2024, 1, 1, i % 24), "INFO", "m", "s", "t", "m") for i in range(48)]
+    logs = spark.createDataFrame(rows, "ingest_seq long, timestamp timestamp, level string, message string, "
+                                       "source string, template_id string, template string")
+    logs = logs.withColumn("event_date", F.to_date("timestamp"))
+    volume = D.detect_volume
+    # fails when it runs, not when it is planned
+    monkeypatch.setattr(D, "detect_volume", lambda *a: volume(*a).withColumn(
+        "log_count", F.raise_error(F.lit("broken")).cast("bigint")).unionByName(
+            volume(*a).limit(0)))
+    monkeypatch.setattr(D, "detect_error_rate", lambda *a: D.detect_source_silence(*a).select(F.col("no_such_column")))
+    done = {}
+    run = D.run_detection(logs, template_stats(logs), dt.datetime(2024, 1, 2), 24, include_ml=False,
+                          sink=lambda name, df: done.update({name: df.collect()}))
+    assert "error_rate" in run.failed and "rare_templates" in run.written and "source_silence" in run.written
+    assert set(run.failed) | set(run.written) == {"volume", "error_rate", "new_templates", "rare_templates", "source_silence"}
