@@ -34,7 +34,7 @@ META_COLUMNS = {
 
 
 # bump when the parsed table's content or layout changes
-LOGS_VERSION = "9"
+LOGS_VERSION = "10"
 
 
 def _fs_path(spark: SparkSession, path: str):
