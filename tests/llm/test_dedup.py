@@ -216,3 +216,45 @@ def test_a_near_pair_is_a_candidate_in_its_first_shared_block_only():
 def test_overlap_of_distinct_words_is_asked_for_before_the_edit_distance():
     assert L.similar("a b c d e f g h one", "a b c d e f g h two")
     assert not L.similar(" ".join(["the"] * 50 + ["of"]), " ".join(["and"] * 50 + ["to"]))
+
+
+def _variants(length, typos, n, seed):
+    """Pairs of random lines of about ``length`` characters and the same with
+    ``typos`` characters replaced."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        line = ""
+        while len(line) < length:
+            line += "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) + " "
+        line = line.strip()
+        other = list(line)
+        for at in rng.sample([i for i, c in enumerate(line) if c != " "], typos):
+            other[at] = rng.choice([c for c in "abcdefghijklmnopqrstuvwxyz" if c != other[at]])
+        out.append((line, "".join(other)))
+    return out
+
+
+def test_lines_with_typos_share_a_band_at_every_length():
+    import numpy as np
+
+    for length, typos, recall in ((12, 1, 0.85), (25, 1, 0.98), (60, 1, 0.99), (60, 2, 0.9), (120, 2, 0.99), (250, 3, 0.99)):
+        pairs = _variants(length, typos, 300, length)
+        values, m = L.bands([x for pair in pairs for x in pair])
+        found = 0
+        for i in range(0, len(values), 2):
+            a, b = values[i], values[i + 1]
+            k = min(len(a), len(b))
+            near = L._differing(m[i:i + 1] ^ m[i + 1:i + 2])[0] <= L._Banded.near
+            found += bool(near and np.any(a[:k] == b[:k]))
+        assert found >= recall * len(pairs), (length, typos, found)
+
+
+def test_line_dedup_finds_typos_in_ordinary_lines(spark):
+    prepare(spark)
+    pairs = _variants(60, 1, 100, 7)
+    df = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)],
+                               "doc_id long, text string")
+    out = {r["row"]["doc_id"]: r["n_removed"] for r in L.line_dedup(df).collect()}
+    assert sum(out[2 * i + 1] for i in range(100)) >= 98
+    assert not any(out[2 * i] for i in range(100))
