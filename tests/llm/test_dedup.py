@@ -258,3 +258,13 @@ def test_line_dedup_finds_typos_in_ordinary_lines(spark):
     out = {r["row"]["doc_id"]: r["n_removed"] for r in L.line_dedup(df).collect()}
     assert sum(out[2 * i + 1] for i in range(100)) >= 98
     assert not any(out[2 * i] for i in range(100))
+
+
+def test_line_dedup_short_and_unspaced_lines(spark):
+    prepare(spark)
+    rows = [(1, "All rights reserved by Acme Corporation"), (2, "All rights reserved by Acme Corporatian"),
+            (3, "and ornd"), (4, "And, ornd!"), (5, "版权所有翻印必究本网站内容"), (6, "版权所有翻印必究本网站内容"),
+            (7, "版权所有翻印必究本网站内客"), (8, "-----"), (9, "-----"), (10, "12 34 56"), (11, "12 34 57"), (12, "12 34 56")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["row"]["doc_id"]: r["n_removed"] for r in L.line_dedup(df).collect()}
+    assert [d for d, n in out.items() if n] and {d for d, n in out.items() if n} == {2, 4, 6, 7, 9, 12}
