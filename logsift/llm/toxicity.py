@@ -4,17 +4,21 @@ inverted index, distance-weighted votes.
 Terms are lower-cased words without outer punctuation and their prefixes of 4
 and 5 characters.  Fitting uses a bounded sample of the labelled training rows
 (at most ``PER_CLASS`` of each class, those of least hash): terms that
-a share of the toxic rows has (so that copies of one document do not count as
-evidence) and whose chi-square against the label reaches ``MIN_CHI2``, nine in ten rows with it toxic,
+``MIN_DF`` distinct toxic texts have (copies of one text are one) and whose chi-square against the label reaches ``MIN_CHI2``, nine in ten rows with it toxic,
 form the vocabulary (at most ``MAX_TERMS``), and the sample's vectors over it form the index, which is
-therefore bounded and broadcast.  Document frequencies count all documents.
+therefore bounded and broadcast.  Their document frequencies count all documents.
+Every example of the sample is also searched by the cosine over all its words
+(document frequencies of the sample), from ``NEAR`` on.
 
 Search is exact: blocks of examples are visited by falling upper bound (the
 largest weight of each term in the block) until the bound is below the k-th
-best cosine.  The score is the similarity-weighted share of toxic neighbours,
+best cosine; over all words the rare ones bound the cosine and the examples
+that can reach ``NEAR`` are compared whole.  The score is the similarity-weighted
+share of toxic neighbours (fourth power of the similarity over all words, where
+half of a text's weight in common says little),
 classes weighted back to their share among all labelled rows and shrunk
 towards the rate among examples without any vocabulary term; a document
-without such a term gets that rate.  ``evidence`` lists its nearest examples.
+without a neighbour gets that rate.  ``evidence`` lists its nearest examples.
 
 Edge cases: null and empty texts have no term and get the base rate; null or
 repeated labels are dropped or merged (toxic if any row says so); without
@@ -37,12 +41,13 @@ from .common import stage, table
 PER_CLASS = 4000
 MAX_TERMS = 2000
 MIN_CHI2 = 30.0
-MIN_DF, MIN_SUPPORT = 4, 0.02   # toxic rows with a term: so many, and this share of them
+MIN_DF = 4                 # distinct toxic texts with a term
 MIN_SHARE = 0.9            # toxic share among the labelled rows with a term, at least
 K = 15
 BLOCK = 64
 SHRINK = 0.5
 THRESHOLD = 0.3
+NEAR = 0.5                 # cosine over all words from which an example votes
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 MAX_CACHED = 300_000
 
@@ -117,25 +122,86 @@ class BlockMaxIndex:
         return [(-s, e) for s, e in best]
 
 
+def words(text: str | None) -> Counter:
+    return Counter(w for x in (text or "").lower().split() if (w := x.strip(EDGE)))
+
+
+class WholeIndex:
+    """All examples by TF-IDF over all their words, for cosines from ``NEAR``."""
+
+    def __init__(self, texts: list[str | None]):
+        counts = [words(t) for t in texts]
+        df = Counter(w for c in counts for w in c)
+        # rare words first
+        self.vocab = {w: i for i, (w, _) in enumerate(sorted(df.items(), key=lambda x: (x[1], x[0])))}
+        n = len(texts)
+        self.idf = np.log((n + 1) / (np.array(sorted(df.values()), float) + 1)) + 1
+        self.unseen = math.log(n + 1) + 1
+        self.vectors = []
+        for c in counts:
+            ids, w, norm = self._weights(c)
+            self.vectors.append((ids.astype(np.int32), (w / norm).astype(np.float32)))
+        ids = np.concatenate([v[0] for v in self.vectors])
+        order = np.argsort(ids, kind="stable")
+        self.slots = np.repeat(np.arange(n, dtype=np.int32), [len(v[0]) for v in self.vectors])[order]
+        self.weights = np.concatenate([v[1] for v in self.vectors])[order]
+        self.starts = np.searchsorted(ids[order], np.arange(len(df) + 1))
+
+    def _weights(self, counts: Counter):
+        """(ids in order, weights, norm with the words that no example has)"""
+        known = sorted((self.vocab[w], n) for w, n in counts.items() if w in self.vocab)
+        ids = np.array([i for i, _ in known], np.int64)
+        w = (1 + np.log(np.array([n for _, n in known], float))) * self.idf[ids]
+        other = sum((1 + math.log(n)) ** 2 for x, n in counts.items() if x not in self.vocab) * self.unseen ** 2
+        return ids, w, math.sqrt((w * w).sum() + other) or 1.0
+
+    def search(self, counts: Counter, k: int) -> list[tuple[float, int]]:
+        """The k examples of largest cosine, at least ``NEAR``: [(cosine, example)]."""
+        ids, w, norm = self._weights(counts)
+        w = w / norm
+        if (w * w).sum() < NEAR * NEAR - 1e-6:
+            return []
+        # the words after the first m have at most half of NEAR, so the first ones bound the cosine
+        left = np.sqrt(np.append(np.cumsum((w * w)[::-1])[::-1], 0.0))
+        m = int(np.argmax(left <= NEAR / 2))
+        lo, hi = self.starts[ids[:m]], self.starts[ids[:m] + 1]
+        size = hi - lo
+        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        part = np.bincount(self.slots[at], np.repeat(w[:m], size) * self.weights[at], len(self.vectors))
+        out = []
+        for e in np.flatnonzero(part + left[m] >= NEAR - 1e-6).tolist():
+            other, x = self.vectors[e]
+            where = np.minimum(np.searchsorted(other, ids), len(other) - 1)
+            s = float((w * x[where] * (other[where] == ids)).sum())
+            if s >= NEAR - 1e-6:
+                out.append((-round(s, 6), e))
+        return [(-s, e) for s, e in sorted(out)[:k]]
+
+
 class Model:
-    """Vocabulary, idf, index and class weights; bounded by the sample."""
+    """Vocabulary, idf, indexes and class weights; bounded by the sample."""
 
-    def __init__(self, vocab, idf, examples, base, weight):
+    def __init__(self, vocab, idf, examples, base, weight, whole=()):
+        """``whole``: (doc_id, toxic, text) of every example of the sample."""
+        self.whole_ids = [e[0] for e in whole]
+        self.whole_toxic = [e[1] for e in whole]
+        self.whole = WholeIndex([e[2] for e in whole]) if any(words(e[2]) for e in whole) else None
         self.vocab, self.idf, self.base, self.weight = vocab, idf, base, weight
         self.doc_ids = [e[0] for e in examples]
         self.toxic = [e[1] for e in examples]
         self.index = BlockMaxIndex([e[2] for e in examples], len(vocab)) if examples else None
 
-    def score(self, counts):
-        if not counts or self.index is None:
-            return self.base, []
-        near = self.index.search(*_vector(counts, self.idf), K)
+    def score(self, counts, text=None):
+        near = self.index.search(*_vector(counts, self.idf), K) if counts and self.index else []
+        votes = [(s, s, self.toxic[e], self.doc_ids[e]) for s, e in near]
+        if self.whole and text:
+            votes += [(s ** 4, s, self.whole_toxic[e], self.whole_ids[e]) for s, e in self.whole.search(words(text), K)]
         total, toxic = SHRINK, SHRINK * self.base
-        for s, e in near:
-            v = s * self.weight[self.toxic[e]]
-            total += v
-            toxic += v * self.toxic[e]
-        return toxic / total, [self.doc_ids[e] for _, e in near[:3]]
+        for v, _, y, _ in votes:
+            total += v * self.weight[y]
+            toxic += v * self.weight[y] * y
+        votes.sort(key=lambda x: -x[1])
+        return toxic / total, list(dict.fromkeys(x[3] for x in votes))[:3]
 
 
 def _term_rows(it):
@@ -185,12 +251,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n1 or not n0:
         return Model({}, np.zeros(0), [], float(bool(n1)), {0: 1.0, 1: 1.0})
-    df = (sample.select("text", "y").mapInArrow(_term_rows, "term string, y long, n long")
+    # copies of a text are one
+    texts = sample.groupBy("text").agg(F.max("y").alias("y"))
+    distinct = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
+    d0, d1 = distinct.get(0, 0), distinct.get(1, 0)
+    df = (texts.mapInArrow(_term_rows, "term string, y long, n long")
           .groupBy("term").agg(F.sum(F.expr("n * y")).alias("a"), F.sum(F.expr("n * (1 - y)")).alias("b"))
-          .where(F.col("a") >= max(MIN_DF, MIN_SUPPORT * n1)))
+          .where(F.col("a") >= MIN_DF))
     a, b = F.col("a"), F.col("b")
-    chi2 = (F.pow(a * n0 - b * n1, 2.0) * (n0 + n1)
-            / ((a + b) * (n0 + n1 - a - b) * F.lit(n0).cast("double") * n1))
+    # a term of all texts says nothing
+    chi2 = (F.pow(a * d0 - b * d1, 2.0) * (d0 + d1)
+            / F.nullif((a + b) * (d0 + d1 - a - b) * F.lit(d0).cast("double") * d1, F.lit(0.0)))
     weight = {c: totals[c] / n[c] for c in (0, 1)}
     share = a * weight[1] / (a * weight[1] + b * weight[0])
     chosen = (df.withColumn("chi2", chi2).where((F.col("chi2") >= MIN_CHI2) & (share >= MIN_SHARE))
@@ -206,7 +277,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     base = (empty.get(1, 0) + 0.5 * n1 / (n0 + n1)) / (sum(empty.values()) + 0.5)
     examples = [(r["doc_id"], r["y"], _vector(Counter(dict(zip(r["ids"], r["tf"]))), idf))
                 for r in rows.where(F.size("ids") > 0).orderBy("doc_id").collect()]     # the bounded sample
-    return Model(vocab, idf, examples, base, weight)
+    whole = [(r["doc_id"], r["y"], r["text"]) for r in sample.orderBy("doc_id", "text").collect()]
+    return Model(vocab, idf, examples, base, weight, whole)
 
 
 def _scored(shared):
@@ -214,7 +286,7 @@ def _scored(shared):
         model = shared.value
         lookup = _Lookup(model.vocab)
         for b in it:
-            out = [model.score(lookup.counts(t)) for t in b.column(0).to_pylist()]
+            out = [model.score(lookup.counts(t), t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(1), pa.array([s for s, _ in out], pa.float64()),
                  pa.array([e for _, e in out], pa.list_(pa.int64()))], names=["row", "score", "evidence"])

@@ -124,6 +124,38 @@ def test_toxicity_held_out(spark):
     assert toxicity.drop_toxic(d, y).columns == d.columns
 
 
+def test_whole_index_equals_brute_force():
+    rng = random.Random(8)
+    names = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(names, [1 / (i + 1) for i in range(400)], k=rng.randint(1, 80))) for _ in range(150)]
+    texts += [None, "", " ".join(texts[3].split()[:-2] + ["new"]), texts[5] + " new other"]
+    index = toxicity.WholeIndex(texts[:140] + texts[150:152])
+    for t in texts[100:]:
+        ids, w, norm = index._weights(toxicity.words(t))
+        want = []
+        for e, (other, x) in enumerate(index.vectors):
+            y = dict(zip(other.tolist(), x.tolist()))
+            c = sum(v / norm * y.get(i, 0.0) for i, v in zip(ids.tolist(), w.tolist()))
+            if c >= toxicity.NEAR:
+                want.append(round(c, 4))
+        got = [round(s, 4) for s, _ in index.search(toxicity.words(t), 200)]
+        assert np.allclose(got, sorted(want, reverse=True), atol=2e-4)
+
+
+def test_a_copy_of_a_toxic_example_without_a_common_term_is_toxic(spark):
+    prepare(spark)
+    rng = random.Random(9)
+    docs = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(60))) for i in range(400)]
+    labels = [(i, int(i < 8)) for i in range(400)]
+    picked = next(i for i in range(8) if zlib.crc32(str(i).encode()) % 4 != 2)
+    copy = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 4 == 2)
+    d = spark.createDataFrame(docs + [(copy, docs[picked][1])], "doc_id long, text string")
+    y = spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = {r["row"]["doc_id"]: (r["score"], r["evidence"]) for r in toxicity.score(d, y).collect()}
+    assert out[copy][0] >= toxicity.THRESHOLD and out[copy][1][0] == picked
+    assert all(out[i][0] < toxicity.THRESHOLD for i in range(8, 400))
+
+
 def test_fertility_base_measures(spark):
     prepare(spark)
     rng = random.Random(5)
