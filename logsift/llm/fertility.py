@@ -3,8 +3,9 @@
 Public vocabularies measure each document's words: characters per token and
 token entropy with the byte-level BPE, byte-fallback share with the piece BPE.
 Each language has a rejection band per measure, from the quartiles of all its
-documents that pass the base rules; languages with under ``MIN_DOCS`` such
-documents share one band over all languages.  Characters per token vary with
+documents that pass the base rules, drawn towards the quartiles of its script
+with the weight of ``PRIOR`` documents, so that no number of documents switches
+to another band.  A document's script is that of most of its words.  Characters per token vary with
 the inverse square root of the length, so a document is rejected only if its
 distance from the median is beyond ``SHIFT`` interquartile ranges and, times
 the root of its tokens, beyond ``SPREAD`` ranges of that product.  Entropy is
@@ -19,6 +20,8 @@ other columns are not read; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -33,14 +36,19 @@ from .tokens import Chunks, byte_bpe
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 SPREAD, SHIFT = 5.0, 2.0
-MIN_DOCS = 100
+PRIOR = 100
 # floors: smallest width taken for a measure's interquartile range
 FLOOR = {"chars_per_token": 0.02, "token_entropy": 0.02, "fallback_share": 0.02}
 _LINE_WORD = re.compile(r"[^\x20\x09-\x0D]")
 _C = odd_constants(21, 3)
 
 SCHEMA = ("doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-          "n_repeat_words long, n_tokens long, chars_per_token double, token_entropy double, fallback_share double")
+          "n_repeat_words long, n_tokens long, chars_per_token double, token_entropy double, fallback_share double, script string")
+
+
+def script_of(word: str) -> str:
+    """Script of the first letter, as the first word of its Unicode name."""
+    return next((unicodedata.name(c, "").split(" ")[0] for c in word if c.isalpha()), "")
 
 
 def _word_table(bpe_path, piece_path):
@@ -54,7 +62,7 @@ def _word_table(bpe_path, piece_path):
         text = word.decode()
         pieces = sp.encode(text)
         return (xxhash.xxh3_64_intdigest(word), np.array(bpe.encode_ordinary(" " + text), "<u4").tobytes(),
-                len(pieces), int(is_byte[pieces].sum()), len(text))
+                len(pieces), int(is_byte[pieces].sum()), len(text), script_of(text))
 
     return Chunks(measure)
 
@@ -79,20 +87,21 @@ def measures(text: str | None, words_table) -> tuple:
     text = text or ""
     words = text.encode().split()
     if not words:
-        return 0, 0, sum(map(text.count, SYMBOLS)), 0, 0, 0, None, None, None
-    h, ids, n_piece, n_byte, chars = zip(*map(words_table.__getitem__, words))
+        return 0, 0, sum(map(text.count, SYMBOLS)), 0, 0, 0, None, None, None, None
+    h, ids, n_piece, n_byte, chars, scripts = zip(*map(words_table.__getitem__, words))
     seen, dup = set(), 0
     for line in text.split("\n"):
         if line in seen:
             dup += 1
         elif _LINE_WORD.search(line):
             seen.add(line)
+    script = max(Counter(x for x in scripts if x).items(), key=lambda x: (x[1], x[0]), default=("",))[0]
     tokens = np.frombuffer(b"".join(ids), "<u4")
     _, counts = np.unique(tokens, return_counts=True)
     p = counts / len(tokens)
     entropy = float(-(p * np.log2(p)).sum() / np.log2(len(tokens))) if len(tokens) > 1 else 0.0
     return (len(words), sum(chars), sum(map(text.count, SYMBOLS)), dup, repeat_words(np.array(h, np.uint64)),
-            len(tokens), sum(chars) / len(tokens), entropy, sum(n_byte) / sum(n_piece))
+            len(tokens), sum(chars) / len(tokens), entropy, sum(n_byte) / sum(n_piece), script)
 
 
 def _rows(bpe_path, piece_path):
@@ -101,8 +110,8 @@ def _rows(bpe_path, piece_path):
         if key not in _TABLES:
             _TABLES[key] = _word_table(*key)
         for b in it:
-            cols = list(zip(*(measures(t, _TABLES[key]) for t in b.column(2).to_pylist()))) or [[]] * 9
-            kinds = [pa.int64()] * 6 + [pa.float64()] * 3
+            cols = list(zip(*(measures(t, _TABLES[key]) for t in b.column(2).to_pylist()))) or [[]] * 10
+            kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.string()]
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
@@ -129,17 +138,21 @@ def fertility(docs: DataFrame, bpe_path: str | None = None, piece_path: str | No
            | (F.col("token_entropy") < F.col("q_token_entropy")[0] - SPREAD * width("token_entropy"))
            | (F.col("fallback_share") > F.col("q_fallback_share")[2] + SPREAD * width("fallback_share")))
     return m.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(bad, F.lit(False))).drop(
-        "scaled", "q_scaled", *[f"q_{c}" for c in names])
+        "script", "scaled", "q_scaled", *[f"q_{c}" for c in names])
 
 
 def _with_bands(m: DataFrame, good: DataFrame, names: list[str]) -> DataFrame:
-    """``m`` with ``q_<name>``: quartiles of its language, else of all."""
+    """``m`` with ``q_<name>``: quartiles of its language and script, drawn
+    towards those of the script."""
     quartiles = [F.percentile_approx(c, [0.25, 0.5, 0.75], 10000).alias(f"q_{c}") for c in names]
-    own = (good.groupBy("lang").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= MIN_DOCS)
-           .select(F.col("lang").alias("b_lang"), *[F.col(f"q_{c}").alias(f"b_{c}") for c in names]))
-    whole = good.agg(*quartiles)      # one row
-    q = [F.coalesce(f"b_{c}", f"q_{c}").alias(f"q_{c}") for c in names]
-    joined = m.join(F.broadcast(whole)).join(own, F.col("lang").eqNullSafe(F.col("b_lang")), "left")
+    own = good.groupBy("lang", "script").agg(F.count("*").alias("b_n"), *quartiles).select(
+        F.col("lang").alias("b_lang"), F.col("script").alias("b_script"), "b_n", *[F.col(f"q_{c}").alias(f"b_{c}") for c in names])
+    whole = good.groupBy("script").agg(*quartiles).withColumnRenamed("script", "s_script")      # a row per script
+    n = F.col("b_n")
+    q = [F.coalesce(F.zip_with(f"b_{c}", f"q_{c}", lambda x, y: (n * x + PRIOR * y) / (n + PRIOR)), f"q_{c}").alias(f"q_{c}")
+         for c in names]
+    joined = (m.join(F.broadcast(whole), F.col("script").eqNullSafe(F.col("s_script")), "left")
+              .join(own, F.col("lang").eqNullSafe(F.col("b_lang")) & F.col("script").eqNullSafe(F.col("b_script")), "left"))
     return joined.select(*m.columns, *q)
 
 

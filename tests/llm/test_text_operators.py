@@ -178,6 +178,29 @@ def test_fertility_base_measures(spark):
     assert fertility.fertility(df.limit(0)).count() == 0
 
 
+def test_fertility_band_of_a_small_language_has_no_switch(spark):
+    prepare(spark)
+    rng = random.Random(10)
+    latin = ["the", "house", "water", "under", "light", "people", "garden", "morning", "letter", "and", "river", "stone"]
+    greek = ["και", "σπίτι", "νερό", "κάτω", "φως", "άνθρωποι", "κήπος", "πρωί", "γράμμα", "ποτάμι", "πέτρα", "δρόμος"]
+    text = lambda names: " ".join("".join(rng.sample(names, 2)) if rng.random() < 0.3 else rng.choice(names)
+                                  for _ in range(rng.randint(80, 200)))
+    docs = [(i, text(latin), "en") for i in range(300)] + [(1000 + i, text(greek), "el") for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r["kept"] for r in fertility.fertility(df).collect()}
+    assert all(out[1000 + i] for i in range(20))
+    assert sum(out[i] for i in range(300)) >= 295
+
+    # one document more at any size moves the band by little
+    def median(n):
+        m = spark.createDataFrame([("a", "LATIN", float(i % 2)) for i in range(1000)] + [("b", "LATIN", 5.0)] * n,
+                                  "lang string, script string, x double")
+        row = fertility._with_bands(m, m, ["x"]).where("lang = 'b'").first()
+        return row["q_x"][1]
+
+    assert abs(median(100) - median(99)) < 0.1 and median(99) < median(100)
+
+
 def test_sentencepiece_ids_equal_the_library(spark):
     import sentencepiece
 
