@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, fertility, line_dedup, packing, sentencepiece_lattice, simhash, substring_dedup, toxicity, warc
+from . import ann, chat_format, fertility, line_dedup, packing, piece_table, sentencepiece_lattice, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op13_fill_in_middle": piece_table.op13_fill_in_middle,
 }
 
 ORACLES = {
     "op6_chat_formatting": chat_format.OP6_SQL,
     "op9_warc_revisits": warc.OP9_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
+    "op13_fill_in_middle": piece_table.OP13_SQL,
 }
