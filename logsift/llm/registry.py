@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, fertility, line_dedup, packing, piece_table, sentencepiece_lattice, simhash, substring_dedup, toxicity, warc
+from . import ann, chat_format, fertility, line_dedup, packing, piece_table, sentencepiece_lattice, simhash, substring_dedup, toxicity, warc, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_whitening": whitening.op11_whitening,
     "op13_fill_in_middle": piece_table.op13_fill_in_middle,
 }
 
