@@ -40,7 +40,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Remove the files of a table made by ``stage`` that no later step reads."""
+    path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+    path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def splitmix(i: int) -> int:

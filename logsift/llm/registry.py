@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, fertility, line_dedup, packing, piece_table, sentencepiece_lattice, simhash, substring_dedup, toxicity, warc, whitening
+from . import ann, chat_format, fertility, line_dedup, packing, piece_table, sentencepiece_lattice, simhash, substring_dedup, suffix_tree_lm, toxicity, warc, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_whitening": whitening.op11_whitening,
+    "op12_suffix_tree_lm": suffix_tree_lm.op12_suffix_tree_lm,
     "op13_fill_in_middle": piece_table.op13_fill_in_middle,
 }
 
