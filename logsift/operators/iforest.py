@@ -1,135 +1,117 @@
 """Isolation-forest detector over hourly feature rows, after Liu, Ting
-and Zhou, "Isolation Forest" (ICDM 2008), as a Spark job.
+and Zhou, "Isolation Forest" (ICDM 2008), as relational tree induction.
 
 * Features (A20) come from one partial ``groupBy`` of the log rows per hour;
-  their count is the time span in hours, not the number of log rows.
-* Standard scaling: one global aggregate (mean, population std).
-* Sub-sampling: every feature row draws a hash-based uniform number per tree;
-  a tree's sample is its ``min(256, n)`` smallest draws (a per-tree
-  ``row_number``), so each tree sees at most 256 rows.
-* Trees: ``groupBy(tree).applyInPandas`` builds one isolation tree per task
-  (random feature among the non-constant ones, uniform split, depth limit
-  ceil(log2(psi))) and returns its nodes as rows.
-* Scoring: the forest has at most ``trees x (2 psi - 1)`` nodes (51,100 for
-  the defaults): a proven bound, so it is broadcast to a ``mapInPandas``
-  that scores each partition of feature rows.  score = 2^(-E[h(x)] / c(psi));
-  decision = -score - (10th percentile of -score); an outlier has decision < 0.
-
-The forest uses its own seeded generator, so scores are not bit-equal to
-another library's; properties (share of outliers, ranking) are tested.
+  their number is the time span in hours, not the number of log rows.
+* Draws: a uniform number in [0, 1) is the md5 of seed, tree and what is drawn,
+  so the forest is the same on every cluster and in SQL.
+* Sub-sampling: a tree's sample is its ``min(256, n)`` smallest draws over the
+  hours.
+* Induction, level by level: the rows of a node (tree, path) give the range of
+  each feature; one of the features that vary is drawn, then a split uniform in
+  its range; rows below go left.  A node ends at one row, without a feature that
+  varies, or at depth ceil(log2(psi)).  All trees grow at once; a node has at
+  most 256 rows.  Splits are uniform in a feature's range, so standard scaling
+  of the features would not change any of them and is left out.
+* Scoring: the forest has at most ``trees x (2 psi - 1)`` nodes (51,100 for the
+  defaults), a proven bound, so it is broadcast; each (hour, tree) walks down one
+  equi-join a level, once.  score = 2^(-E[h(x)] / c(psi)); decision = -score -
+  (10th percentile of -score); an outlier has decision < 0.
+
+Path lengths are summed as whole billionths and scores rounded at 12 decimals:
+neither depends on the order of a sum.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as K
-from .anomalies import _details, fmt, recent_logs
 from ..session import configure, ensure_checkpoint_dir
+from .anomalies import _details, fmt, recent_logs
 from .stats import hourly_features
 
 FEATURES = ("n_logs", "n_errors", "n_templates", "n_sources", "hour_of_day", "day_of_week")
-_NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
-                "size long, depth int")
 EULER_GAMMA = 0.5772156649015329
+UNIT = 1_000_000_000        # path lengths are summed in these parts
+DIGITS = 12                 # hex digits of a draw
 
 
-def average_path_length(n: np.ndarray | float) -> np.ndarray:
+def average_path_length(n: Column) -> Column:
     """c(n): mean path length of an unsuccessful search in a binary tree."""
-    n = np.asarray(n, dtype=float)
-    out = np.zeros_like(n)
-    two = n == 2
-    big = n > 2
-    out[two] = 1.0
-    out[big] = 2.0 * (np.log(n[big] - 1.0) + EULER_GAMMA) - 2.0 * (n[big] - 1.0) / n[big]
-    return out
-
-
-def build_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
-    """Nodes (node, feature, threshold, left, right, size, depth); leaves have
-    feature -1."""
-    nodes: list[list] = []
-    stack = [(np.arange(len(x)), 0, -1, None)]
-    while stack:
-        idx, depth, parent, side = stack.pop()
-        nid = len(nodes)
-        nodes.append([nid, -1, 0.0, -1, -1, len(idx), depth])
-        if parent >= 0:
-            nodes[parent][3 if side == "l" else 4] = nid
-        if depth >= max_depth or len(idx) <= 1:
-            continue
-        sub = x[idx]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        usable = np.flatnonzero(hi > lo)
-        if len(usable) == 0:
-            continue
-        f = int(rng.choice(usable))
-        thr = float(rng.uniform(lo[f], hi[f]))
-        go_left = sub[:, f] < thr
-        nodes[nid][1] = f
-        nodes[nid][2] = thr
-        stack.append((idx[~go_left], depth + 1, nid, "r"))
-        stack.append((idx[go_left], depth + 1, nid, "l"))
-    return [tuple(n) for n in nodes]
-
-
-def _tree_builder(seed: int, psi: int):
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values(["u", "hour"])
-        x = pdf[[f"z_{f}" for f in FEATURES]].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, tree])
-        nodes = build_tree(x, rng, max_depth)
-        arr = np.array(nodes, dtype=object)
-        return pd.DataFrame({
-            "tree": tree, "node": arr[:, 0].astype(np.int32), "feature": arr[:, 1].astype(np.int32),
-            "threshold": arr[:, 2].astype(float), "left": arr[:, 3].astype(np.int32),
-            "right": arr[:, 4].astype(np.int32), "size": arr[:, 5].astype(np.int64),
-            "depth": arr[:, 6].astype(np.int32)})
-    return fn
-
-
-def path_lengths(forest: pd.DataFrame, x: np.ndarray) -> np.ndarray:
-    """Mean over trees of depth of the reached leaf + c(leaf size)."""
-    total = np.zeros(len(x))
-    trees = forest.groupby("tree")
-    for _, t in trees:
-        t = t.sort_values("node")
-        feat = t["feature"].to_numpy()
-        thr = t["threshold"].to_numpy()
-        left = t["left"].to_numpy()
-        right = t["right"].to_numpy()
-        size = t["size"].to_numpy()
-        depth = t["depth"].to_numpy()
-        cur = np.zeros(len(x), dtype=np.int64)
-        active = feat[cur] >= 0
-        while active.any():
-            f = feat[cur[active]]
-            goes_left = x[np.flatnonzero(active), f] < thr[cur[active]]
-            cur[active] = np.where(goes_left, left[cur[active]], right[cur[active]])
-            active = feat[cur] >= 0
-        total += depth[cur] + average_path_length(size[cur])
-    return total / max(trees.ngroups, 1)
-
-
-def _scorer(forest: pd.DataFrame, psi: int):
-    c_psi = float(average_path_length(np.array([psi]))[0]) or 1.0
-
-    def fn(it):
-        for pdf in it:
-            x = pdf[[f"z_{f}" for f in FEATURES]].to_numpy(dtype=float)
-            h = path_lengths(forest, x) if len(x) else np.zeros(0)
-            pdf = pdf.assign(anomaly_score=np.power(2.0, -h / c_psi))
-            yield pdf
-    return fn
+    m = n.cast("double")
+    return F.when(n > 2, 2.0 * (F.ln(m - 1.0) + EULER_GAMMA) - 2.0 * (m - 1.0) / m).when(n == 2, 1.0).otherwise(0.0)
+
+
+def path_length_of(n: int) -> float:
+    return 2.0 * (math.log(n - 1.0) + EULER_GAMMA) - 2.0 * (n - 1.0) / n if n > 2 else float(n == 2)
+
+
+def draw(*parts) -> Column:
+    """A uniform number in [0, 1) from the text of ``parts``."""
+    text = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("double") / float(16 ** DIGITS)
+
+
+def _depth_limit(psi: int) -> int:
+    return int(math.ceil(math.log2(max(psi, 2))))
+
+
+def grow(features: DataFrame, n_trees: int, psi: int, seed: int) -> DataFrame:
+    """The forest as rows (tree, node, feature, threshold, size, depth): node 1 is
+    the root, 2i and 2i + 1 the children of i; a leaf has no feature."""
+    rows = features.select("hour", F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("x"),
+                           F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(
+        draw(seed, F.lit("s"), F.col("tree"), F.unix_seconds("hour")), "hour"))
+    rows = (rows.withColumn("_r", rank).where(F.col("_r") <= psi).drop("_r", "hour")
+            .withColumns({"node": F.lit(1).cast("long"), "path": F.array().cast(
+                "array<struct<node:bigint,feature:int,threshold:double,size:bigint,depth:int>>")}))
+    limit = _depth_limit(psi)
+    own = Window.partitionBy("tree", "node")
+    for depth in range(limit + 1):
+        size = F.count(F.lit(1)).over(own)
+        bounds = F.array(*[F.struct(F.lit(i).alias("f"), F.min(F.get("x", F.lit(i))).over(own).alias("lo"),
+                                    F.max(F.get("x", F.lit(i))).over(own).alias("hi")) for i in range(len(FEATURES))])
+        rows = rows.withColumns({"_size": size, "_all": bounds})
+        usable = F.filter("_all", lambda b: b["hi"] > b["lo"])
+        pick = F.get(usable, F.floor(draw(seed, F.lit("f"), F.col("tree"), F.col("node")) * F.size(usable)).cast("int"))
+        open_ = F.col("node").isNotNull() & F.lit(depth < limit) & (F.col("_size") > 1)
+        rows = rows.withColumn("_b", F.when(open_, pick))
+        at = draw(seed, F.lit("t"), F.col("tree"), F.col("node"))
+        threshold = F.col("_b.lo") + at * (F.col("_b.hi") - F.col("_b.lo"))
+        rows = rows.withColumn("_t", threshold)
+        step = F.struct(F.col("node"), F.col("_b.f").alias("feature"), F.col("_t").alias("threshold"),
+                        F.col("_size").alias("size"), F.lit(depth).alias("depth"))
+        below = F.get("x", F.col("_b.f")) < F.col("_t")
+        rows = rows.select(
+            "tree", "x", F.when(F.col("node").isNotNull(), F.concat("path", F.array(step))).otherwise(F.col("path")).alias("path"),
+            F.when(F.col("_b.f").isNotNull(), 2 * F.col("node") + F.when(below, 0).otherwise(1)).alias("node"))
+    return rows.select("tree", F.explode("path").alias("p")).select("tree", "p.*").distinct()
+
+
+def path_lengths(features: DataFrame, forest: DataFrame, n_trees: int, psi: int) -> DataFrame:
+    """(hour, total): sum over the trees of depth + c(size) at the reached leaf,
+    in ``UNIT`` parts."""
+    nodes = F.broadcast(forest.select(   # at most n_trees x (2 psi - 1) rows
+        "tree", "node", "feature", "threshold", F.round((F.col("depth") + average_path_length(F.col("size"))) * UNIT)
+        .cast("long").alias("h")))
+    at = features.select("hour", F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("x"),
+                         F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"),
+                         F.lit(1).cast("long").alias("node"), F.lit(None).cast("long").alias("done"))
+    for depth in range(_depth_limit(psi) + 1):
+        # a side of a split that no sampled row took is an empty leaf
+        step = at.join(nodes, ["tree", "node"], "left")
+        ends = F.col("node").isNotNull() & F.col("feature").isNull()
+        at = step.select(
+            "hour", "x", "tree",
+            F.when(F.col("feature").isNotNull(), 2 * F.col("node") + F.when(
+                F.get("x", F.col("feature")) < F.col("threshold"), 0).otherwise(1)).alias("node"),
+            F.when(ends, F.coalesce("h", F.lit(depth * UNIT).cast("long"))).otherwise(F.col("done")).alias("done"))
+    return at.groupBy("hour").agg(F.sum("done").alias("total"))
 
 
 def isolation_scores(features: DataFrame, n_trees: int = K.IFOREST_TREES,
@@ -138,42 +120,20 @@ def isolation_scores(features: DataFrame, n_trees: int = K.IFOREST_TREES,
     """Feature rows (hour + FEATURES) -> + anomaly_score, decision, is_outlier."""
     spark = features.sparkSession
     configure(spark)
-    stats = features.agg(*[F.avg(f).alias(f"m_{f}") for f in FEATURES],
-                         *[F.stddev_pop(f).alias(f"s_{f}") for f in FEATURES],
-                         F.count(F.lit(1)).alias("_n"))
-    # one row of scaling constants, joined by a constant key
-    scaled = features.withColumn("_k", F.lit(1)).join(F.broadcast(stats.withColumn("_k", F.lit(1))), "_k")
-    for f in FEATURES:
-        s = F.col(f"s_{f}")
-        scaled = scaled.withColumn(f"z_{f}", (F.col(f) - F.col(f"m_{f}"))
-                                   / F.when((s.isNull()) | (s == 0), F.lit(1.0)).otherwise(s))
-    zcols = [f"z_{f}" for f in FEATURES]
-    base = scaled.select("hour", *FEATURES, *zcols, "_n")
-
-    n = base.agg(F.max("_n")).first()[0] or 0  # one number (count of feature rows)
-    psi = int(min(max_samples, n))
+    ensure_checkpoint_dir(spark)
+    psi = min(max_samples, features.count())
     if psi < 2:
-        return base.select("hour", *FEATURES, F.lit(None).cast("double").alias("anomaly_score"),
-                           F.lit(None).cast("double").alias("decision"),
-                           F.lit(False).alias("is_outlier")).where(F.lit(False))
-
-    # per tree: hash-uniform draw per row; keep the psi smallest
-    draws = base.select("hour", *zcols, F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-    draws = draws.withColumn("u", F.xxhash64(F.lit(seed), "tree", "hour"))
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy("u", "hour"))
-    sample = draws.withColumn("_r", rank).where(F.col("_r") <= psi).drop("_r")
-    forest = (sample.groupBy("tree").applyInPandas(_tree_builder(seed, psi), _NODE_SCHEMA)
-              .toPandas())  # bounded: n_trees x (2 psi - 1) rows
-    out_schema = T.StructType(list(base.schema.fields)
-                              + [T.StructField("anomaly_score", T.DoubleType())])
-    scored = base.mapInPandas(_scorer(forest, psi), schema=out_schema)
-    scored = scored.withColumn("score_samples", -F.col("anomaly_score"))
-    offset = scored.agg(F.percentile("score_samples", contamination).alias("_offset"))
-    out = (scored.withColumn("_k", F.lit(1))
-           .join(F.broadcast(offset.withColumn("_k", F.lit(1))), "_k")
-           .withColumn("decision", F.col("score_samples") - F.col("_offset")))
-    return out.select("hour", *FEATURES, "anomaly_score", "decision",
-                      (F.col("decision") < 0).alias("is_outlier"))
+        return features.select("hour", *FEATURES, F.lit(None).cast("double").alias("anomaly_score"),
+                               F.lit(None).cast("double").alias("decision"),
+                               F.lit(False).alias("is_outlier")).where(F.lit(False))
+    forest = grow(features, n_trees, psi, seed).checkpoint(eager=True)
+    total = path_lengths(features, forest, n_trees, psi)
+    mean = F.col("total") / float(UNIT) / float(n_trees)
+    scored = total.select("hour", F.round(F.pow(F.lit(2.0), -mean / path_length_of(psi)), 12).alias("anomaly_score"))
+    scored = features.join(scored, "hour").checkpoint(eager=True)    # one row an hour, read twice below
+    offset = scored.agg(F.percentile(-F.col("anomaly_score"), contamination)).first()[0]    # one number
+    out = scored.withColumn("decision", F.round(-F.col("anomaly_score") - F.lit(offset), 12))
+    return out.select("hour", *FEATURES, "anomaly_score", "decision", (F.col("decision") < 0).alias("is_outlier"))
 
 
 def detect_ml(logs: DataFrame, as_of, hours: int = 24) -> DataFrame:
@@ -181,7 +141,7 @@ def detect_ml(logs: DataFrame, as_of, hours: int = 24) -> DataFrame:
     hourly feature rows)."""
     rec = recent_logs(logs, as_of, hours)
     # one row per hour; written once to the shared checkpoint folder because
-    # the size check, the scaling, the sampling and the scoring all read it
+    # the size check, the sampling and the scoring all read it
     ensure_checkpoint_dir(logs.sparkSession)
     feats = hourly_features(rec).checkpoint(eager=True)
     n_logs, n_hours = (feats.agg(F.coalesce(F.sum("n_logs"), F.lit(0)), F.count(F.lit(1)))
@@ -211,4 +171,48 @@ _ML_SCHEMA = ("timestamp timestamp, anomaly_type string, severity string, descri
               "details map<string,string>, ml_score double, n_logs bigint, n_errors bigint, "
               "n_templates bigint, n_sources bigint, hour_of_day int, day_of_week int")
 
-__all__ = ["detect_ml", "isolation_scores", "build_tree", "path_lengths", "average_path_length"]
+
+def forest_sql(features: str, n_trees: int = K.IFOREST_TREES, max_samples: int = K.IFOREST_MAX_SAMPLES,
+               seed: int = K.IFOREST_SEED, contamination: float = K.IFOREST_CONTAMINATION) -> str:
+    """The same forest in DuckDB SQL over the relation ``features`` (hour and
+    FEATURES), as CTEs that end in ``scored`` (hour, FEATURES, anomaly_score,
+    decision).  The depth limit is a number of the data, so levels are unrolled to
+    that of ``max_samples`` and closed where ``psi`` says."""
+    def u(*parts):
+        text = " || '|' || ".join([f"'{seed}'", *parts])
+        return f"(CAST('0x' || substr(md5({text}), 1, {DIGITS}) AS BIGINT) / {float(16 ** DIGITS)!r})"
+
+    def c(n):
+        return (f"(CASE WHEN {n} > 2 THEN 2.0::DOUBLE * (ln(CAST({n} AS DOUBLE) - 1) + {EULER_GAMMA!r}::DOUBLE) - "
+                f"2.0::DOUBLE * (CAST({n} AS DOUBLE) - 1) / {n} WHEN {n} = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)")
+
+    levels = _depth_limit(max_samples)
+    xs = ", ".join(f"CAST({f} AS DOUBLE)" for f in FEATURES)
+    ctes = [f"""fx AS (SELECT hour, [{xs}] AS x FROM {features}),
+psi AS (SELECT least({max_samples}, count(*)) AS psi, CAST(ceil(log2(greatest(least({max_samples}, count(*)), 2))) AS INTEGER) AS lim FROM fx),
+s0 AS (SELECT tree, x, CAST(1 AS BIGINT) AS node FROM (SELECT tree, x, row_number() OVER (PARTITION BY tree
+    ORDER BY {u("'s'", "CAST(tree AS VARCHAR)", "CAST(CAST(epoch(hour) AS BIGINT) AS VARCHAR)")}, hour) AS r
+  FROM fx, (SELECT unnest(generate_series(0, {n_trees - 1})) AS tree)), psi WHERE r <= psi)"""]
+    parts = []
+    for d in range(levels + 1):
+        bounds = ", ".join(f"{{'f': {i}, 'lo': min(x[{i + 1}]), 'hi': max(x[{i + 1}])}}" for i in range(len(FEATURES)))
+        ctes.append(f"""n{d} AS (SELECT tree, node, size, b.f AS feature, b.lo + {u("'t'", "CAST(tree AS VARCHAR)", "CAST(node AS VARCHAR)")} * (b.hi - b.lo) AS threshold, {d} AS depth
+  FROM (SELECT tree, node, size, CASE WHEN size > 1 AND {d} < lim THEN usable[CAST(floor({u("'f'", "CAST(tree AS VARCHAR)", "CAST(node AS VARCHAR)")} * len(usable)) AS INTEGER) + 1] END AS b
+    FROM (SELECT tree, node, count(*) AS size, list_filter([{bounds}], lambda b: b.hi > b.lo) AS usable FROM s{d} GROUP BY tree, node), psi)),
+s{d + 1} AS (SELECT s.tree, s.x, 2 * s.node + (CASE WHEN s.x[n.feature + 1] < n.threshold THEN 0 ELSE 1 END) AS node
+  FROM s{d} s JOIN n{d} n ON s.tree = n.tree AND s.node = n.node WHERE n.feature IS NOT NULL)""")
+        parts.append(f"SELECT * FROM n{d}")
+    ctes.append("forest AS (" + " UNION ALL ".join(parts) + ")")
+    ctes.append(f"w0 AS (SELECT hour, x, tree, CAST(1 AS BIGINT) AS node, CAST(NULL AS BIGINT) AS done FROM fx, (SELECT unnest(generate_series(0, {n_trees - 1})) AS tree))")
+    for d in range(levels + 1):
+        ctes.append(f"""w{d + 1} AS (SELECT w.hour, w.x, w.tree, CASE WHEN n.feature IS NOT NULL THEN 2 * w.node + (CASE WHEN w.x[n.feature + 1] < n.threshold THEN 0 ELSE 1 END) END AS node,
+    CASE WHEN w.node IS NOT NULL AND n.feature IS NULL THEN coalesce(CAST(round((n.depth + {c('n.size')}) * {UNIT}) AS BIGINT), {d * UNIT}) ELSE w.done END AS done
+  FROM w{d} w LEFT JOIN forest n ON w.tree = n.tree AND w.node = n.node)""")
+    ctes.append(f"""sc AS (SELECT hour, round(pow(2.0::DOUBLE, -(CAST(sum(done) AS BIGINT) / {float(UNIT)!r} / {float(n_trees)!r}) / {c('any_value(psi)')}), 12) AS anomaly_score
+  FROM w{levels + 1}, psi GROUP BY hour),
+scored AS (SELECT f.*, anomaly_score, round(-anomaly_score - (SELECT quantile_cont(-anomaly_score, {contamination}) FROM sc), 12) AS decision
+  FROM {features} f JOIN sc ON f.hour = sc.hour)""")
+    return ",\n".join(ctes)
+
+
+__all__ = ["detect_ml", "isolation_scores", "grow", "path_lengths", "average_path_length", "forest_sql"]

@@ -542,46 +542,114 @@ register("anomaly_source_silence", _silence_sql(24))(_silence(24))
 
 
 # ------------------------------------------------------- template mining --
-from ..operators import drain as T  # noqa: E402
+from ..operators import mining as T  # noqa: E402
 
+_MINED_COLS = "template_id, template, count, n_messages, first_seen, last_seen"
 
-@register("templates_mined")
+
+@register("templates_mined", with_logs(f"SELECT {_MINED_COLS} FROM mined_templates", T.mining_sql("logs_n")))
 def templates_mined(spark, sf_dir):
-    """Mined templates over all log rows (rows-only check; the
-    clustering is order-dependent and not SQL-expressible).  Properties are
-    tested in tests/test_drain.py."""
-    logs = _logs(spark, sf_dir)
-    mapping = T.mine_templates(logs)
-    return T.mined_template_stats(T.assign_mined_templates(logs, mapping))
+    """Mined templates over all log rows with their statistics."""
+    return T.mined_stats(tables.mined(spark, sf_dir))
+
+
+@register("logs_mined", with_logs(
+    "SELECT l.log_id, m.mined_template_id, m.mined_template, m.cluster_size FROM logs_n l "
+    "LEFT JOIN mined m ON l.template = m.message", T.mining_sql("logs_n")))
+def logs_mined(spark, sf_dir):
+    """Mined id, text and cluster size on every log row."""
+    return tables.mined_logs(spark, sf_dir).select(
+        "log_id", F.col("template_id").alias("mined_template_id"), F.col("template").alias("mined_template"),
+        "cluster_size")
+
+
+# the queries below read the mined logs: rows of logs_n with mined ids and texts
+_MINED_LOGS = T.mining_sql("logs_n") + """,
+logs_m AS (SELECT l.* EXCLUDE (template_id, template), m.mined_template_id AS template_id, m.mined_template AS template,
+    m.cluster_size FROM logs_n l LEFT JOIN mined m ON l.template = m.message)"""
+
+
+def _on_mined(sql: str) -> str:
+    """An oracle over logs_n, asked of the mined logs instead."""
+    head, _, body = sql.partition("SELECT *, (ip_addresses IS NOT NULL")
+    logs, end, rest = body.partition("FROM logs\n)")
+    return f"{head}SELECT *, (ip_addresses IS NOT NULL{logs}{end},\n{_MINED_LOGS}{rest.replace('logs_n', 'logs_m')}"
+
+
+def _mined(spark, sf_dir):
+    return tables.mined_logs(spark, sf_dir)
+
+
+@register("mined_template_top", _on_mined(ORACLE["template_top"]))
+def mined_template_top(spark, sf_dir):
+    """A13/T7 on mined templates."""
+    t = T.mined_stats(tables.mined(spark, sf_dir))
+    return Q.search_templates(t, None, "count").limit(10).select("template_id", "template", "count")
+
+
+@register("mined_template_timeline", _on_mined(ORACLE["template_timeline"]))
+def mined_template_timeline(spark, sf_dir):
+    """T6 on mined templates."""
+    return (_mined(spark, sf_dir).groupBy("template_id", F.to_date("timestamp").alias("date"))
+            .agg(F.count(F.lit(1)).alias("count")))
+
+
+@register("mined_new_templates", _on_mined(ORACLE["new_templates"]))
+def mined_new_templates(spark, sf_dir):
+    """D3 detail on mined templates, 31 days."""
+    return D.new_templates(_mined(spark, sf_dir), T.mined_stats(tables.mined(spark, sf_dir)), AS_OF, 24 * 31).select(
+        "template_id", "template", "count", "first_seen", "is_new")
+
+
+@register("mined_template_counts_7d", with_logs(
+    f"SELECT template_id, count(*) AS count FROM logs_m "
+    f"WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY 1", _MINED_LOGS))
+def mined_template_counts_7d(spark, sf_dir):
+    """A16 on mined templates."""
+    since = F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 7 DAYS")
+    return (_mined(spark, sf_dir).where((F.col("timestamp") >= since) & (F.col("event_date") >= F.to_date(since)))
+            .groupBy("template_id").agg(F.count(F.lit(1)).alias("count")))
 
 
 # ------------------------------------------------------ ML detector, all --
 from ..operators import iforest as IF  # noqa: E402
 
 
-def _ml(hours):
+def _features_cte(hours: int, logs: str = "logs_n") -> str:
+    return f"""recent AS (SELECT * FROM {logs} WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL {hours} HOUR),
+feats AS (SELECT date_trunc('hour', timestamp) AS hour, count(level) AS n_logs,
+                 CAST(sum(CASE WHEN level IN ('ERROR', 'CRITICAL', 'FATAL') THEN 1 ELSE 0 END) AS BIGINT) AS n_errors,
+                 count(DISTINCT template_id) AS n_templates, count(DISTINCT source) AS n_sources
+          FROM recent GROUP BY 1),
+cal AS (SELECT unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM feats),
+features AS (SELECT c.hour, coalesce(n_logs, 0) AS n_logs, coalesce(n_errors, 0) AS n_errors,
+              coalesce(n_templates, 0) AS n_templates, coalesce(n_sources, 0) AS n_sources,
+              hour(c.hour) AS hour_of_day, isodow(c.hour) - 1 AS day_of_week
+       FROM cal c LEFT JOIN feats f ON c.hour = f.hour)"""
+
+
+def _ml_sql(hours: int, logs: str = "logs_n", before: str = "") -> str:
+    cte = before + _features_cte(hours, logs) + ",\n" + IF.forest_sql("features")
+    return with_logs(f"""SELECT hour AS timestamp, 'ML_DETECTED_ANOMALY' AS anomaly_type,
+       CASE WHEN abs(decision) > 0.5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+       'ML model detected anomalous log pattern (score: ' || printf('%.3f', abs(decision)) || ')' AS description,
+       n_logs AS log_count, abs(decision) AS score, decision AS ml_score, {', '.join(IF.FEATURES)}
+FROM scored WHERE decision < 0 AND (SELECT sum(n_logs) >= {K.IFOREST_MIN_LOGS} AND count(*) >= {K.IFOREST_MIN_HOURS} FROM features)""", cte)
+
+
+def _ml(hours, logs=_logs):
     def build(spark, sf_dir):
-        return IF.detect_ml(_logs(spark, sf_dir), AS_OF, hours).select(
+        return IF.detect_ml(logs(spark, sf_dir), AS_OF, hours).select(
             *_DETECT_COLS, "ml_score", *IF.FEATURES)
     return build
 
 
-# rows-only: the forest is randomised (properties in tests/test_iforest.py)
-register("anomaly_ml")(_ml(24))
-register("anomaly_ml_30d")(_ml(24 * 31))
+register("anomaly_ml", _ml_sql(24))(_ml(24))
+register("anomaly_ml_30d", _ml_sql(24 * 31))(_ml(24 * 31))
+register("mined_anomaly_ml_30d", _ml_sql(24 * 31, "logs_m", _MINED_LOGS + ",\n"))(_ml(24 * 31, _mined))
 
 
-@register("hourly_features", with_logs(
-    """SELECT c.hour, coalesce(n_logs, 0) AS n_logs, coalesce(n_errors, 0) AS n_errors,
-              coalesce(n_templates, 0) AS n_templates, coalesce(n_sources, 0) AS n_sources,
-              hour(c.hour) AS hour_of_day, isodow(c.hour) - 1 AS day_of_week
-       FROM cal c LEFT JOIN feats f ON c.hour = f.hour""",
-    f"""recent AS (SELECT * FROM logs_n WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 744 HOUR),
-feats AS (SELECT date_trunc('hour', timestamp) AS hour, count(level) AS n_logs,
-                 CAST(sum(CASE WHEN level IN ('ERROR', 'CRITICAL', 'FATAL') THEN 1 ELSE 0 END) AS BIGINT) AS n_errors,
-                 count(DISTINCT template_id) AS n_templates, count(DISTINCT source) AS n_sources
-          FROM recent GROUP BY 1),
-cal AS (SELECT unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM feats)"""))
+@register("hourly_features", with_logs("SELECT * FROM features", _features_cte(24 * 31)))
 def hourly_features_q(spark, sf_dir):
     """A20 over the 31 days before as_of."""
     return S.hourly_features(D.recent_logs(_logs(spark, sf_dir), AS_OF, 24 * 31))
@@ -590,12 +658,12 @@ def hourly_features_q(spark, sf_dir):
 _ANOM_COLS = ["timestamp", "anomaly_type", "severity", "description", "log_count", "score"]
 
 
-def _anomalies_all_sql(hours: int) -> str:
+def _anomalies_all_sql(hours: int, ml: bool = False) -> str:
     cols = ", ".join(_ANOM_COLS)
     return "\nUNION ALL\n".join(
         f"SELECT {cols} FROM ({sql})" for sql in (
             _volume_sql(hours), _error_rate_sql(hours), _new_templates_sql(hours),
-            _rare_sql(hours), _silence_sql(hours)))
+            _rare_sql(hours), _silence_sql(hours), *([_ml_sql(hours)] if ml else [])))
 
 
 @register("anomalies_all", _anomalies_all_sql(24))
@@ -615,9 +683,9 @@ def anomalies_all_30d(spark, sf_dir):
     return out.select(*_ANOM_COLS)
 
 
-@register("anomalies_all_ml")
+@register("anomalies_all_ml", _anomalies_all_sql(24, ml=True))
 def anomalies_all_ml(spark, sf_dir):
-    """D7 with all six detectors (rows-only check)."""
+    """D7 with all six detectors."""
     logs = _logs(spark, sf_dir)
     out = D.run_detection(logs, template_stats(logs), AS_OF, 24, include_ml=True)
     return out.select(*_ANOM_COLS)
@@ -953,9 +1021,16 @@ def file_sizes_readable(spark, sf_dir):
     return _registry(spark, sf_dir).select("file_id", TX.readable_size(F.col("file_size")).alias("size_text"))
 
 
-@register("templates_mined_conversations")
+_CONVERSATION_LINES = f"""raw_lines AS (
+  SELECT (CAST(conv_id AS BIGINT) << 36) + (CAST(turn AS BIGINT) << 20) + generate_subscripts(t, 1) - 1 AS event_id,
+         TIMESTAMP '{AS_OF}' AS ts, role AS source, unnest(t) AS line
+  FROM (SELECT conv_id, turn, role, string_split(text, chr(10)) AS t FROM conversations WHERE text IS NOT NULL))"""
+
+
+@register("templates_mined_conversations", with_logs(
+    f"SELECT {_MINED_COLS} FROM mined_templates", T.mining_sql("logs_n"), _CONVERSATION_LINES))
 def templates_mined_conversations(spark, sf_dir):
-    """T1 over every line of every conversation turn (rows-only check)."""
+    """T1 over every line of every conversation turn."""
     from ..operators.parse import parse_lines
     from ..operators.templates import assign_exact_templates
     src = f"{sf_dir}/conversations.parquet"
@@ -971,8 +1046,7 @@ def templates_mined_conversations(spark, sf_dir):
         return assign_exact_templates(parse_lines(tables.spread(lines)))
 
     logs = tables.stored(spark, "conversation-logs", [src], build)
-    mapping = T.mine_templates(logs)
-    return T.mined_template_stats(T.assign_mined_templates(logs, mapping))
+    return T.mined_stats(T.mine_messages(T.message_stats(logs)))
 
 
 # ------------------------------------------- merges, joins, feed, report --

@@ -76,9 +76,11 @@ def _json(key: str) -> str:
     return f"json_extract_string(line, {q('$.' + key)})"
 
 
-def logs_cte() -> str:
-    """``WITH`` body defining views raw_lines, logs (flattened), templates."""
-    raw = raw_lines_sql("duckdb", "events")
+def logs_cte(lines: str | None = None) -> str:
+    """``WITH`` body defining views raw_lines, logs (flattened), templates.
+    ``lines``: CTEs ending in ``raw_lines`` (event_id, ts, source, line) to parse
+    instead of those of ``events``."""
+    raw = lines or "raw_lines AS (\n" + raw_lines_sql("duckdb", "events") + "\n)"
     strip = "regexp_replace(line, '^\\s+|\\s+$', '', 'g')"
     classify = ["CASE WHEN starts_with(stripped, '{') AND json_valid(line) THEN 'json'"]
     for name, pat in (("syslog", K.SYSLOG_RE), ("apache_access", K.APACHE_RE),
@@ -150,9 +152,7 @@ def logs_cte() -> str:
     proto_map = _case_map("nf_protocol", K.PROTOCOL_NAMES)
     fname = f"'file-' || CAST(event_id % {N_FILES} AS VARCHAR) || '.log'"
 
-    return f"""raw_lines AS (
-{raw}
-),
+    return f"""{raw},
 l0 AS (
   SELECT event_id, ts, source, line, {fname} AS filename, event_id AS ingest_seq, ts AS ingest_ts,
          {strip} AS stripped
@@ -220,9 +220,9 @@ def _json_only(key: str) -> str:
     return f"CASE log_type WHEN 'json' THEN {_json(key)} END"
 
 
-def with_logs(select_sql: str, extra_ctes: str = "") -> str:
+def with_logs(select_sql: str, extra_ctes: str = "", lines: str | None = None) -> str:
     """Full oracle query: the logs CTE (and any extra CTEs) followed by the
     given SELECT, which refers to the view ``logs_n`` (logs +
     has_network_info)."""
     extra = f",\n{extra_ctes}" if extra_ctes else ""
-    return f"WITH {logs_cte()}{extra}\n{select_sql}"
+    return f"WITH {logs_cte(lines)}{extra}\n{select_sql}"

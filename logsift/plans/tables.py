@@ -95,6 +95,23 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored message -> mined template table for ``sf_dir``, with the
+    statistics of each message (``operators.mining.mine_messages``)."""
+    from ..operators.mining import mine_messages, message_stats
+    return stored(spark, "mined", [f"{sf_dir}/events.parquet"],
+                  lambda: mine_messages(message_stats(logs(spark, sf_dir))))
+
+
+def mined_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log rows with mined template id, text and cluster size in place of
+    the exact ones."""
+    from ..operators.mining import assign_mined_templates
+    rows = assign_mined_templates(logs(spark, sf_dir), mined(spark, sf_dir))
+    return (rows.drop("template_id", "template").withColumnRenamed("mined_template_id", "template_id")
+            .withColumnRenamed("mined_template", "template"))
+
+
 def write_logs(df: DataFrame, path: str) -> None:
     """Append-free full write, partitioned by event date; rows are
     sorted by time inside each file so parquet min/max statistics make time
