@@ -1,7 +1,7 @@
 """Template ids on log rows and template statistics.
 
 ``assign_exact_templates`` gives each row the template made of its masked,
-tokenised message (J6: an equi-key, no join needed).  ``logsift.operators.drain``
+tokenised message (J6: an equi-key, no join needed).  ``logsift.operators.mining``
 mines coarser templates from those (T1) and maps them back with a join.
 """
 

@@ -832,6 +832,34 @@ def _run_stream_to_table(spark, sf_dir, make_agg):
     return spark.read.parquet(f"{run}/out").drop("_batch")
 
 
+def _run_stream_to_store(spark, sf_dir, start, batches: int = 3):
+    """Run a sink over the stored logs table in about ``batches`` micro-batches and
+    return the folder of what it keeps."""
+    path = tables.stored_logs_path(spark, sf_dir)
+    batch = tables.logs(spark, sf_dir)
+    per = -(-len(batch.inputFiles()) // batches)
+    stream = (spark.readStream.schema(batch.schema).option("basePath", path)
+              .option("maxFilesPerTrigger", str(max(1, per))).parquet(path))
+    run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logsift/stream-{uuid.uuid4().hex[:12]}"
+    start(stream, f"{run}/store", f"{run}/ckpt", {"availableNow": True}).awaitTermination()
+    return f"{run}/store"
+
+
+@register("stream_templates_merged", _with_templates(
+    "SELECT template_id, template, count, first_seen, last_seen FROM templates"))
+def stream_templates_merged(spark, sf_dir):
+    """Template statistics merged from the deltas of several batches."""
+    from ..operators.merge_table import MergeTable, merge_stats
+    return MergeTable(spark, _run_stream_to_store(spark, sf_dir, R.start_merge_sink), merge_stats).read()
+
+
+@register("stream_templates_mined", with_logs(f"SELECT {_MINED_COLS} FROM mined_templates", T.mining_sql("logs_n")))
+def stream_templates_mined(spark, sf_dir):
+    """T1/T3/T5 incrementally: templates mined batch by batch equal those of one batch."""
+    from ..operators.merge_table import TemplateStore
+    return TemplateStore(spark, _run_stream_to_store(spark, sf_dir, R.start_template_miner)).templates()
+
+
 @register("stream_hourly_levels", with_logs(
     "SELECT date_trunc('hour', timestamp) AS hour, level, count(*) AS count FROM logs_n GROUP BY 1, 2"))
 def stream_hourly_levels(spark, sf_dir):

@@ -11,7 +11,8 @@ batch and output written through ``foreachBatch`` is idempotent per batch id.
 * R4 periodic detection: a timer stream whose batches run the detectors on
   the stored logs table.
 * R5/R6 hourly counts per level: tumbling one-hour windows, 1-hour watermark.
-* R7 running template statistics (S15 upsert as state).
+* R7 running template statistics (S15): state per id, or deltas of a merge table;
+  mined templates (T1) the same way.
 """
 
 from __future__ import annotations
@@ -135,6 +136,35 @@ def start_table_sink(agg_stream: DataFrame, out_path: str, checkpoint: str,
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
+def start_merge_sink(logs_stream: DataFrame, table_path: str, checkpoint: str, trigger: dict | None = None):
+    """Template statistics as a merge table.  A batch adds its own
+    statistics as a delta; nothing is rewritten, readers always see a whole
+    snapshot, and a batch done again changes nothing."""
+    from ..operators.merge_table import MergeTable, merge_stats
+    from ..operators.templates import template_stats
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stats = template_stats(batch).drop("cluster_size")
+        MergeTable(batch.sparkSession, table_path, merge_stats).add(stats, stream, batch_id)
+
+    return (logs_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
+
+
+def start_template_miner(logs_stream: DataFrame, store_path: str, checkpoint: str, trigger: dict | None = None):
+    """T1/T3/T5 incrementally: every batch is matched with the store's templates
+    and its new messages are mined into it (``operators.merge_table``)."""
+    from ..operators.merge_table import TemplateStore
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        TemplateStore(batch.sparkSession, store_path).add(batch, stream, batch_id)
+
+    return (logs_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
+
+
 def periodic_detection(spark: SparkSession, logs_path: str, anomalies_path: str,
                        checkpoint: str, interval: str = "300 seconds", hours: int = 24,
                        retry_after: float = 60.0):
