@@ -9,7 +9,7 @@ with a MAC address.  Every event gives one line; the work grows with the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RAW_LINES_SQL = """SELECT event_id, ts, 'host-' || cast(user_id % 20 AS varchar(20)) AS source, CASE event_id % 8
@@ -68,12 +68,17 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("ingest_ts"))
 
 
+BLOCK = 1 << 16         # event ids in a block of a fixture file
+
+
 def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw lines grouped into the fixture's files ('file-<n>.log'), in the
-    layout of ``text_files.read_lines``: position = event id, one block per
-    file, modification time = the latest event time of the file."""
-    lines = raw_lines(spark, sf_dir)
-    return lines.select(
-        "line", "file_id", F.col("filename").alias("original_filename"),
-        F.col("ts").cast("timestamp").alias("file_mtime"), F.lit(0).cast("bigint").alias("block_start"),
-        F.col("ingest_seq"))
+    layout of ``text_files.read_lines``: blocks of event ids, within a block the
+    lines numbered by event id; modification time = the latest event time of the
+    file."""
+    lines = raw_lines(spark, sf_dir).withColumn("block_start", F.floor(F.col("event_id") / BLOCK))
+    times = lines.groupBy("file_id").agg(F.max(F.col("ts").cast("timestamp")).alias("file_mtime"))
+    pos = F.row_number().over(Window.partitionBy("file_id", "block_start").orderBy("event_id"))
+    return (lines.withColumn("pos", pos).join(times, "file_id")
+            .select("line", "file_id", F.col("filename").alias("original_filename"), "file_mtime", "block_start",
+                    F.col("pos").cast("bigint").alias("pos")))
