@@ -154,16 +154,21 @@ def new_templates(logs: DataFrame, templates: DataFrame, as_of, hours: int = 24)
             .withColumn("is_new", F.col("first_seen") >= since))
 
 
-def detect_new_templates(logs: DataFrame, templates: DataFrame, as_of, hours: int = 24) -> DataFrame:
+def detect_new_templates(logs: DataFrame, templates: DataFrame, as_of, hours: int = 24,
+                         list_ids: bool = False, threshold: float = K.NEW_TEMPLATE_THRESHOLD) -> DataFrame:
     """D3: one NEW_TEMPLATE_SURGE row when the share of new templates among the
     window's templates is above 5 %.  The new templates themselves are in
-    ``new_templates(...)`` (a table, not one ever-growing list in one row)."""
+    ``new_templates(...)`` (a table, not one ever-growing list in one row);
+    ``list_ids`` puts their ids into ``affected_templates`` too, for mined
+    templates, of which there are few."""
     t = new_templates(logs, templates, as_of, hours)
-    agg = t.agg(F.count(F.lit(1)).alias("total_templates"),
+    ids = F.array_sort(F.collect_list(F.when(F.col("is_new"), F.col("template_id")))) if list_ids else \
+        F.first(F.array().cast("array<string>"))
+    agg = t.agg(ids.alias("ids"), F.count(F.lit(1)).alias("total_templates"),
                 F.count_if("is_new").alias("new_templates"),
                 F.coalesce(F.sum(F.when(F.col("is_new"), F.col("count"))), F.lit(0)).alias("new_rows"))
     ratio = F.col("new_templates") / F.greatest(F.col("total_templates"), F.lit(1))
-    agg = agg.withColumn("ratio", ratio).where(F.col("ratio") > K.NEW_TEMPLATE_THRESHOLD)
+    agg = agg.withColumn("ratio", ratio).where(F.col("ratio") > threshold)
     return agg.select(
         _ts(as_of).alias("timestamp"),
         F.lit("NEW_TEMPLATE_SURGE").alias("anomaly_type"),
@@ -171,7 +176,7 @@ def detect_new_templates(logs: DataFrame, templates: DataFrame, as_of, hours: in
         F.concat(F.lit("Unusual number of new log templates: "),
                  F.col("new_templates").cast("string"), F.lit(" new templates ("),
                  fmt(F.col("ratio") * 100, 1), F.lit("% of total)")).alias("description"),
-        F.array().cast("array<string>").alias("affected_templates"),
+        F.coalesce("ids", F.array().cast("array<string>")).alias("affected_templates"),
         F.col("new_rows").cast("bigint").alias("log_count"),
         F.col("ratio").alias("score"),
         _details(new_template_count=F.col("new_templates"),
@@ -183,26 +188,31 @@ def detect_new_templates(logs: DataFrame, templates: DataFrame, as_of, hours: in
 
 # ------------------------------------------------------- D4 rare templates --
 def detect_rare_templates(logs: DataFrame, as_of, hours: int = 24,
-                          history_days: int = 7, recent_hours: int = 2) -> DataFrame:
+                          history_days: int = 7, recent_hours: int = 2, history_before: bool = False) -> DataFrame:
     """Templates whose 7-day count is at most the 5th percentile of 7-day
-    counts (A16, A22) and that occur more than 3 x that in the last 2 hours."""
+    counts (A16, A22) and that occur more than 3 x that in the last 2 hours.
+
+    As written, the tested hours are part of the history, so that no template can
+    qualify; with ``history_before`` the history ends where they begin.  One
+    aggregate of the rows serves both counts (J1 and J2 without a join)."""
     a = _ts(as_of)
     week = a - F.make_interval(days=F.lit(history_days))
-    hist = (logs.where((F.col("timestamp") >= week) & (F.col("event_date") >= F.to_date(week)))
-            .groupBy("template_id").agg(F.count(F.lit(1)).alias("hist_count")))
-    p5 = hist.agg(F.percentile("hist_count", K.RARE_TEMPLATE_PERCENTILE / 100.0)
-                  .alias("rare_threshold"))
-    # one row; joined by a constant key (not a pairing of data rows)
-    rare = (hist.withColumn("_k", F.lit(1)).join(F.broadcast(p5.withColumn("_k", F.lit(1))), "_k")
-            .where(F.col("hist_count") <= F.col("rare_threshold")).drop("_k"))
-    since = a - F.make_interval(hours=F.lit(recent_hours))
-    rec = recent_logs(logs, as_of, hours).where(F.col("timestamp") >= since)
-    act = (rec.join(rare, "template_id", "inner")           # J1 (+ J2: the 7-day count)
-           .groupBy("template_id")
-           .agg(F.count(F.lit(1)).alias("recent_count"),
-                F.min_by("template", "ingest_seq").alias("template"),
-                F.first("hist_count").alias("historical_avg"),
-                F.first("rare_threshold").alias("rare_threshold")))
+    since = a - F.make_interval(hours=F.lit(min(hours, recent_hours)))
+    recent = F.col("timestamp") >= since
+    past = ~recent if history_before else F.lit(True)
+    pred = F.col("timestamp") >= week
+    if "event_date" in logs.columns:
+        pred = pred & (F.col("event_date") >= F.to_date(week))
+    counts = (logs.where(pred).groupBy("template_id", "template")
+              .agg(F.count_if(past).alias("hist"), F.count_if(recent).alias("new"),
+                   F.min(F.when(recent, F.col("ingest_seq"))).alias("seq"))
+              .groupBy("template_id")
+              .agg(F.sum("hist").alias("hist_count"), F.sum("new").alias("recent_count"),
+                   F.min_by("template", "seq").alias("template")))
+    counts = counts.where("hist_count > 0")
+    p5 = counts.agg(F.percentile("hist_count", K.RARE_TEMPLATE_PERCENTILE / 100.0)).scalar()
+    act = (counts.withColumn("rare_threshold", p5).withColumn("historical_avg", F.col("hist_count"))
+           .where((F.col("hist_count") <= F.col("rare_threshold")) & F.col("template_id").isNotNull()))
     hit = act.where(F.col("recent_count") > F.col("rare_threshold") * K.RARE_RECENT_FACTOR)
     return hit.select(
         a.alias("timestamp"),

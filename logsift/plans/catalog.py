@@ -35,6 +35,26 @@ def _flat(spark, sf_dir):
     return tables.flat(tables.logs(spark, sf_dir))
 
 
+def over(sql: str, ctes: str, name: str) -> str:
+    """The oracle ``sql`` over logs_n, asked of the relation ``name`` that
+    ``ctes`` derive from logs_n."""
+    end = "FROM logs\n)"       # the end of logs_n
+    head, _, rest = sql.partition(end)
+    return f"{head}{end},\n{ctes}{rest.replace('logs_n', name)}"
+
+
+# the incident that the detectors of the last hours are asked about (FIXTURES §4)
+REPLAY_DAY = "2024-01-30"
+
+
+def _replay(spark, sf_dir):
+    return tables.replayed(tables.logs(spark, sf_dir), REPLAY_DAY)
+
+
+def _on_replay(sql: str) -> str:
+    return over(sql, tables.replayed_sql(REPLAY_DAY), "logs_r")
+
+
 def _j(c: str) -> F.Column:
     return F.array_join(F.col(c), ",").alias(c)
 
@@ -187,12 +207,12 @@ def query_total(spark, sf_dir):
     return Q.total_count(tables.logs(spark, sf_dir), Q.LogQuery(level="ERROR", source="host-1"))
 
 
-@register("feed_recent", with_logs(
+@register("feed_recent", _on_replay(with_logs(
     f"SELECT {', '.join(_PAGE_COLS)} FROM logs_n WHERE timestamp >= TIMESTAMP '{AS_OF}' - "
-    f"INTERVAL 5 MINUTE {_ORDER} LIMIT 10"))
+    f"INTERVAL 5 MINUTE {_ORDER} LIMIT 10")))
 def feed_recent(spark, sf_dir):
-    """W19/R3 batch form: last 5 minutes before as_of, newest 10."""
-    return Q.recent(tables.logs(spark, sf_dir), AS_OF, 5, 10).select(*_PAGE_COLS)
+    """W19/R3 batch form: last 5 minutes before as_of, newest 10, of the replayed day."""
+    return Q.recent(_replay(spark, sf_dir), AS_OF, 5, 10).select(*_PAGE_COLS)
 
 
 # ------------------------------------------------------------ statistics --
@@ -394,14 +414,15 @@ FROM s5 WHERE cnt >= 3 AND abs(z) > 3"""
     return with_logs(sel, _volume_cte(hours))
 
 
-def _volume(hours):
+def _volume(hours, logs=_logs):
     def build(spark, sf_dir):
-        return D.detect_volume(_logs(spark, sf_dir), AS_OF, hours).select(
+        return D.detect_volume(logs(spark, sf_dir), AS_OF, hours).select(
             *_DETECT_COLS, "z_score", "rolling_mean", "rolling_std")
     return build
 
 
-register("anomaly_volume", _volume_sql(24))(_volume(24))
+# the last 24 h hold no anomaly of most kinds: the day of the replay does
+register("anomaly_volume", _on_replay(_volume_sql(24)))(_volume(24, _replay))
 register("anomaly_volume_30d", _volume_sql(24 * 31))(_volume(24 * 31))
 
 
@@ -429,14 +450,14 @@ FROM b WHERE rate > 0.1 AND rate > baseline_rate * 2"""
     return with_logs(sel, cte)
 
 
-def _error_rate(hours):
+def _error_rate(hours, logs=_logs):
     def build(spark, sf_dir):
-        return D.detect_error_rate(_logs(spark, sf_dir), AS_OF, hours).select(
+        return D.detect_error_rate(logs(spark, sf_dir), AS_OF, hours).select(
             *_DETECT_COLS, "error_count", "baseline_rate")
     return build
 
 
-register("anomaly_error_rate", _error_rate_sql(24))(_error_rate(24))
+register("anomaly_error_rate", _on_replay(_error_rate_sql(24)))(_error_rate(24, _replay))
 register("anomaly_error_rate_30d", _error_rate_sql(24 * 31))(_error_rate(24 * 31))
 
 
@@ -483,10 +504,11 @@ register("anomaly_new_templates", _new_templates_sql(24))(_new_templates(24))
 register("anomaly_new_templates_7d", _new_templates_sql(24 * 7))(_new_templates(24 * 7))
 
 
-def _rare_sql(hours: int) -> str:
+def _rare_sql(hours: int, before: bool = False) -> str:
+    end = f"AND timestamp < TIMESTAMP '{AS_OF}' - INTERVAL 2 HOUR" if before else ""
     cte = _RECENT.format(as_of=AS_OF, h=hours) + f""",
 hist AS (SELECT template_id, count(*) AS hist_count FROM logs_n
-         WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY 1),
+         WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY {end} GROUP BY 1),
 p5 AS (SELECT quantile_cont(hist_count, 0.05) AS rare_threshold FROM hist),
 rare AS (SELECT hist.*, p5.rare_threshold FROM hist, p5 WHERE hist_count <= rare_threshold),
 act AS (SELECT r.template_id, count(*) AS recent_count, arg_min(r.template, r.ingest_seq) AS template,
@@ -503,14 +525,14 @@ FROM act WHERE recent_count > rare_threshold * 3"""
     return with_logs(sel, cte)
 
 
-def _rare(hours):
+def _rare(hours, logs=_logs, before=False):
     def build(spark, sf_dir):
-        return D.detect_rare_templates(_logs(spark, sf_dir), AS_OF, hours).select(
+        return D.detect_rare_templates(logs(spark, sf_dir), AS_OF, hours, history_before=before).select(
             *_DETECT_COLS, "template_id", "recent_count", "historical_avg", "rare_threshold")
     return build
 
 
-register("anomaly_rare_templates", _rare_sql(24))(_rare(24))
+register("anomaly_rare_templates", _on_replay(_rare_sql(24, before=True)))(_rare(24, _replay, before=True))
 
 
 def _silence_sql(hours: int) -> str:
@@ -531,14 +553,14 @@ FROM a WHERE total >= 10 AND recent_n = 0 AND historical_avg > 5"""
     return with_logs(sel, cte)
 
 
-def _silence(hours):
+def _silence(hours, logs=_logs):
     def build(spark, sf_dir):
-        return D.detect_source_silence(_logs(spark, sf_dir), AS_OF, hours).select(
+        return D.detect_source_silence(logs(spark, sf_dir), AS_OF, hours).select(
             *_DETECT_COLS, "source", "historical_avg")
     return build
 
 
-register("anomaly_source_silence", _silence_sql(24))(_silence(24))
+register("anomaly_source_silence", _on_replay(_silence_sql(24)))(_silence(24, _replay))
 
 
 # ------------------------------------------------------- template mining --
@@ -571,9 +593,7 @@ logs_m AS (SELECT l.* EXCLUDE (template_id, template), m.mined_template_id AS te
 
 def _on_mined(sql: str) -> str:
     """An oracle over logs_n, asked of the mined logs instead."""
-    head, _, body = sql.partition("SELECT *, (ip_addresses IS NOT NULL")
-    logs, end, rest = body.partition("FROM logs\n)")
-    return f"{head}SELECT *, (ip_addresses IS NOT NULL{logs}{end},\n{_MINED_LOGS}{rest.replace('logs_n', 'logs_m')}"
+    return over(sql, _MINED_LOGS, "logs_m")
 
 
 def _mined(spark, sf_dir):
@@ -601,6 +621,18 @@ def mined_new_templates(spark, sf_dir):
         "template_id", "template", "count", "first_seen", "is_new")
 
 
+@register("mined_anomaly_new_templates", _on_mined(_new_templates_sql(24 * 31)).replace(
+    "SELECT count(*) AS total_templates,", "SELECT string_agg(template_id, ',' ORDER BY template_id) FILTER (WHERE is_new) "
+    "AS affected_templates, count(*) AS total_templates,").replace(
+    "SELECT TIMESTAMP", "SELECT coalesce(affected_templates, '') AS affected_templates, TIMESTAMP").replace(
+    "WHERE ratio > 0.05", "WHERE ratio > -1"))
+def mined_anomaly_new_templates(spark, sf_dir):
+    """D3 on mined templates with the ids of the new ones, whatever their share."""
+    return D.detect_new_templates(_mined(spark, sf_dir), T.mined_stats(tables.mined(spark, sf_dir)), AS_OF, 24 * 31,
+                                  list_ids=True, threshold=-1.0).select(
+        *_DETECT_COLS, "new_template_count", "total_template_count", _j("affected_templates"))
+
+
 @register("mined_template_counts_7d", with_logs(
     f"SELECT template_id, count(*) AS count FROM logs_m "
     f"WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY 1", _MINED_LOGS))
@@ -1174,6 +1206,37 @@ def anomaly_report(spark, sf_dir):
     return SK.anomaly_report(D.report_order(an)).drop("details")
 
 
+def _detail_sql(sql: str, **details) -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT timestamp, anomaly_type AS type, '{k}' AS key, CAST({v} AS DOUBLE) AS number FROM found"
+        for k, v in details.items())
+    return f"WITH found AS ({sql}) {rows}"
+
+
+@register("anomaly_report_details", " UNION ALL ".join(f"SELECT * FROM ({q})" for q in (
+    _detail_sql(_volume_sql(24 * 31), z_score="z_score", actual_count="log_count"),
+    _detail_sql(_error_rate_sql(24 * 31), error_rate="score", error_count="error_count", total_count="log_count",
+                baseline_rate="baseline_rate"),
+    _detail_sql(_new_templates_sql(24 * 31), new_template_count="new_template_count",
+                total_template_count="total_template_count", ratio="score"),
+    _detail_sql(_on_replay(_rare_sql(24, before=True)), recent_count="recent_count", historical_avg="historical_avg",
+                rare_threshold="rare_threshold"),
+    _detail_sql(_on_replay(_silence_sql(24)), historical_avg="historical_avg", silent_hours="2"))))
+def anomaly_report_details(spark, sf_dir):
+    """The numbers in the details of report rows, one row per detail."""
+    logs, replay = _logs(spark, sf_dir), _replay(spark, sf_dir)
+    found = [D.detect_volume(logs, AS_OF, 24 * 31), D.detect_error_rate(logs, AS_OF, 24 * 31),
+             D.detect_new_templates(logs, template_stats(logs), AS_OF, 24 * 31),
+             D.detect_rare_templates(replay, AS_OF, 24, history_before=True), D.detect_source_silence(replay, AS_OF, 24)]
+    rows = None
+    for df in found:
+        part = D.as_anomalies(df).select("timestamp", F.col("anomaly_type").alias("type"),
+                                         F.explode("details").alias("key", "value"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.select("timestamp", "type", "key", F.col("value").try_cast("double").alias("number")).where(
+        ~F.col("key").isin("expected_range", "template", "template_id", "source"))
+
+
 @register("template_counts_7d", with_logs(
     f"SELECT template_id, count(*) AS count FROM logs_n "
     f"WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY 1"))

@@ -112,6 +112,36 @@ def mined_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumnRenamed("mined_template", "template"))
 
 
+def replayed(logs_df: DataFrame, day: str) -> DataFrame:
+    """An incident made from all log rows, for the detectors of the last hours:
+    every row at its time of day on ``day``; host-3 falls silent at 22:00 (its
+    later rows come 12 hours earlier); the network devices' rows but the first two
+    pour in from 23:00 (host-3's came ten days before); at 20:00 most rows are
+    errors."""
+    ts, seq = F.col("timestamp"), F.col("event_id")
+    start = F.lit(day).cast("timestamp")
+    at = start + (ts - F.date_trunc("day", ts))
+    minute = F.make_interval(mins=F.pmod(seq, F.lit(60)).cast("int"))
+    device = (F.col("log_type") == "cisco_syslog") & (seq >= 16)
+    at = (F.when(device & (F.col("source") == "host-3"), at - F.expr("INTERVAL 240 HOURS"))
+          .when(device, start + F.expr("INTERVAL 23 HOURS") + minute).otherwise(at))
+    at = F.when((F.col("source") == "host-3") & (F.hour(at) >= 22), at - F.expr("INTERVAL 12 HOURS")).otherwise(at)
+    level = (F.when((F.hour("timestamp") == 20) & (seq % 10 < 7), "ERROR").when(seq % 25 == 0, "WARN").otherwise("INFO"))
+    return (logs_df.withColumn("timestamp", at).withColumn("level", level)
+            .withColumn("event_date", F.to_date("timestamp")))
+
+
+def replayed_sql(day: str) -> str:
+    """The same rows in DuckDB SQL, as a CTE ``logs_r`` over ``logs_n``."""
+    return f"""r0 AS (SELECT *, CASE WHEN log_type = 'cisco_syslog' AND event_id >= 16 AND source = 'host-3'
+    THEN TIMESTAMP '{day}' + (timestamp - date_trunc('day', timestamp)) - INTERVAL 240 HOUR
+    WHEN log_type = 'cisco_syslog' AND event_id >= 16 THEN TIMESTAMP '{day}' + INTERVAL 23 HOUR + to_minutes(event_id % 60)
+    ELSE TIMESTAMP '{day}' + (timestamp - date_trunc('day', timestamp)) END AS moved FROM logs_n),
+r1 AS (SELECT * EXCLUDE (timestamp, moved), CASE WHEN source = 'host-3' AND hour(moved) >= 22 THEN moved - INTERVAL 12 HOUR ELSE moved END AS timestamp FROM r0),
+logs_r AS (SELECT * EXCLUDE (level), CASE WHEN hour(timestamp) = 20 AND event_id % 10 < 7 THEN 'ERROR'
+    WHEN event_id % 25 = 0 THEN 'WARN' ELSE 'INFO' END AS level FROM r1)"""
+
+
 def write_logs(df: DataFrame, path: str) -> None:
     """Append-free full write, partitioned by event date; rows are
     sorted by time inside each file so parquet min/max statistics make time
