@@ -45,6 +45,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Before a step that needs much disk: let go of the shuffle files of all
+    finished steps, those of the last one included (its end has to reach the
+    listeners first)."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(table: DataFrame) -> None:
     """Remove the files of a table made by ``stage`` that no later step reads."""
     path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.staged_at)

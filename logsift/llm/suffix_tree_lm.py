@@ -52,19 +52,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mix64, splitmix, stage, table
+from .common import discard, mix64, release, splitmix, stage, table
 
 ORDER = 2               # tokens of the longest context
 MIN_COUNT = 8           # occurrences of a context
 DISCOUNT = 0.75
 KEEP = 2                # occurrences of a symbol after a context to be kept in it
-CHUNK = 1 << 21         # tokens counted or looked up together
-RANGE = 1 << 23         # tokens a key range
+CHUNK = 1 << 20         # tokens counted or looked up together
+RANGE = 1 << 22         # tokens a key range
 FREQUENT = 1 << 20      # values that are broadcast, at most
 SLOT_BITS = 22
 BITS = 1 << 26          # of a bit set
 SLICE = 1 << 18         # bytes hashed together
-MIN_RANGES = 16
+BATCH = "8m"            # bytes of an Arrow batch: rows hold whole texts or packed arrays
+MIN_RANGES = 32
 BLOCK_BITS = 15         # bits of a bit set's block, as a power of two
 
 _U = np.uint64
@@ -190,7 +191,8 @@ def _chunks(batches, weight: int = CHUNK):
 
 # ------------------------------------------------------------- bit sets --
 class BitSet:
-    """A set of keys as ``BITS`` bits: no key of it is missed, a few others pass."""
+    """A set of keys as ``BITS`` bits, two for a key: no key of it is missed, a
+    few others pass."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
@@ -202,10 +204,8 @@ class BitSet:
         def blocks(batches):
             made = {}
             for b in batches:
-                bit = b.column(0).to_numpy() & (BITS - 1)
+                bit = np.unique(b.column(0).to_numpy())
                 block = bit >> BLOCK_BITS
-                order = np.argsort(block)
-                bit, block = bit[order], block[order]
                 for lo, hi in _runs(block):
                     bits = made.setdefault(int(block[lo]), np.zeros(1 << BLOCK_BITS, bool))
                     bits[bit[lo:hi] & ((1 << BLOCK_BITS) - 1)] = True
@@ -214,8 +214,9 @@ class BitSet:
                     [np.packbits(x, bitorder="little").tobytes() for x in made.values()], pa.binary())],
                 names=["block", "bits"])
 
-        dealt = keys.select(F.col(key).alias("key"), F.shiftright(F.col(key).bitwiseAND(F.lit(BITS - 1)), BLOCK_BITS)
-                            .alias("block")).repartition(MIN_RANGES, "block").select("key")
+        bit = F.explode(F.array(F.col(key).bitwiseAND(F.lit(BITS - 1)),
+                                F.shiftright(F.col(key), 32).bitwiseAND(F.lit(BITS - 1))))
+        dealt = (keys.select(bit.alias("bit")).repartition(MIN_RANGES, F.shiftright("bit", BLOCK_BITS)))
         words = np.zeros((BITS >> BLOCK_BITS, 1 << (BLOCK_BITS - 6)), _U)
         rows = dealt.mapInArrow(blocks, "block long, bits binary").toArrow()
         for block, bits in zip(rows.column("block").to_pylist(), rows.column("bits").to_pylist()):
@@ -223,8 +224,10 @@ class BitSet:
         return BitSet(words.ravel())
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        bit = keys & _U(BITS - 1)
-        return (self.words[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1) != 0
+        found = np.ones(len(keys), bool)
+        for bit in (keys & _U(BITS - 1), (keys >> _U(32)) & _U(BITS - 1)):
+            found &= (self.words[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1) != 0
+        return found
 
 
 # ------------------------------------------------------------- counting --
@@ -282,24 +285,25 @@ def _merged(batches):
     """Sums the packed counts of a key range; the rows come sorted by range."""
     def total(rows):
         context, suffix = (np.concatenate([np.frombuffer(r[i], _U) for r in rows]) for i in (1, 2))
-        n = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows]).astype(np.int64)
+        n = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows])
+        rows.clear()
         key = join_keys(context, suffix)
-        order = np.argsort(key)
+        order = np.argsort(key).astype(np.uint32)
         key = key[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.add.reduceat(n[order], first)
+        n = np.add.reduceat(n[order], first, dtype=np.int64)
         kept = n >= KEEP
         at = order[first[kept]]
         return pa.RecordBatch.from_arrays(
             [_signed(key[first[kept]]), _signed(context[at]), _signed(suffix[at]), pa.array(n[kept])],
             names=["key", "context", "suffix", "n"])
 
-    held = []
+    held, place = [], None
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns)):
-            if held and held[0][0] != row[0]:
+            if held and place != row[0]:
                 yield total(held)
-                held = []
+            place = row[0]
             held.append(row)
     if held:
         yield total(held)
@@ -369,6 +373,7 @@ def learn(texts: DataFrame, order: int = ORDER) -> Tree:
     levels = []
     for k in range(1, order + 1):
         wanted = sc.broadcast(BitSet.of(contexts.where(F.col("total") >= MIN_COUNT), "context"))
+        release(texts.sparkSession)
         pairs = _count_pairs(texts, k, ranges, wanted)
         nodes, symbols = _level(pairs, contexts, parents, k)
         discard(pairs)
@@ -530,6 +535,7 @@ def _asked(order: int, ranges: int, shared):
                 w.write_table(ids)
             yield _row(-1 - chunk % ranges, chunk, TEXTS, sizes.astype(np.int64).tobytes(), None, sums.tobytes(),
                        sink.getvalue().to_pybytes())
+            owner = owner.astype(_owner_type(m))
             place = _range_of(key, ranges)
             for lo, hi in _runs(place):
                 yield _row(int(place[lo]), chunk, LOOKUP, key[lo:hi].tobytes(), owner[lo:hi].tobytes(),
@@ -537,6 +543,10 @@ def _asked(order: int, ranges: int, shared):
     return run
 
 
+def _owner_type(texts: int):
+    return np.uint16 if texts <= 1 << 16 else np.uint32
+
+
 def _answered(batches):
     """Looks the asked keys up, range by range (the rows come sorted by range,
     the table's first); a found row holds the texts' sums of one chunk."""
@@ -560,8 +570,8 @@ def _answered(batches):
                 key, packed = key[sort], []
             if not len(key):
                 continue
-            asked, owner = np.frombuffer(row[3], _U), np.frombuffer(row[4], np.int32)
             m = int(np.frombuffer(row[5], np.int64)[0])
+            asked, owner = np.frombuffer(row[3], _U), np.frombuffer(row[4], _owner_type(m))
             at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
             found = key[at] == asked
             at, owner = at[found], owner[found]
@@ -600,6 +610,7 @@ def score(docs: DataFrame, tree: Tree, order: int = ORDER) -> DataFrame:
     n = tree.values.count()
     ranges = max(MIN_RANGES, -(-tree.tokens // RANGE), -(-n // RANGE))
     shared = spark.sparkContext.broadcast((_frequent_rows(tree.values), BitSet.of(tree.values, "key")))
+    release(spark)
     asked = docs.select("doc_id", "held_out", "text").mapInArrow(_asked(order, ranges, shared), _ROWS)
     model = tree.values.select("key", "value", "base", "known").mapInArrow(_model_rows(ranges), _ROWS)
     found = (asked.union(model).repartition(ranges, "place").sortWithinPartitions("place", "kind")
@@ -620,6 +631,7 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Learns from the rows of ``docs`` (doc_id, text) that are not held out and
     scores all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score (log10 probabilities)."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     tree = learn(rows.where(~F.col("held_out")).select("text"), order)
