@@ -51,7 +51,7 @@ def _render(turns: Column, escaped: bool) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """Turns (role, text, start, raw length) of a formatted string; null for a
+    """Turns (role, text, start, raw length, escaped) of a formatted string; null for a
     segment that the grammar refuses.  ``start`` counts within the segment."""
     segments = F.split(formatted, "</s>", -1)
 
@@ -60,7 +60,8 @@ def parse(formatted: Column) -> Column:
         good = seg.rlike(_TURN) & ~text.rlike(CONTROL) & ~role.rlike(CONTROL)
         return F.when(good, F.struct(
             unescape(role).alias("role"), F.when(flag == "1", unescape(text)).otherwise(text).alias("text"),
-            (F.length(role) + 10).alias("start"), F.length(text).alias("chars"), F.length(seg).alias("size")))
+            (F.length(role) + 10).alias("start"), F.length(text).alias("chars"), F.length(seg).alias("size"),
+            (flag == "1").alias("escaped")))
 
     return F.transform(F.slice(segments, 1, F.size(segments) - 1), one)
 
@@ -71,12 +72,14 @@ def _same(parsed: Column, turns: Column) -> Column:
 
 
 def _spans(parsed: Column) -> Column:
-    """(start, end) of the assistant texts in the formatted string, in order."""
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
+    """(start, end, escaped) of the assistant texts in the formatted string, in
+    order: the loss mask."""
+    zero = F.struct(F.lit(0).alias("at"), F.expr(
+        "cast(array() as array<struct<start:int,end:int,escaped:boolean>>)").alias("spans"))
 
     def step(acc, p):
         start = acc["at"] + p["start"]
-        span = F.array(F.struct(start.alias("start"), (start + p["chars"]).alias("end")))
+        span = F.array(F.struct(start.alias("start"), (start + p["chars"]).alias("end"), p["escaped"].alias("escaped")))
         return F.struct((acc["at"] + p["size"] + 4).alias("at"),
                         F.when(p["role"] == ASSISTANT, F.concat(acc["spans"], span))
                         .otherwise(acc["spans"]).alias("spans"))
@@ -99,6 +102,15 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     return back.select("conv_id", checked.alias("formatted"), "turns").withColumn("loss_spans", _spans(F.col("turns")))
 
 
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """The text under the loss mask, cut out of the formatted string and unescaped."""
+    def cut(s):
+        text = F.substring(formatted, s["start"] + 1, s["end"] - s["start"])
+        return F.when(s["escaped"], unescape(text)).otherwise(text)
+
+    return F.array_join(F.transform(spans, cut), "")
+
+
 def op6_chat_formatting(spark, sf_dir):
     prepare(spark)
     rows = table(spark, sf_dir, "conversations").select(
@@ -107,8 +119,7 @@ def op6_chat_formatting(spark, sf_dir):
                                   F.when(F.col("id") == 0, "user").otherwise(ASSISTANT).alias("role"),
                                   F.lit(PROBE).alias("text"))
     out = format_conversations(rows.union(probe))
-    loss = F.filter("turns", lambda t: t["role"] == ASSISTANT)
-    out = out.withColumn("loss", F.array_join(F.transform(loss, lambda t: t["text"]), ""))
+    out = out.withColumn("loss", under_mask(F.col("formatted"), F.col("loss_spans")))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
                       F.sha2(digest, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
