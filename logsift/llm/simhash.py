@@ -107,15 +107,29 @@ def _grouped(fp: DataFrame) -> DataFrame:
     of = classes.join(comp, classes.fp == comp.node, "left").select(
         "fp", "d", F.coalesce("component", "fp").alias("component"))
     least = of.groupBy("component").agg(F.min("d").alias("component_id"))
-    return fp.join(of.join(least, "component").select("fp", "component_id"), "fp")
+    return fp.join(of.join(least, "component").select("fp", "component", "component_id"), "fp")
+
+
+def _with_text_key(it):
+    for b in it:
+        fp = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(signed(fp))], names=["doc_id", "text_key", "fp"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id (of rows
-    that repeat it, one); rows without an id all stay."""
-    g = simhash_groups(docs)
-    kept = g.select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    """One document of each group: the one with the smallest doc_id (rows without
+    an id last; then by a hash of the text).  Of rows that repeat id and text one
+    stays."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), "text")
+    fp = stage(rows.mapInArrow(_with_text_key, "doc_id long, text_key long, fp long"), "fp")
+    of = _grouped(fp.select("doc_id", "fp")).select("fp", "component").distinct()
+    first = fp.join(of, "fp").groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("text_key"))
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), key.alias("text_key"))
+    same = whole["id"].eqNullSafe(kept["id"]) & (whole["text_key"] == kept["text_key"])
+    return whole.join(kept, same, "left_semi").dropDuplicates(["id", "text_key"]).select("row.*")
 
 
 def op5_simhash_near_dedup(spark, sf_dir):

@@ -132,6 +132,17 @@ def test_keep_one_keeps_columns_and_one_per_group(docs):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(groups)
 
 
+def test_keep_one_keeps_unrelated_texts_of_one_id(spark):
+    prepare(spark)
+    t, u = (" ".join(f"{c}{i}" for i in range(50)) for c in "tu")
+    rows = [(1, t), (5, t), (5, u), (None, t), (None, t), (None, "only without an id, once or twice"),
+            (None, "only without an id, once or twice"), (7, None), (8, "")]
+    df = spark.createDataFrame([(d, x, "clash") for d, x in rows], "doc_id long, text string, text_key string")
+    out = [(r["doc_id"], r["text"]) for r in S.keep_one(df.repartition(3)).collect()]
+    assert sorted(out, key=str) == sorted([(1, t), (5, u), rows[5], (7, None)], key=str)
+    assert S.keep_one(df.limit(0)).collect() == []
+
+
 def test_connected_components_long_chain(spark):
     prepare(spark)
     rng = random.Random(2)
