@@ -59,7 +59,7 @@ MIN_COUNT = 8           # occurrences of a context
 DISCOUNT = 0.75
 KEEP = 2                # occurrences of a symbol after a context to be kept in it
 CHUNK = 1 << 20         # tokens counted or looked up together
-RANGE = 1 << 22         # tokens a key range
+RANGE = 1 << 21         # tokens a key range
 FREQUENT = 1 << 20      # values that are broadcast, at most
 SLOT_BITS = 22
 BITS = 1 << 26          # of a bit set
