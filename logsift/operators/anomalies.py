@@ -5,9 +5,9 @@ Each detector is ``(logs, as_of, ...) -> DataFrame`` in the anomaly layout
 replaces the wall clock so runs repeat.
 
 Scale: the heavy work is always a partial ``groupBy`` of the log rows (per
-hour, per template, per source-hour).  The windows that follow run without a
-partition key, but only over the hourly series, whose length is the time span
-in hours (24 by default), never over log rows.
+hour, per template, per source-hour).  Windows over the hourly series run per
+block of hours with a halo of the rows before; single numbers (a percentile, the
+last hour, a baseline) are scalar subqueries.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..schema import ANOMALY_COLUMNS
-from .stats import hour_calendar, hour_level_counts
+from .stats import hour_calendar, hour_level_counts, with_halo
 
 
 def _ts(v) -> Column:
@@ -59,40 +59,46 @@ def as_anomalies(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------- D1 volume --
 def hourly_volume(recent: DataFrame) -> DataFrame:
-    """Rows per hour from the first to the last hour, empty hours = 0."""
+    """Rows per hour from the first to the last hour, empty hours = 0; with
+    the hour's ``index`` and ``n_hours``."""
     counts = (recent.groupBy(F.date_trunc("hour", "timestamp").alias("hour"))
               .agg(F.count(F.lit(1)).alias("n")))
     cal = hour_calendar(counts, "hour")
-    return cal.join(counts, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"))
+    return cal.join(counts, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"), "index", "n_hours")
 
 
-def rolling_z(series: DataFrame, value: str = "n", max_window: int = K.VOLUME_MAX_WINDOW) -> DataFrame:
+def rolling_z(series: DataFrame, value: str = "n", max_window: int = K.VOLUME_MAX_WINDOW,
+              exclude_current: bool = False) -> DataFrame:
     """Trailing mean and sample std over w = min(24, rows - 1) rows
     (NULL until w rows exist) and z = (x - mean) / (std + 1e-6).
 
-    The frame is the fixed last ``max_window`` rows; the last w of them are
-    taken from that bounded array, so w can depend on the series length.
+    ``series`` is dense and carries ``index`` and ``n_hours``.  The frame is the
+    fixed last ``max_window`` rows, with ``exclude_current`` those before the
+    tested one (so that |z| is not bounded by the window's length, Q11); the last
+    w of them are taken from that bounded array, so w can depend on the series'
+    length.  Windows run per block of hours with a halo of the rows before it:
+    a series of any length spreads over the cluster.
     """
-    w_all = Window.orderBy("hour")
-    frame = w_all.rowsBetween(-(max_window - 1), 0)
-    s = (series.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-         .withColumn("_rn", F.row_number().over(w_all))
-         .withColumn("_arr", F.collect_list(F.col(value).cast("double")).over(frame))
-         .withColumn("w", F.least(F.lit(max_window), F.col("_n") - 1)))
-    last = F.slice("_arr", -F.col("w"), F.col("w"))
-    full = (F.col("w") >= 2) & (F.col("_rn") >= F.col("w"))
+    back = max_window if exclude_current else max_window - 1
+    frame = Window.partitionBy("block").orderBy("index").rowsBetween(-back, -1 if exclude_current else 0)
+    s = (with_halo(series, back).withColumn("_arr", F.collect_list(F.col(value).cast("double")).over(frame))
+         .where(~F.col("halo")).drop("block", "halo")
+         .withColumn("w", F.least(F.lit(max_window), F.col("n_hours") - 1).cast("int")))
+    seen = F.col("index") + (0 if exclude_current else 1)
+    full = (F.col("w") >= 2) & (seen >= F.col("w"))
+    last = F.when(full, F.slice("_arr", -F.col("w"), F.col("w")))
     mean = F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / F.col("w")
     s = s.withColumn("rolling_mean", F.when(full, mean))
     var = F.aggregate(last, F.lit(0.0), lambda a, x: a + (x - F.col("rolling_mean")) * (x - F.col("rolling_mean"))) / (F.col("w") - 1)
     s = s.withColumn("rolling_std", F.when(full, F.sqrt(var)))
     s = s.withColumn("z", (F.col(value) - F.col("rolling_mean")) / (F.col("rolling_std") + K.EPSILON))
-    return s.drop("_arr", "_rn")
+    return s.drop("_arr", "index")
 
 
-def detect_volume(logs: DataFrame, as_of, hours: int = 24) -> DataFrame:
+def detect_volume(logs: DataFrame, as_of, hours: int = 24, exclude_current: bool = False) -> DataFrame:
     """VOLUME_SPIKE / VOLUME_DROP where |z| > 3 (needs >= 3 hourly rows)."""
-    z = rolling_z(hourly_volume(recent_logs(logs, as_of, hours)))
-    z = z.where((F.col("_n") >= 3) & (F.abs(F.col("z")) > K.VOLUME_Z_THRESHOLD))
+    z = rolling_z(hourly_volume(recent_logs(logs, as_of, hours)), exclude_current=exclude_current)
+    z = z.where((F.col("n_hours") >= 3) & (F.abs(F.col("z")) > K.VOLUME_Z_THRESHOLD))
     spike = F.col("z") > 0
     return z.select(
         F.col("hour").alias("timestamp"),
@@ -119,11 +125,9 @@ def detect_error_rate(logs: DataFrame, as_of, hours: int = 24) -> DataFrame:
     errors = sum((F.col(f"n_{lv}") for lv in K.ERROR_RATE_LEVELS), F.lit(0))
     hl = hl.select("hour", "total", errors.alias("errors"))
     hl = hl.withColumn("rate", F.col("errors") / (F.col("total") + K.EPSILON))
-    rn_desc = F.row_number().over(Window.orderBy(F.col("hour").desc()))
-    hl = hl.withColumn("_rn", rn_desc)
-    baseline = F.coalesce(F.avg(F.when(F.col("_rn") > 1, F.col("rate"))).over(Window.partitionBy()),
-                          F.lit(0.0))
-    hl = hl.withColumn("baseline_rate", baseline)
+    last = hl.agg(F.max("hour")).scalar()
+    baseline = hl.where(F.col("hour") < last).agg(F.avg("rate")).scalar()
+    hl = hl.withColumn("baseline_rate", F.coalesce(baseline, F.lit(0.0)))
     hit = hl.where((F.col("rate") > K.ERROR_RATE_THRESHOLD) & (F.col("rate") > F.col("baseline_rate") * 2))
     return hit.select(
         F.col("hour").alias("timestamp"),
@@ -245,17 +249,12 @@ def detect_source_silence(logs: DataFrame, as_of, hours: int = 24) -> DataFrame:
     sh = (rec.groupBy("source", F.date_trunc("hour", "timestamp").alias("hour"))
           .agg(F.count(F.lit(1)).alias("n")))
     hours_df = sh.select("hour").distinct()
-    ranked = (hours_df.withColumn("hour_rank", F.row_number().over(Window.orderBy(F.col("hour").desc())))
-              .withColumn("n_hours", F.count(F.lit(1)).over(Window.partitionBy())))
-    # ranked hours: one row per observed hour of the window (bounded by its span)
-    per = (sh.join(F.broadcast(ranked), "hour")
-           .groupBy("source")
-           .agg(F.sum("n").alias("total"),
-                F.sum(F.when(F.col("hour_rank") <= K.SILENCE_RECENT_HOURS, F.col("n")).otherwise(0))
-                .alias("recent"),
-                F.sum(F.when(F.col("hour_rank") > K.SILENCE_RECENT_HOURS, F.col("n")).otherwise(0))
-                .alias("earlier"),
-                F.first("n_hours").alias("n_hours")))
+    latest = hours_df.orderBy(F.col("hour").desc()).limit(K.SILENCE_RECENT_HOURS).agg(F.min("hour")).scalar()
+    late = F.col("hour") >= latest
+    per = (sh.groupBy("source")
+           .agg(F.sum("n").alias("total"), F.sum(F.when(late, F.col("n")).otherwise(0)).alias("recent"),
+                F.sum(F.when(late, F.lit(0)).otherwise(F.col("n"))).alias("earlier"))
+           .withColumn("n_hours", hours_df.agg(F.count(F.lit(1))).scalar()))
     avg = F.when(F.col("n_hours") > K.SILENCE_RECENT_HOURS,
                  F.col("earlier") / (F.col("n_hours") - K.SILENCE_RECENT_HOURS)).otherwise(F.lit(0.0))
     per = per.withColumn("historical_avg", avg.cast("double"))

@@ -65,31 +65,32 @@ def grow(features: DataFrame, n_trees: int, psi: int, seed: int) -> DataFrame:
     the root, 2i and 2i + 1 the children of i; a leaf has no feature."""
     rows = features.select("hour", F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("x"),
                            F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+    # the one shuffle: every window below is within a tree
+    rows = rows.repartition(min(n_trees, features.sparkSession.sparkContext.defaultParallelism), "tree")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(
         draw(seed, F.lit("s"), F.col("tree"), F.unix_seconds("hour")), "hour"))
-    rows = (rows.withColumn("_r", rank).where(F.col("_r") <= psi).drop("_r", "hour")
-            .withColumns({"node": F.lit(1).cast("long"), "path": F.array().cast(
-                "array<struct<node:bigint,feature:int,threshold:double,size:bigint,depth:int>>")}))
+    rows = (rows.withColumn("_r", rank).where(F.col("_r") <= psi).drop("_r", "hour").selectExpr(
+        "tree", "x", "1L AS node",
+        "cast(array() AS array<struct<node:bigint,feature:int,threshold:double,size:bigint,depth:int>>) AS path"))
     limit = _depth_limit(psi)
-    own = Window.partitionBy("tree", "node")
+    bounds = ", ".join(f"struct({i} AS f, min(x[{i}]) OVER own AS lo, max(x[{i}]) OVER own AS hi)"
+                       for i in range(len(FEATURES)))
+
+    def u(kind):
+        return (f"(cast(conv(substring(md5(concat_ws('|', '{seed}', '{kind}', cast(tree AS string), cast(node AS string))), "
+                f"1, {DIGITS}), 16, 10) AS double) / {16 ** DIGITS}D)")
+
     for depth in range(limit + 1):
-        size = F.count(F.lit(1)).over(own)
-        bounds = F.array(*[F.struct(F.lit(i).alias("f"), F.min(F.get("x", F.lit(i))).over(own).alias("lo"),
-                                    F.max(F.get("x", F.lit(i))).over(own).alias("hi")) for i in range(len(FEATURES))])
-        rows = rows.withColumns({"_size": size, "_all": bounds})
-        usable = F.filter("_all", lambda b: b["hi"] > b["lo"])
-        pick = F.get(usable, F.floor(draw(seed, F.lit("f"), F.col("tree"), F.col("node")) * F.size(usable)).cast("int"))
-        open_ = F.col("node").isNotNull() & F.lit(depth < limit) & (F.col("_size") > 1)
-        rows = rows.withColumn("_b", F.when(open_, pick))
-        at = draw(seed, F.lit("t"), F.col("tree"), F.col("node"))
-        threshold = F.col("_b.lo") + at * (F.col("_b.hi") - F.col("_b.lo"))
-        rows = rows.withColumn("_t", threshold)
-        step = F.struct(F.col("node"), F.col("_b.f").alias("feature"), F.col("_t").alias("threshold"),
-                        F.col("_size").alias("size"), F.lit(depth).alias("depth"))
-        below = F.get("x", F.col("_b.f")) < F.col("_t")
-        rows = rows.select(
-            "tree", "x", F.when(F.col("node").isNotNull(), F.concat("path", F.array(step))).otherwise(F.col("path")).alias("path"),
-            F.when(F.col("_b.f").isNotNull(), 2 * F.col("node") + F.when(below, 0).otherwise(1)).alias("node"))
+        own = "(PARTITION BY tree, node)"
+        rows = rows.selectExpr("*", f"count(1) OVER {own} AS size", f"array({bounds.replace('OVER own', 'OVER ' + own)}) AS ranges")
+        rows = rows.selectExpr("*", f"CASE WHEN node IS NOT NULL AND {depth} < {limit} AND size > 1 "
+                                    "THEN filter(ranges, b -> b.hi > b.lo) END AS usable")
+        rows = rows.selectExpr("*", f"get(usable, cast(floor({u('f')} * size(usable)) AS int)) AS b")
+        rows = rows.selectExpr("*", f"b.lo + {u('t')} * (b.hi - b.lo) AS threshold")
+        step = f"array(struct(node, b.f AS feature, threshold, size, {depth} AS depth))"
+        rows = rows.selectExpr(
+            "tree", "x", f"CASE WHEN node IS NOT NULL THEN concat(path, {step}) ELSE path END AS path",
+            "CASE WHEN b.f IS NOT NULL THEN 2 * node + CASE WHEN get(x, b.f) < threshold THEN 0 ELSE 1 END END AS node")
     return rows.select("tree", F.explode("path").alias("p")).select("tree", "p.*").distinct()
 
 

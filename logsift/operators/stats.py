@@ -107,6 +107,11 @@ def file_error_rate(logs: DataFrame) -> DataFrame:
             .withColumn("error_alarm", F.col("error_rate") > 5))
 
 
+def file_sources(logs: DataFrame) -> DataFrame:
+    """Per file, rows per source."""
+    return logs.groupBy("file_id", "source").agg(F.count(F.lit(1)).alias("count"))
+
+
 def file_hour_of_day(logs: DataFrame) -> DataFrame:
     """Per file, rows per hour of day 'HH:00'."""
     return (logs.groupBy("file_id", hour_label(F.col("timestamp")).alias("hour"))
@@ -177,13 +182,40 @@ def hourly_features(logs: DataFrame) -> DataFrame:
                     F.weekday("hour").alias("day_of_week")))
 
 
+HOURS_PER_BLOCK = 4096
+HOUR = 3600
+
+
 def hour_calendar(hourly: DataFrame, col: str = "hour") -> DataFrame:
     """Every hour from the first to the last bucket of an hourly aggregate
-    (N1 gap filling).  Its size is the time span in hours, independent of the
-    number of log rows."""
-    return (hourly.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-            .where(F.col("lo").isNotNull())
-            .select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias(col)))
+    (N1 gap filling), with ``index`` (from 0) and ``n_hours``.
+
+    The span is laid out as blocks of hours, and each block fills in its own: no
+    row holds more than a block, so one line with a date of the year 1 or 9999
+    makes many rows but no large one.
+    """
+    span = hourly.agg(F.floor(F.unix_seconds(F.min(col)) / HOUR).alias("lo"),
+                      F.floor(F.unix_seconds(F.max(col)) / HOUR).alias("hi")).where(F.col("lo").isNotNull())
+    size = F.lit(HOURS_PER_BLOCK)
+    blocks = span.select("lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))).alias("block"))
+    hours = blocks.select("lo", "hi", F.explode(F.sequence(
+        F.greatest("lo", F.col("block") * size), F.least(F.col("hi"), F.col("block") * size + size - 1))).alias("h"))
+    return hours.select(F.timestamp_seconds(F.col("h") * HOUR).alias(col), (F.col("h") - F.col("lo")).alias("index"),
+                        (F.col("hi") - F.col("lo") + 1).alias("n_hours"))
+
+
+def with_halo(series: DataFrame, back: int, index: str = "index") -> DataFrame:
+    """``series`` with a ``block`` of rows by ``index``, each block preceded by the
+    last ``back`` rows of the one before (``halo`` true): windows over the last
+    ``back`` rows can be partitioned by ``block``."""
+    size = max(HOURS_PER_BLOCK, back)
+    block = F.floor(F.col(index) / size)
+    late = F.col(index) % size >= size - back
+    copies = F.when(late, F.array(F.struct(block.alias("block"), F.lit(False).alias("halo")),
+                                  F.struct((block + 1).alias("block"), F.lit(True).alias("halo")))).otherwise(
+        F.array(F.struct(block.alias("block"), F.lit(False).alias("halo"))))
+    return series.select("*", F.explode(copies).alias("_c")).select(
+        *series.columns, F.col("_c.block").alias("block"), F.col("_c.halo").alias("halo"))
 
 
 def error_categories(logs: DataFrame, levels=K.CLIENT_ERROR_LEVELS) -> DataFrame:
@@ -199,9 +231,7 @@ def error_categories(logs: DataFrame, levels=K.CLIENT_ERROR_LEVELS) -> DataFrame
     cat = cat.otherwise(F.lit("other"))
     per = (logs.where(F.col("level").isin(*levels))
            .groupBy(cat.alias("category")).agg(F.count(F.lit(1)).alias("count")))
-    # the grouped result has one row per category, so the share's total is a
-    # window over a handful of rows
-    share = 100.0 * F.col("count") / F.sum("count").over(Window.partitionBy())
+    share = 100.0 * F.col("count") / per.agg(F.sum("count")).scalar()
     return per.select("category", "count", F.round(share, 2).alias("percentage"))
 
 
@@ -216,7 +246,7 @@ def error_trend(logs: DataFrame, levels=K.CLIENT_ERROR_LEVELS) -> DataFrame:
 def level_share(logs: DataFrame) -> DataFrame:
     """Rows per level with their share in percent."""
     per = logs.groupBy("level").agg(F.count(F.lit(1)).alias("count"))
-    share = 100.0 * F.col("count") / F.sum("count").over(Window.partitionBy())
+    share = 100.0 * F.col("count") / per.agg(F.sum("count")).scalar()
     return per.select("level", "count", F.round(share, 2).alias("percentage"))
 
 

@@ -300,6 +300,13 @@ def file_network(spark, sf_dir):
     return S.file_network(_logs(spark, sf_dir))
 
 
+@register("file_sources", with_logs(
+    "SELECT file_id, source, count(*) AS count FROM logs_n GROUP BY file_id, source"))
+def file_sources(spark, sf_dir):
+    """Rows per source of each file."""
+    return S.file_sources(_logs(spark, sf_dir))
+
+
 @register("file_date_range", with_logs(
     "SELECT file_id, min(timestamp) AS earliest, max(timestamp) AS latest FROM logs_n GROUP BY file_id"))
 def file_date_range(spark, sf_dir):
@@ -434,6 +441,16 @@ def hourly_gapfill_rolling_z(spark, sf_dir):
     return D.rolling_z(series).select("hour", "n", "rolling_mean", "rolling_std", "z")
 
 
+@register("hourly_rolling_z_before", with_logs(
+    "SELECT hour, n, rolling_mean, rolling_std, z FROM s5", _volume_cte(24 * 31)
+    .replace("BETWEEN 23 PRECEDING AND CURRENT ROW", "BETWEEN 24 PRECEDING AND 1 PRECEDING")
+    .replace("rn >= w", "rn > w")))
+def hourly_rolling_z_before(spark, sf_dir):
+    """The tested hour left out of its window (``exclude_current``)."""
+    series = D.hourly_volume(D.recent_logs(_logs(spark, sf_dir), AS_OF, 24 * 31))
+    return D.rolling_z(series, exclude_current=True).select("hour", "n", "rolling_mean", "rolling_std", "z")
+
+
 def _error_rate_sql(hours: int) -> str:
     cte = _RECENT.format(as_of=AS_OF, h=hours) + """,
 hl AS (SELECT date_trunc('hour', timestamp) AS hour, count(*) AS total,
