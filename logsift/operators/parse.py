@@ -235,8 +235,13 @@ def parse_lines(df: DataFrame, line: str = "line", ingest_ts: str = "ingest_ts",
     parsed_fields = parsed_fields.otherwise(empty)
     metadata = metadata.otherwise(empty)
 
+    # A time in the line that is none; the row keeps the ingest time
+    has_time = F.when(t == "json", json_ts_text.isNotNull()).otherwise(
+        t.isin("syslog", "apache_access", "windows_event", "docker"))
+
     s3 = s2.select(
         *[F.col(c) for c in passthrough], "source", "log_type", "_ingest_ts",
+        (has_time & parsed_ts.isNull()).alias("_parse_error"),
         message.alias("message"),
         field_level.alias("_field_level"),
         F.coalesce(parsed_ts, F.col("_ingest_ts")).alias("timestamp"),
@@ -258,7 +263,7 @@ def parse_lines(df: DataFrame, line: str = "line", ingest_ts: str = "ingest_ts",
     s4 = s3.select(
         *[F.col(c) for c in passthrough], "timestamp", level.alias("level"), "message", "source",
         "log_type", ni.alias("network_info"), "parsed_fields", "metadata",
-        F.col("_ingest_ts").alias("ingest_ts"))
+        F.col("_ingest_ts").alias("ingest_ts"), F.col("_parse_error").alias("parse_error"))
     out = s4.withColumn("network_info", null_if_empty_struct("network_info"))
     # Barrier: a later filter on a parsed column (level, network_info, ...)
     # must run on the parse output, not be pushed through these projections,

@@ -43,12 +43,32 @@ class LogQuery:
     as_of: dt.datetime | str | None = None
     # Equality on parsed fields, e.g. {"status": "500", "method": "GET"}
     fields: dict[str, str] | None = None
+    severity: str | None = None
+    component: str | None = None
+    user_id: str | None = None
+    session_id: str | None = None
+    status_code: str | None = None
+    method: str | None = None
+    user_agent: str | None = None
     sort_by: str = "timestamp"
     sort_desc: bool = True
     limit: int = 100
     offset: int = 0
 
 
+# Where the offered filters look, the first key that a row has counts
+NAMED_FIELDS = {
+    "severity": ("severity",), "component": ("component", "program", "facility", "service"),
+    "user_id": ("userId", "user_id", "user"), "session_id": ("sessionId", "session_id", "session"),
+    "status_code": ("statusCode", "status_code", "status"), "method": ("method",),
+    "user_agent": ("userAgent", "user_agent"),
+}
+
+
+def named_field(name: str) -> Column:
+    return F.coalesce(*[F.col("parsed_fields")[k] for k in NAMED_FIELDS[name]])
+
+
 def _ts(v) -> Column:
     return F.lit(v).cast("timestamp") if isinstance(v, str) else F.lit(v)
 
@@ -95,6 +115,12 @@ def predicate(q: LogQuery) -> Column:
                      | (F.col("network_info.dst_ip") == ip))
     for key, value in (q.fields or {}).items():
         conds.append(F.col("parsed_fields")[key] == F.lit(str(value)))
+    for name in NAMED_FIELDS:
+        value = getattr(q, name)
+        if value and name == "user_agent":      # part of the agent's text
+            conds.append(F.lower(named_field(name)).contains(value.lower()))
+        elif value:
+            conds.append(F.lower(named_field(name)) == str(value).lower())
     # plain conjuncts (NULL counts as false in a filter), so that the simple
     # ones stay pushable to the scan
     out = F.lit(True)
@@ -126,6 +152,67 @@ def query_logs(logs: DataFrame, q: LogQuery) -> DataFrame:
     return page.select(*[c for c in RESPONSE_COLUMNS if c in logs.columns])
 
 
+def respond(rows: DataFrame) -> DataFrame:
+    """The response's columns, absent ones and nulls in fields, metadata and
+    network facts as empty values."""
+    empty = F.create_map().cast("map<string,string>")
+    out = []
+    for c in RESPONSE_COLUMNS:
+        if c in ("parsed_fields", "metadata"):
+            out.append((F.coalesce(c, empty) if c in rows.columns else empty).alias(c))
+        elif c == "network_info":
+            # an object with no key: what has no value is left out
+            out.append((F.coalesce(F.to_json(c), F.lit("{}")) if c in rows.columns else F.lit("{}")).alias(c))
+        else:
+            out.append(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c))
+    return rows.select(*out)
+
+
+def date_counts(logs: DataFrame, q: LogQuery) -> DataFrame:
+    """Matching rows per event date: the total (W16) and the skip table of deep
+    pages in one aggregate."""
+    return matching(logs, q).groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+def deep_page(logs: DataFrame, q: LogQuery, counts: DataFrame | None = None) -> DataFrame:
+    """The page at ``q.offset`` of rows ordered by time, reading only the
+    dates it lies on.  ``counts`` are the ``date_counts`` of the same filter (one
+    row per date, so their number is the span in days); equal to ``query_logs``."""
+    if q.sort_by != "timestamp":
+        raise ValueError("deep pages are by time; other orders have the cursor of next_page")
+    table = sorted(((r["event_date"], r["n"]) for r in (counts if counts is not None else date_counts(logs, q)).collect()
+                    if r["event_date"] is not None), reverse=q.sort_desc)
+    before, wanted, skipped = 0, [], 0
+    for date, n in table:
+        if before + n > q.offset and before < q.offset + q.limit:
+            wanted.append(date)
+        elif before + n <= q.offset:
+            skipped = before + n
+        before += n
+    rows = matching(logs, q).where(F.col("event_date").isin(wanted) if wanted else F.lit(False))
+    return (rows.orderBy(*order_columns(q)).offset(q.offset - skipped).limit(q.limit)
+            .select(*[c for c in RESPONSE_COLUMNS if c in logs.columns]))
+
+
+def next_page(logs: DataFrame, q: LogQuery, cursor: tuple | None = None) -> DataFrame:
+    """The ``q.limit`` rows behind ``cursor``, the (sort key, log_id) of the last
+    row shown: a top-k of the rest, whatever the page's number."""
+    rows = matching(logs, q)
+    key = "filename" if q.sort_by == "file" else q.sort_by
+    if cursor is not None:
+        at, last = cursor
+        at = _ts(at) if key == "timestamp" else F.lit(at)
+        same = F.col(key).eqNullSafe(at) & (F.col("log_id") > F.lit(last))
+        # nulls come last when descending, first when ascending
+        beyond = (F.col(key) < at) | (F.col(key).isNull() & at.isNotNull()) if q.sort_desc else \
+            (F.col(key) > at) | (at.isNull() & F.col(key).isNotNull())
+        rows = rows.where(same | F.coalesce(beyond, F.lit(False)))
+        if key == "timestamp":      # prunes the dates already shown
+            day = F.to_date(at)
+            rows = rows.where(F.col("event_date") <= day if q.sort_desc else F.col("event_date") >= day)
+    return rows.orderBy(*order_columns(q)).limit(q.limit).select(*[c for c in RESPONSE_COLUMNS if c in logs.columns])
+
+
 def total_count(logs: DataFrame, q: LogQuery) -> DataFrame:
     """Number of rows matching the same predicate (one row)."""
     return matching(logs, q).agg(F.count(F.lit(1)).alias("total_count"))

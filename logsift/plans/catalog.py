@@ -200,6 +200,52 @@ for _name, (_lq, _where) in _SEARCHES.items():
         f"LIMIT {_lq.limit} OFFSET {_lq.offset}"))(_search_query(_lq))
 
 
+@register("query_named_fields", with_logs(
+    "SELECT log_id, log_type FROM logs_n WHERE (apache_access__method = 'GET' AND apache_access__status = '500') "
+    "OR cisco_syslog__severity = '3' OR lower(coalesce(syslog__program, cisco_syslog__facility)) = 'error'"))
+def query_named_fields(spark, sf_dir):
+    """Status code and method, severity, component by their offered names."""
+    logs = tables.logs(spark, sf_dir)
+    found = [Q.matching(logs, q).select("log_id", "log_type") for q in (
+        Q.LogQuery(status_code="500", method="get"), Q.LogQuery(severity="3"), Q.LogQuery(component="Error"))]
+    return found[0].union(found[1]).union(found[2])
+
+
+@register("query_response", with_logs(
+    "SELECT log_id, coalesce(template, '') AS template, coalesce(src_ip, '') AS src_ip, has_network_info, "
+    "CASE log_type WHEN 'syslog' THEN 4 WHEN 'apache_access' THEN 7 WHEN 'firewall' THEN 1 WHEN 'cisco_syslog' THEN 5 "
+    "WHEN 'windows_event' THEN 3 WHEN 'docker' THEN 2 WHEN 'json' THEN 2 ELSE 0 END AS n_metadata, "
+    "CASE log_type WHEN 'syslog' THEN 6 WHEN 'apache_access' THEN 10 WHEN 'firewall' THEN 7 WHEN 'cisco_syslog' THEN 7 "
+    "WHEN 'windows_event' THEN 6 WHEN 'docker' THEN 5 WHEN 'json' THEN 5 ELSE 0 END AS n_fields FROM logs_n"))
+def query_response(spark, sf_dir):
+    """The response of every row, with its defaults."""
+    out = Q.respond(tables.logs(spark, sf_dir))
+    ni = F.from_json("network_info", "src_ip string")
+    return out.select("log_id", F.coalesce("template", F.lit("")).alias("template"),
+                      F.coalesce(ni["src_ip"], F.lit("")).alias("src_ip"), (F.col("network_info") != "{}").alias("has_network_info"),
+                      F.size("metadata").alias("n_metadata"), F.size("parsed_fields").alias("n_fields"))
+
+
+@register("query_deep_page", with_logs(
+    f"SELECT {', '.join(_PAGE_COLS)} FROM logs_n WHERE log_type <> 'firewall' {_ORDER} LIMIT 50 OFFSET 4321"))
+def query_deep_page(spark, sf_dir):
+    """A page far behind, read from its dates alone."""
+    logs = tables.logs(spark, sf_dir)
+    rows = logs.where("log_type <> 'firewall'")
+    return Q.deep_page(rows, Q.LogQuery(limit=50, offset=4321)).select(*_PAGE_COLS)
+
+
+@register("query_cursor_page", with_logs(
+    f"SELECT {', '.join(_PAGE_COLS)} FROM logs_n WHERE level = 'ERROR' {_ORDER} LIMIT 20 OFFSET 40"))
+def query_cursor_page(spark, sf_dir):
+    """The third page of 20, each from the last row of the one before."""
+    logs, cursor = tables.logs(spark, sf_dir), None
+    for _ in range(2):
+        last = Q.next_page(logs, Q.LogQuery(level="ERROR", limit=20), cursor).collect()[-1]
+        cursor = (last["timestamp"], last["log_id"])
+    return Q.next_page(logs, Q.LogQuery(level="ERROR", limit=20), cursor).select(*_PAGE_COLS)
+
+
 @register("query_total", with_logs(
     "SELECT count(*) AS total_count FROM logs_n WHERE level = 'ERROR' AND "
     "regexp_matches(source, '(?i)host-1')"))
@@ -380,6 +426,25 @@ def template_summary(spark, sf_dir):
     return S.template_summary(template_stats(_logs(spark, sf_dir)), AS_OF)
 
 
+@register("template_summary_anomalous", over(_with_templates(
+    f"SELECT count(*) AS total_templates, count(*) FILTER (WHERE last_seen >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR) "
+    "AS active_templates, count(*) FILTER (WHERE template_id IN (SELECT template_id FROM hits)) AS anomalous_templates, "
+    "CAST(round(avg(count)) AS BIGINT) AS avg_count FROM templates").replace("templates AS (", f"""hits AS (
+  SELECT template_id FROM (SELECT template_id, count(*) FILTER (WHERE timestamp < TIMESTAMP '{AS_OF}' - INTERVAL 2 HOUR) AS h,
+    count(*) FILTER (WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 2 HOUR) AS r FROM logs_n
+    WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY 1)
+  WHERE h > 0 AND h <= (SELECT quantile_cont(h, 0.05) FROM (SELECT count(*) AS h FROM logs_n WHERE
+      timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND timestamp < TIMESTAMP '{AS_OF}' - INTERVAL 2 HOUR GROUP BY template_id))
+    AND r > 3 * (SELECT quantile_cont(h, 0.05) FROM (SELECT count(*) AS h FROM logs_n WHERE
+      timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND timestamp < TIMESTAMP '{AS_OF}' - INTERVAL 2 HOUR GROUP BY template_id))),
+templates AS (""", 1), tables.replayed_sql(REPLAY_DAY), "logs_r"))
+def template_summary_anomalous(spark, sf_dir):
+    """The summary with the templates that the rare-template detector found."""
+    logs = _replay(spark, sf_dir)
+    hits = D.detect_rare_templates(logs, AS_OF, 24, history_before=True)
+    return S.template_summary(template_stats(logs), AS_OF, hits)
+
+
 @register("template_timeline", with_logs(
     "SELECT template_id, CAST(timestamp AS DATE) AS date, count(*) AS count FROM logs_n "
     "GROUP BY 1, 2"))
@@ -861,6 +926,79 @@ def collector_ingest(spark, sf_dir):
     return logs.select("ingest_seq", "timestamp", "source", "level", "message", "log_type")
 
 
+@register("entry_ingest", with_logs(
+    f"""SELECT ingest_seq, CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-02-02 00:00:00' ELSE timestamp END AS timestamp,
+       CASE WHEN event_id % 4 = 0 THEN 'NOTICE' ELSE level END AS level, message, source, log_type FROM logs_n"""))
+def entry_ingest(spark, sf_dir):
+    """Single entries from every event; given time and level win over the parsed ones."""
+    lines = EL.raw_lines(spark, sf_dir)
+    i = F.col("event_id")
+    entries = lines.select(
+        F.col("event_id").alias("ingest_seq"), F.col("line").alias("message"), "source",
+        F.when(i % 3 == 0, F.lit("2024-02-02 00:00:00").cast("timestamp")).alias("timestamp"),
+        F.when(i % 4 == 0, F.lit("NOTICE")).alias("level"), F.lit(None).cast("map<string,string>").alias("metadata"),
+        "ingest_ts")
+    return ST.entries_to_logs(entries, ingest_ts=F.col("ingest_ts")).select(
+        "ingest_seq", "timestamp", "level", "message", "source", "log_type")
+
+
+@register("json_log_filter", with_logs(
+    """SELECT event_id, CASE WHEN j THEN json_extract_string(line, '$.message') END AS message,
+       CASE WHEN j THEN coalesce(json_extract_string(line, '$.tag'), 'app') ELSE 'app' END AS tag,
+       CASE WHEN j THEN json_extract_string(line, '$.src_ip') END AS src_ip, line AS log FROM t""",
+    """t AS (SELECT event_id, CASE WHEN event_id % 16 = 5 THEN replace(line, '"k":', '"tag":') ELSE line END AS line,
+       starts_with(stripped, '{') AND json_valid(line) AS j FROM l0)"""))
+def json_log_filter(spark, sf_dir):
+    """Records whose key ``log`` holds a JSON object get its fields, which win
+    (some carry a tag of their own); the key stays."""
+    line = F.when(F.col("event_id") % 16 == 5, F.replace("line", F.lit('"k":'), F.lit('"tag":'))).otherwise(F.col("line"))
+    recs = EL.raw_lines(spark, sf_dir).select(
+        "event_id", F.create_map(F.lit("log"), line, F.lit("tag"), F.lit("app")).alias("record"))
+    r = F.col("record")
+    return ST.json_log_filter(recs).select("event_id", *[r[k].alias(k) for k in ("message", "tag", "src_ip", "log")])
+
+
+@register("container_times", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE "
+          "date_trunc('second', ts) + to_milliseconds(event_id % 1000) END AS time FROM events")
+def container_times(spark, sf_dir):
+    """The container parser's time of every event (some are no times)."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = F.when(F.col("event_id") % 5 == 0, "no time").otherwise(F.concat(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"),
+        F.lit("456789Z")))
+    return ev.select("event_id", ST.container_time(F.create_map(F.lit("time"), text)).alias("time"))
+
+
+_AGENT_LINES = "raw_lines AS (SELECT event_id, ts, source, line || CASE WHEN event_id % 3 = 0 THEN ' \"-\" \"agent/' || CAST(event_id % 7 AS VARCHAR) || '\"' ELSE '' END AS line FROM (" + EL.raw_lines_sql("duckdb", "events") + "))"
+
+
+@register("access_user_agents", with_logs(
+    "SELECT ingest_seq, log_type, apache_access__user_agent IS NOT NULL AS has_user_agent, apache_access__user_agent AS user_agent "
+    "FROM logs_n WHERE log_type = 'apache_access'", lines=_AGENT_LINES))
+def access_user_agents(spark, sf_dir):
+    """Access lines with and without an agent keep one label; the agent is a flag."""
+    from ..operators.parse import parse_lines
+    i = F.col("event_id")
+    agent = F.when(i % 3 == 0, F.concat(F.lit(' "-" "agent/'), (i % 7).cast("string"), F.lit('"'))).otherwise("")
+    parsed = parse_lines(EL.raw_lines(spark, sf_dir).withColumn("line", F.concat("line", agent)).drop("ts", "event_id"))
+    ua = F.col("metadata")["user_agent"]
+    return parsed.where("log_type = 'apache_access'").select("ingest_seq", "log_type", ua.isNotNull().alias("has_user_agent"),
+                                                           ua.alias("user_agent"))
+
+
+@register("parse_errors", "SELECT event_id, 'windows_event' AS log_type, d < 1 OR d > 31 AS parse_error, "
+          "CASE WHEN d BETWEEN 1 AND 31 THEN TIMESTAMP '2024-01-01 10:00:00' + to_days(CAST(d - 1 AS INTEGER)) ELSE ts END AS timestamp "
+          "FROM (SELECT event_id, ts, event_id % 40 AS d FROM events)")
+def parse_errors(spark, sf_dir):
+    """Lines whose time is none are flagged and keep the ingest time."""
+    from ..operators.parse import parse_lines
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    line = F.concat(F.lit("2024-01-"), F.lpad((F.col("event_id") % 40).cast("string"), 2, "0"),
+                    F.lit(" 10:00:00 INFO 4001 svc-x "), "event_type")
+    lines = ev.select("event_id", line.alias("line"), F.col("ts").cast("timestamp").alias("ingest_ts"), F.lit("s").alias("source"))
+    return parse_lines(lines).select("event_id", "log_type", "parse_error", "timestamp")
+
+
 # ------------------------------------------------------------- streaming --
 import uuid  # noqa: E402
 
@@ -1213,6 +1351,14 @@ def logs_with_files(spark, sf_dir):
             .select("log_id", "template_id", "original_filename", "status", "template_count"))
 
 
+@register("anomalies_recent", f"SELECT * FROM ({_anomalies_all_sql(24 * 31)}) WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 600 HOUR")
+def anomalies_recent(spark, sf_dir):
+    """Anomalies of the last 25 days out of the 31-day run."""
+    logs = _logs(spark, sf_dir)
+    an = D.run_detection(logs, template_stats(logs), AS_OF, 24 * 31, include_ml=False)
+    return D.recent_anomalies(an, AS_OF, 600).select(*_ANOM_COLS)
+
+
 @register("anomaly_report", f"""SELECT strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp,
        anomaly_type AS type, severity, description, score
 FROM ({_anomalies_all_sql(24 * 31)})""")

@@ -183,4 +183,6 @@ def flat(logs_df: DataFrame) -> DataFrame:
         n["src_port"].alias("src_port"), n["dst_port"].alias("dst_port"),
         n["protocol"].alias("protocol"), n["ports"].alias("ports"),
         n["protocols"].alias("protocols"), n["mac_addresses"].alias("mac_addresses"),
-        n.isNotNull().alias("has_network_info"), *extra)
+        n.isNotNull().alias("has_network_info"), *extra,
+        # Q8: access lines with an agent keep the one label
+        ((F.col("log_type") == "apache_access") & md["user_agent"].isNotNull()).alias("has_user_agent"))
