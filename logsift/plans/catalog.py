@@ -200,6 +200,14 @@ for _name, (_lq, _where) in _SEARCHES.items():
         f"LIMIT {_lq.limit} OFFSET {_lq.offset}"))(_search_query(_lq))
 
 
+@register("query_text_indexed", with_logs(
+    "SELECT log_id, message FROM logs_n WHERE regexp_matches(message, '(?i)took 1[0-9]*2 ms') "
+    "OR regexp_matches(source, '(?i)took 1[0-9]*2 ms')"))
+def query_text_indexed(spark, sf_dir):
+    """A regular expression over the files that the trigram index names."""
+    return tables.text_index(spark, sf_dir).search("took 1[0-9]*2 ms").select("log_id", "message")
+
+
 @register("query_named_fields", with_logs(
     "SELECT log_id, log_type FROM logs_n WHERE (apache_access__method = 'GET' AND apache_access__status = '500') "
     "OR cisco_syslog__severity = '3' OR lower(coalesce(syslog__program, cisco_syslog__facility)) = 'error'"))

@@ -142,6 +142,16 @@ logs_r AS (SELECT * EXCLUDE (level), CASE WHEN hour(timestamp) = 20 AND event_id
     WHEN event_id % 25 = 0 THEN 'WARN' ELSE 'INFO' END AS level FROM r1)"""
 
 
+def text_index(spark: SparkSession, sf_dir: str):
+    """The trigram index of the stored logs' messages and sources, up to date."""
+    from ..operators.text_index import TextIndex
+    logs(spark, sf_dir)
+    path = stored_logs_path(spark, sf_dir)
+    index = TextIndex(spark, path, path + "-text", ("message", "source"))
+    index.refresh()
+    return index
+
+
 def write_logs(df: DataFrame, path: str) -> None:
     """Append-free full write, partitioned by event date; rows are
     sorted by time inside each file so parquet min/max statistics make time
