@@ -653,6 +653,59 @@ def _silence(hours, logs=_logs):
 register("anomaly_source_silence", _on_replay(_silence_sql(24)))(_silence(24, _replay))
 
 
+# --------------------------------------------------------------- rollups --
+from ..operators import rollup as RU  # noqa: E402
+
+
+@register("rollup_level_hours", with_logs(
+    "SELECT date_trunc('hour', timestamp) AS hour, level, count(*) AS count FROM logs_n GROUP BY 1, 2"))
+def rollup_level_hours(spark, sf_dir):
+    """A2/A18 by hour, from the rollup alone."""
+    return RU.level_counts(tables.rollup(spark, sf_dir), "hour")
+
+
+@register("rollup_file_stats", with_logs(
+    """SELECT file_id, count(*) AS total_logs, count(*) FILTER (WHERE level = 'ERROR') AS error_count, min(timestamp) AS earliest,
+       max(timestamp) AS latest, round(100.0 * count(*) FILTER (WHERE level = 'ERROR') / count(*), 2) AS error_rate,
+       true AS templates_close, true AS sources_close FROM logs_n GROUP BY file_id"""))
+def rollup_file_stats(spark, sf_dir):
+    """A8-A12 from the rollup; distinct counts within four standard errors of the exact ones."""
+    exact = _logs(spark, sf_dir).groupBy("file_id").agg(F.countDistinct("template_id").alias("t"), F.countDistinct("source").alias("s"))
+    out = RU.file_stats(tables.rollup(spark, sf_dir)).join(exact, "file_id")
+
+    def close(a, b):
+        return (F.abs(F.col(a) - F.col(b)) <= 0.0326 * F.col(b)).alias
+    return out.select("file_id", "total_logs", "error_count", "earliest", "latest", "error_rate",
+                      close("unique_templates", "t")("templates_close"), close("unique_sources", "s")("sources_close"))
+
+
+@register("rollup_file_network", with_logs(
+    """SELECT n.file_id, n.rows AS logs_with_network_info, true AS protocols_close, true AS ips_close
+       FROM (SELECT file_id, count(*) AS rows FROM logs_n WHERE has_network_info GROUP BY file_id) n"""))
+def rollup_file_network(spark, sf_dir):
+    """A9 from the rollup; distinct counts within four standard errors of the exact ones."""
+    exact = S.file_network(_logs(spark, sf_dir)).select("file_id", F.col("unique_protocols").alias("p"), F.col("unique_ips").alias("i"))
+    out = RU.file_network(tables.rollup(spark, sf_dir)).join(exact, "file_id")
+    return out.select("file_id", "logs_with_network_info",
+                      (F.abs(F.col("unique_protocols") - F.col("p")) <= 0.0326 * F.col("p")).alias("protocols_close"),
+                      (F.abs(F.col("unique_ips") - F.col("i")) <= 0.0326 * F.col("i")).alias("ips_close"))
+
+
+@register("rollup_response_times", with_logs(
+    r"""SELECT file_id, count(*) AS timed, sum(ms) / count(*) AS mean_ms, true AS p50_close, true AS p99_close
+       FROM (SELECT file_id, TRY_CAST(regexp_extract(message, 'took (\d+) ms', 1) AS DOUBLE) AS ms FROM logs_n)
+       WHERE ms IS NOT NULL GROUP BY file_id"""))
+def rollup_response_times(spark, sf_dir):
+    """C1 quantiles from the histogram, within a bin of the exact ones."""
+    ms = F.regexp_extract("message", S.RESPONSE_TIME_RE, 1).try_cast("double")
+    exact = _logs(spark, sf_dir).select("file_id", ms.alias("ms")).groupBy("file_id").agg(
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ms)").alias("m"),
+        F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY ms)").alias("h"))
+    out = RU.response_times(tables.latency(spark, sf_dir), "file_id").join(exact, "file_id")
+    return out.select("file_id", "timed", "mean_ms", (F.abs(F.col("p50_ms") - F.col("m")) <= 0.01 * F.col("m")).alias("p50_close"),
+                      (F.abs(F.col("p99_ms") - F.col("h")) <= 0.01 * F.col("h")).alias("p99_close"))
+
+
 # ------------------------------------------------------- template mining --
 from ..operators import mining as T  # noqa: E402
 

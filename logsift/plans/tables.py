@@ -142,6 +142,18 @@ logs_r AS (SELECT * EXCLUDE (level), CASE WHEN hour(timestamp) = 20 AND event_id
     WHEN event_id % 25 = 0 THEN 'WARN' ELSE 'INFO' END AS level FROM r1)"""
 
 
+def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored hourly rollup of the logs (``operators.rollup``)."""
+    from ..operators.rollup import build
+    return stored(spark, "rollup", [f"{sf_dir}/events.parquet"], lambda: build(logs(spark, sf_dir)), "event_date")
+
+
+def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored hourly histogram of response times."""
+    from ..operators.rollup import build_latency
+    return stored(spark, "latency", [f"{sf_dir}/events.parquet"], lambda: build_latency(logs(spark, sf_dir)), "event_date")
+
+
 def text_index(spark: SparkSession, sf_dir: str):
     """The trigram index of the stored logs' messages and sources, up to date."""
     from ..operators.text_index import TextIndex
