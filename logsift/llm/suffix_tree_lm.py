@@ -507,7 +507,7 @@ def _asked(order: int, ranges: int, shared):
         rows, bits = shared.value
         table_ = _frequent(rows)
         task = TaskContext.get().partitionId() << 24
-        for i, (held, tokens, sizes) in enumerate(_chunks(batches)):
+        for i, (held, tokens, sizes) in enumerate(_chunks(batches, CHUNK // 2)):     # beside the table of values
             m = len(sizes)
             text = np.repeat(np.arange(m, dtype=np.int32), sizes)
             sums = np.zeros((3, m))
