@@ -18,7 +18,8 @@ share of toxic neighbours (fourth power of the similarity over all words, where
 half of a text's weight in common says little),
 classes weighted back to their share among all labelled rows and shrunk
 towards the rate among examples without any vocabulary term; a document
-without a neighbour gets that rate.  ``evidence`` lists its nearest examples.
+without a neighbour gets that rate.  A row's own example is none of its
+neighbours.  ``evidence`` lists its nearest examples.
 
 Edge cases: null and empty texts have no term and get the base rate; null or
 repeated labels are dropped or merged (toxic if any row says so); without
@@ -149,15 +150,23 @@ class WholeIndex:
 
     def _weights(self, counts: Counter):
         """(ids in order, weights, norm with the words that no example has)"""
-        known = sorted((self.vocab[w], n) for w, n in counts.items() if w in self.vocab)
-        ids = np.array([i for i, _ in known], np.int64)
-        w = (1 + np.log(np.array([n for _, n in known], float))) * self.idf[ids]
-        other = sum((1 + math.log(n)) ** 2 for x, n in counts.items() if x not in self.vocab) * self.unseen ** 2
-        return ids, w, math.sqrt((w * w).sum() + other) or 1.0
+        return self.weights_of({self.vocab[w]: n for w, n in counts.items() if w in self.vocab},
+                               [n for w, n in counts.items() if w not in self.vocab])
+
+    def weights_of(self, known: dict[int, int], other: list[int]):
+        """The same from counts by word id and those of the words that no example has."""
+        ids = np.fromiter(known, np.int64, len(known))
+        order = np.argsort(ids)
+        ids = ids[order]
+        w = (1 + np.log(np.fromiter(known.values(), float, len(known))[order])) * self.idf[ids]
+        rest = ((1 + np.log(np.array(other, float))) ** 2).sum() * self.unseen ** 2 if other else 0.0
+        return ids, w, math.sqrt((w * w).sum() + rest) or 1.0
 
     def search(self, counts: Counter, k: int) -> list[tuple[float, int]]:
         """The k examples of largest cosine, at least ``NEAR``: [(cosine, example)]."""
-        ids, w, norm = self._weights(counts)
+        return self.nearest(*self._weights(counts), k)
+
+    def nearest(self, ids, w, norm, k: int) -> list[tuple[float, int]]:
         w = w / norm
         if (w * w).sum() < NEAR * NEAR - 1e-6:
             return []
@@ -191,11 +200,19 @@ class Model:
         self.toxic = [e[1] for e in examples]
         self.index = BlockMaxIndex([e[2] for e in examples], len(vocab)) if examples else None
 
-    def score(self, counts, text=None):
-        near = self.index.search(*_vector(counts, self.idf), K) if counts and self.index else []
-        votes = [(s, s, self.toxic[e], self.doc_ids[e]) for s, e in near]
+        self.rows_of = Counter(self.whole_ids)
+
+    def score(self, counts, text=None, own=None, found=None):
+        """``own``: the row's id, whose examples have no vote, so that no label is
+        an input of its own score; ``found``: the words of ``text`` as
+        ``weights_of`` takes them, where they are known."""
+        k = K + self.rows_of.get(own, 0)
+        near = self.index.search(*_vector(counts, self.idf), k) if counts and self.index else []
+        votes = [(s, s, self.toxic[e], self.doc_ids[e]) for s, e in near if own is None or self.doc_ids[e] != own][:K]
         if self.whole and text:
-            votes += [(s ** 4, s, self.whole_toxic[e], self.whole_ids[e]) for s, e in self.whole.search(words(text), K)]
+            near = self.whole.nearest(*self.whole.weights_of(*found), k) if found else self.whole.search(words(text), k)
+            votes += [(s ** 4, s, self.whole_toxic[e], self.whole_ids[e]) for s, e in near
+                      if own is None or self.whole_ids[e] != own][:K]
         total, toxic = SHRINK, SHRINK * self.base
         for v, _, y, _ in votes:
             total += v * self.weight[y]
@@ -281,12 +298,45 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(vocab, idf, examples, base, weight, whole)
 
 
+class _Words(dict):
+    """token -> (word, its id among the examples' words or -1, its lexicon terms);
+    a bounded table per worker."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.terms = model.vocab
+        self.words = model.whole.vocab if model.whole else {}
+
+    def __missing__(self, token):
+        word = token.strip(EDGE)
+        v = word, self.words.get(word, -1), tuple(self.terms[t] for t in terms_of(token) if t in self.terms)
+        if len(self) < MAX_CACHED:
+            self[token] = v
+        return v
+
+    def of(self, text: str | None):
+        """Counts of lexicon terms, and of words by id and of those without one."""
+        terms, known, other = Counter(), {}, {}
+        for token, n in Counter((text or "").lower().split()).items():
+            word, i, ids = self[token]
+            if i >= 0:
+                known[i] = known.get(i, 0) + n
+            elif word:
+                other[word] = other.get(word, 0) + n
+            for t in ids:
+                terms[t] += n
+        return terms, (known, list(other.values()))
+
+
 def _scored(shared):
     def run(it):
         model = shared.value
-        lookup = _Lookup(model.vocab)
+        lookup = _Words(model)
         for b in it:
-            out = [model.score(lookup.counts(t), t) for t in b.column(0).to_pylist()]
+            out = []
+            for text, own in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                terms, found = lookup.of(text)
+                out.append(model.score(terms, text, own, found))
             yield pa.RecordBatch.from_arrays(
                 [b.column(1), pa.array([s for s, _ in out], pa.float64()),
                  pa.array([e for _, e in out], pa.list_(pa.int64()))], names=["row", "score", "evidence"])
@@ -297,7 +347,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, anything else) -> row (all input columns as a
     struct), score, evidence (doc_ids of the nearest examples)."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    rows = docs.select("text", F.struct("*").alias("row"))
+    rows = docs.select("text", F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_scored(model), f"row {kind}, score double, evidence array<long>")
 

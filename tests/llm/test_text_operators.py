@@ -266,6 +266,26 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_score_does_not_depend_on_the_rows_own_label(spark):
+    prepare(spark)
+    rng = random.Random(4)
+    bad = ["scum", "vile"]
+    docs = [(i, " ".join(rng.choice(["red", "tree", "walk", "stone", "river"] + (bad * 3 if i % 3 == 0 else [])) for _ in range(25)))
+            for i in range(120)]
+    train = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 4 != 2]
+    lone = train[7]
+    docs = [(i, "only here stands this text of its own") if i == lone else (i, t) for i, t in docs]
+    d = spark.createDataFrame(docs + [docs[lone]], "doc_id long, text string")
+    found = []
+    for own in (0, 1):
+        y = spark.createDataFrame([(i, own if i == lone else int(i % 3 == 0)) for i in train], "doc_id long, toxic int")
+        out = [r for r in toxicity.score(d, y).collect() if r["row"]["doc_id"] == lone]
+        assert all(lone not in r["evidence"] for r in out) and len(out) == 2
+        found.append(out[0]["score"])
+    # the label still counts in the rate of all rows, not as the row's neighbour
+    assert abs(found[0] - found[1]) < 0.05
+
+
 def test_revisits(spark):
     prepare(spark)
     h = {"etag": "e", "server": "s", "date": "1"}
