@@ -44,9 +44,16 @@ def _fs_path(spark: SparkSession, path: str):
 
 
 def _input_signature(spark: SparkSession, path: str) -> str:
+    """What changes when a file, or any file of a folder, is replaced."""
     fs, p = _fs_path(spark, path)
     st = fs.getFileStatus(p)
-    return f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}"
+    size, latest, n = st.getLen(), st.getModificationTime(), 1
+    if st.isDirectory():
+        files, n = fs.listFiles(p, True), 0
+        while files.hasNext():
+            f = files.next()
+            size, latest, n = size + f.getLen(), max(latest, f.getModificationTime()), n + 1
+    return f"{st.getPath().toString()}:{size}:{latest}:{n}"
 
 
 def stored_logs_path(spark: SparkSession, sf_dir: str) -> str:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..operators.parse import parse_lines
 from ..operators.templates import assign_exact_templates
 from ..schema import COLLECTOR_SCHEMA
+from ..sources.fs import names
 from ..sources.sinks import append_logs
 from ..sources.structured import collector_to_entries, entries_to_logs
 from ..sources.text_files import tail_lines
@@ -102,12 +103,9 @@ def live_feed(logs_stream: DataFrame, feed_path: str, checkpoint: str, keep: int
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prev = None
-        if batch_id > 0:
-            try:
-                prev = spark.read.parquet(f"{feed_path}/batch={batch_id - 1}")
-            except Exception:  # noqa: BLE001 - no earlier feed yet
-                prev = None
+        # the feed of the batch before; only a folder that isn't there counts as none
+        before = f"{feed_path}/batch={batch_id - 1}"
+        prev = spark.read.parquet(before) if names(spark, before) else None
         cols = ["log_id", "timestamp", "level", "message", "source"]
         cur = batch.select(*cols)
         if prev is not None:
