@@ -10,7 +10,7 @@
    quarter of the sample needs for ``RECALL`` - and meets their blocks; each block returns its five nearest by exact cosine in double
    precision, equal values by smaller vec_id, and the best five of these stay.
 
-Recall against brute force is measured in tests/llm/test_ann.py (at least 0.9).
+Recall against brute force is measured in tests/llm/test_text_operators.py (at least 0.9).
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or
 have another length than most of the sample take no part; rows that repeat a

@@ -4,7 +4,7 @@ The vocabulary's pre-tokeniser never joins characters across the boundary
 before ``' x'`` or around a run of white space, so a text can be cut there and
 each chunk encoded by itself; chunks repeat, so their ids are kept in a bounded
 table per Python worker.  The ids equal the ``tokenizers`` library's
-(tests/llm/test_packing.py compares them).
+(tests/llm/test_text_operators.py compares them).
 """
 
 from __future__ import annotations
