@@ -80,17 +80,18 @@ def grow(features: DataFrame, n_trees: int, psi: int, seed: int) -> DataFrame:
         return (f"(cast(conv(substring(md5(concat_ws('|', '{seed}', '{kind}', cast(tree AS string), cast(node AS string))), "
                 f"1, {DIGITS}), 16, 10) AS double) / {16 ** DIGITS}D)")
 
+    own = "(PARTITION BY tree, node)"
+    ranges = bounds.replace("OVER own", f"OVER {own}")
     for depth in range(limit + 1):
-        own = "(PARTITION BY tree, node)"
-        rows = rows.selectExpr("*", f"count(1) OVER {own} AS size", f"array({bounds.replace('OVER own', 'OVER ' + own)}) AS ranges")
-        rows = rows.selectExpr("*", f"CASE WHEN node IS NOT NULL AND {depth} < {limit} AND size > 1 "
-                                    "THEN filter(ranges, b -> b.hi > b.lo) END AS usable")
-        rows = rows.selectExpr("*", f"get(usable, cast(floor({u('f')} * size(usable)) AS int)) AS b")
-        rows = rows.selectExpr("*", f"b.lo + {u('t')} * (b.hi - b.lo) AS threshold")
-        step = f"array(struct(node, b.f AS feature, threshold, size, {depth} AS depth))"
-        rows = rows.selectExpr(
-            "tree", "x", f"CASE WHEN node IS NOT NULL THEN concat(path, {step}) ELSE path END AS path",
-            "CASE WHEN b.f IS NOT NULL THEN 2 * node + CASE WHEN get(x, b.f) < threshold THEN 0 ELSE 1 END END AS node")
+        # later columns of the second list refer to earlier ones; node and path are those of the level above
+        rows = rows.selectExpr("tree", "x", "path", "node", f"count(1) OVER {own} AS size", f"array({ranges}) AS ranges").selectExpr(
+            "tree", "x",
+            f"CASE WHEN node IS NOT NULL AND {depth} < {limit} AND size > 1 THEN filter(ranges, b -> b.hi > b.lo) END AS usable",
+            f"get(usable, cast(floor({u('f')} * size(usable)) AS int)) AS split",
+            f"split.lo + {u('t')} * (split.hi - split.lo) AS threshold",
+            f"CASE WHEN node IS NOT NULL THEN concat(path, array(struct(node, split.f AS feature, threshold, size, {depth} AS depth))) "
+            "ELSE path END AS path",
+            "CASE WHEN split.f IS NOT NULL THEN 2 * node + CASE WHEN get(x, split.f) < threshold THEN 0 ELSE 1 END END AS node")
     return rows.select("tree", F.explode("path").alias("p")).select("tree", "p.*").distinct()
 
 
