@@ -49,8 +49,10 @@ BLOCK = 64
 SHRINK = 0.5
 THRESHOLD = 0.3
 NEAR = 0.5                 # cosine over all words from which an example votes
+LEFT = 0.4                 # norm of the frequent words that only the examples in reach are compared by
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 MAX_CACHED = 300_000
+GROUP = 1 << 17             # tokens of the texts that are looked up together
 
 
 def terms_of(word: str) -> tuple[str, ...]:
@@ -157,9 +159,12 @@ class WholeIndex:
         """The same from counts by word id and those of the words that no example has."""
         ids = np.fromiter(known, np.int64, len(known))
         order = np.argsort(ids)
-        ids = ids[order]
-        w = (1 + np.log(np.fromiter(known.values(), float, len(known))[order])) * self.idf[ids]
-        rest = ((1 + np.log(np.array(other, float))) ** 2).sum() * self.unseen ** 2 if other else 0.0
+        return self.weights_by_id(ids[order], np.fromiter(known.values(), float, len(known))[order], np.array(other, float))
+
+    def weights_by_id(self, ids: np.ndarray, n: np.ndarray, other: np.ndarray):
+        """The same from ids in order with their counts."""
+        w = (1 + np.log(n)) * self.idf[ids]
+        rest = ((1 + np.log(other)) ** 2).sum() * self.unseen ** 2
         return ids, w, math.sqrt((w * w).sum() + rest) or 1.0
 
     def search(self, counts: Counter, k: int) -> list[tuple[float, int]]:
@@ -170,9 +175,9 @@ class WholeIndex:
         w = w / norm
         if (w * w).sum() < NEAR * NEAR - 1e-6:
             return []
-        # the words after the first m have at most half of NEAR, so the first ones bound the cosine
+        # the words after the first m have at most LEFT, so the first ones bound the cosine
         left = np.sqrt(np.append(np.cumsum((w * w)[::-1])[::-1], 0.0))
-        m = int(np.argmax(left <= NEAR / 2))
+        m = int(np.argmax(left <= LEFT))
         lo, hi = self.starts[ids[:m]], self.starts[ids[:m] + 1]
         size = hi - lo
         at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -205,12 +210,12 @@ class Model:
     def score(self, counts, text=None, own=None, found=None):
         """``own``: the row's id, whose examples have no vote, so that no label is
         an input of its own score; ``found``: the words of ``text`` as
-        ``weights_of`` takes them, where they are known."""
+        ``weights_by_id`` takes them, where they are known."""
         k = K + self.rows_of.get(own, 0)
         near = self.index.search(*_vector(counts, self.idf), k) if counts and self.index else []
         votes = [(s, s, self.toxic[e], self.doc_ids[e]) for s, e in near if own is None or self.doc_ids[e] != own][:K]
         if self.whole and text:
-            near = self.whole.nearest(*self.whole.weights_of(*found), k) if found else self.whole.search(words(text), k)
+            near = self.whole.nearest(*self.whole.weights_by_id(*found), k) if found else self.whole.search(words(text), k)
             votes += [(s ** 4, s, self.whole_toxic[e], self.whole_ids[e]) for s, e in near
                       if own is None or self.whole_ids[e] != own][:K]
         total, toxic = SHRINK, SHRINK * self.base
@@ -298,34 +303,57 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(vocab, idf, examples, base, weight, whole)
 
 
-class _Words(dict):
-    """token -> (word, its id among the examples' words or -1, its lexicon terms);
-    a bounded table per worker."""
+class _Words:
+    """Per distinct token its word's id among the examples' words (words that no
+    example has: from -2 down, no word: -1) and its lexicon terms; a table per
+    worker, emptied when it holds ``MAX_CACHED`` tokens."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.terms = model.vocab
+        self.vocab = model.vocab
         self.words = model.whole.vocab if model.whole else {}
-
-    def __missing__(self, token):
-        word = token.strip(EDGE)
-        v = word, self.words.get(word, -1), tuple(self.terms[t] for t in terms_of(token) if t in self.terms)
-        if len(self) < MAX_CACHED:
-            self[token] = v
-        return v
-
-    def of(self, text: str | None):
-        """Counts of lexicon terms, and of words by id and of those without one."""
-        terms, known, other = Counter(), {}, {}
-        for token, n in Counter((text or "").lower().split()).items():
-            word, i, ids = self[token]
-            if i >= 0:
-                known[i] = known.get(i, 0) + n
-            elif word:
-                other[word] = other.get(word, 0) + n
-            for t in ids:
-                terms[t] += n
-        return terms, (known, list(other.values()))
+        self.clear()
+
+    def clear(self):
+        self.at, self.terms, self.other = {}, {}, {}
+        self.word = np.zeros(1 << 12, np.int64)
+        self.lexical = np.zeros(1 << 12, bool)
+
+    def hold(self, texts: list[list[str]]) -> None:
+        if len(self.at) > MAX_CACHED:
+            self.clear()
+        for token in set().union(*texts).difference(self.at):
+            i = self.at[token] = len(self.at)
+            if i == len(self.word):
+                self.word = np.concatenate([self.word, np.zeros_like(self.word)])
+                self.lexical = np.concatenate([self.lexical, np.zeros_like(self.lexical)])
+            word = token.strip(EDGE)
+            known = self.words.get(word) if word else -1
+            self.word[i] = -2 - self.other.setdefault(word, len(self.other)) if known is None else known
+            terms = [self.vocab[t] for t in terms_of(token) if t in self.vocab]
+            self.lexical[i] = bool(terms)
+            if terms:
+                self.terms[i] = terms
+
+    def of(self, tokens: list[str]):
+        """Counts of lexicon terms, and (ids, counts, counts of the words that no
+        example has)."""
+        at = np.fromiter(map(self.at.__getitem__, tokens), np.int64, len(tokens))
+        ids, n = np.unique(self.word[at], return_counts=True)
+        known = ids >= 0
+        terms = Counter(t for i in at[self.lexical[at]].tolist() for t in self.terms[i])
+        return terms, (ids[known], n[known].astype(float), n[ids < -1].astype(float))
+
+
+def _groups(texts: list[str | None]):
+    """The tokens of some texts at a time."""
+    group, n = [], 0
+    for text in texts:
+        group.append((text or "").lower().split())
+        n += len(group[-1])
+        if n >= GROUP:
+            yield group
+            group, n = [], 0
+    yield group
 
 
 def _scored(shared):
@@ -333,10 +361,12 @@ def _scored(shared):
         model = shared.value
         lookup = _Words(model)
         for b in it:
-            out = []
-            for text, own in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                terms, found = lookup.of(text)
-                out.append(model.score(terms, text, own, found))
+            out, own, texts = [], b.column(2).to_pylist(), b.column(0).to_pylist()
+            for group in _groups(texts):
+                lookup.hold(group)
+                for tokens in group:
+                    terms, found = lookup.of(tokens)
+                    out.append(model.score(terms, texts[len(out)], own[len(out)], found))
             yield pa.RecordBatch.from_arrays(
                 [b.column(1), pa.array([s for s, _ in out], pa.float64()),
                  pa.array([e for _, e in out], pa.list_(pa.int64()))], names=["row", "score", "evidence"])
