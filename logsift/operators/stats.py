@@ -266,13 +266,22 @@ def performance_buckets(logs: DataFrame, bucket_hours: int = 4) -> DataFrame:
                  F.count_if(F.col("level").isin(*K.CLIENT_ERROR_LEVELS)).alias("errors")))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation; NaN where one of the two never changes, so that its
+    spread is zero (the built-in one stops with a division by zero there)."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    spreads = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spreads == 0, F.lit(float("nan"))).otherwise(F.covar_pop(x, y) / spreads)
+
+
 def metric_correlation(hourly: DataFrame) -> DataFrame:
     """Pearson correlation of hourly volume and of hourly source count
     with the hourly error rate (one row)."""
     rate = F.col("n_errors") / F.col("n_logs")
     h = hourly.where(F.col("n_logs") > 0).withColumn("error_rate", rate)
-    return h.agg(F.corr("n_logs", "error_rate").alias("corr_volume_error_rate"),
-                 F.corr("n_sources", "error_rate").alias("corr_sources_error_rate"))
+    return h.agg(correlation(F.col("n_logs"), F.col("error_rate")).alias("corr_volume_error_rate"),
+                 correlation(F.col("n_sources"), F.col("error_rate")).alias("corr_sources_error_rate"))
 
 
 def network_split(logs: DataFrame) -> DataFrame:
