@@ -1053,7 +1053,7 @@ def access_user_agents(spark, sf_dir):
 def parse_errors(spark, sf_dir):
     """Lines whose time is none are flagged and keep the ingest time."""
     from ..operators.parse import parse_lines
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = EL.events(spark, sf_dir)
     line = F.concat(F.lit("2024-01-"), F.lpad((F.col("event_id") % 40).cast("string"), 2, "0"),
                     F.lit(" 10:00:00 INFO 4001 svc-x "), "event_type")
     lines = ev.select("event_id", line.alias("line"), F.col("ts").cast("timestamp").alias("ingest_ts"), F.lit("s").alias("source"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..operators.parse import parse_lines
 from ..operators.templates import assign_exact_templates
 from ..session import configure, ensure_checkpoint_dir
-from ..sources.event_lines import raw_lines
+from ..sources.event_lines import raw_lines, spread
 
 # metadata keys surfaced as flat columns (name -> (log_type, key))
 META_COLUMNS = {
@@ -79,19 +79,6 @@ def stored(spark: SparkSession, name: str, inputs: list[str], build, partition_b
     return spark.read.parquet(path)
 
 
-def spread(df: DataFrame, order_by: str | None = None) -> DataFrame:
-    """Spread a small input over the cores before CPU-heavy work (large
-    inputs already arrive in many splits and are left alone).  With
-    ``order_by`` the rows are split into contiguous ranges of that column
-    (sampled bounds, so balanced whatever the key distribution): rows close
-    in arrival order, hence in time, stay together and a date-partitioned
-    write makes few files.  Without it, round-robin."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    return df.repartitionByRange(par, order_by) if order_by else df.repartition(par)
-
-
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored parsed-logs table for ``sf_dir`` (built on first use)."""
     configure(spark)
@@ -183,10 +170,7 @@ def build_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed logs from ``events``: one row per non-blank line (lazy plan)."""
     configure(spark)
     raw = raw_lines(spark, sf_dir).drop("ts")
-    # The parse is CPU-bound (regular expressions).  Large inputs arrive in
-    # many file splits; a small input that fits one split is spread
-    # round-robin over the cores first (no key, so no skew).
-    parsed = parse_lines(spread(raw, "ingest_seq"))
+    parsed = parse_lines(raw)
     out = assign_exact_templates(parsed)
     return out.select(
         F.concat(F.col("file_id"), F.lit("-"), F.col("ingest_seq").cast("string")).alias("log_id"),

@@ -49,15 +49,34 @@ def raw_lines_sql(dialect: str, table: str = "events") -> str:
     return RAW_LINES_SQL.format(tbl=table, **ph)
 
 
+ROWS_PER_TASK = 50_000
+
+
+def spread(df: DataFrame, *order_by: str) -> DataFrame:
+    """Spread rows over the cores before CPU-heavy work, about ``ROWS_PER_TASK``
+    to a task at most.  A split of a file holds whole row groups, so neither the
+    number of splits nor their bytes bound the rows of a task: one row group may
+    hold a whole table.  With ``order_by`` the rows are split into contiguous
+    ranges of those columns (sampled bounds, so balanced whatever the
+    distribution): rows close in time stay together and a date-partitioned write
+    makes few files.  Without it, round-robin."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))
+    return df.repartitionByRange(n, *order_by) if order_by else df.repartition(n)
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table in ranges of time, spread before its lines are made."""
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "event_id")
+
+
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns: event_id, ts, source, line, filename, file_id, ingest_seq, ingest_ts.
 
     ``ingest_ts`` (the time of lines that carry none) is the event time, and
     ``ingest_seq`` (arrival order) is the event id.
     """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     view = f"_events_{abs(hash(sf_dir))}"
-    events.createOrReplaceTempView(view)
+    events(spark, sf_dir).createOrReplaceTempView(view)
     df = spark.sql(raw_lines_sql("spark", view))
     filename = F.concat(F.lit("file-"), (F.col("event_id") % N_FILES).cast("string"), F.lit(".log"))
     return df.select(
