@@ -29,34 +29,46 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import odd_constants, rolling, signed, stage, table, word_hashes, words_of
+from .common import discard, odd_constants, rolling, rolling_at, signed, stage, table, word_hashes, words_of
 
 WINDOW = 13
 SEED = 6                    # words of a seed
-SPREAD = WINDOW - SEED      # words a window reaches past its seed on one side
+SPREAD = WINDOW - SEED      # words a window reaches past its seed on one side; one less than a power of two
 
 _C_SEED = odd_constants(1, SEED)
 _C_CTX = odd_constants(2, SEED + 2 * SPREAD)
 _C_W1, _C_W2 = odd_constants(3, WINDOW), odd_constants(4, WINDOW)
 
 
-def _seeds(text: str | None):
-    """Word hashes, and position, seed hash and extended-seed hash of each
-    selected seed; None for texts under one window."""
+def _selected(s: np.ndarray) -> np.ndarray:
+    """Positions of the least of every ``SPREAD + 1`` consecutive hashes, the
+    rightmost on ties.  The place in the window takes the low bits."""
+    m = len(s) - SPREAD
+    low = np.uint64(SPREAD)
+    high = s & ~low
+    least = high[:m] | low
+    for j in range(1, SPREAD + 1):
+        np.minimum(least, high[j:j + m] | np.uint64(SPREAD - j), out=least)
+    pos = np.arange(SPREAD, len(s)) - (least & low).astype(np.int64)
+    return pos[np.flatnonzero(np.diff(pos, prepend=-1))]     # they never go back
+
+
+def _seeds(text: str | None, extend: bool = True):
+    """Word hashes, and position, seed hash and (if asked for) extended-seed hash
+    of each selected seed; None for texts under one window."""
     words = words_of(text)
     if len(words) < WINDOW:
         return None
     h = word_hashes(words)
     s = rolling(h, _C_SEED)
-    view = sliding_window_view(s, SPREAD + 1)[:, ::-1]
-    pos = np.unique(np.arange(len(view)) + SPREAD - view.argmin(axis=1))
+    pos = _selected(s)
+    if not extend:
+        return words, h, pos, s[pos], None
     pad = np.zeros(SPREAD, np.uint64)   # beyond an end of the document
-    ctx = rolling(np.concatenate([pad, h, pad]), _C_CTX)
-    return words, h, pos, s[pos], ctx[pos]
+    return words, h, pos, s[pos], rolling_at(np.concatenate([pad, h, pad]), _C_CTX, pos)
 
 
 def _rows(it, columns, fn):
@@ -80,7 +92,7 @@ def _rows(it, columns, fn):
 
 def _seed_rows(it):
     def fn(_, text):
-        s = _seeds(text)
+        s = _seeds(text, extend=False)
         return s and (np.unique(s[3]),)
     return _rows(it, ["a"], fn)
 
@@ -106,7 +118,7 @@ def _window_rows(it):
     def fn(_, text, need):
         _, h, pos, _, c = _seeds(text)
         at = _aligned(h, pos[np.isin(signed(c), need)])
-        w1, w2 = rolling(h, _C_W1)[at], rolling(h, _C_W2)[at]
+        w1, w2 = rolling_at(h, _C_W1, at), rolling_at(h, _C_W2, at)
         _, first = np.unique(w1, return_index=True)
         return w1[first], w2[first]
     return _rows(it, ["w1", "w2"], fn)
@@ -151,7 +163,9 @@ def _shared_seeds(docs: DataFrame) -> DataFrame:
     found = a.join(both, "a").groupBy("doc_id").agg(
         F.collect_list("a").alias("shared"),
         F.collect_list(F.when(F.col("m") < F.col("doc_id"), F.col("a"))).alias("mine"))
-    return stage(found, "shared")
+    out = stage(found, "shared")
+    discard(a)
+    return out
 
 
 def _extended(docs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -162,12 +176,15 @@ def _extended(docs: DataFrame, shared: DataFrame) -> DataFrame:
     first = b.groupBy("a", "c").agg(F.min("doc_id").alias("m"))
     j = stage(b.join(first, ["a", "c"]).select(
         "doc_id", "a", "c", "later", (F.col("m") < F.col("doc_id")).alias("whole")), "resolved")
+    discard(b)
     open_seeds = j.where("later and not whole").select("a").distinct()
     need = j.where("not whole").join(open_seeds, "a", "left_semi").select(
         "doc_id", F.lit(None).cast("long").alias("whole"), F.col("c").alias("need"))
     done = j.where("whole").select("doc_id", F.col("c").alias("whole"), F.lit(None).cast("long").alias("need"))
-    return stage(done.union(need).groupBy("doc_id").agg(
+    out = stage(done.union(need).groupBy("doc_id").agg(
         F.collect_list("whole").alias("whole"), F.collect_list("need").alias("need")), "lists")
+    discard(j)
+    return out
 
 
 def _hits(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -177,8 +194,10 @@ def _hits(docs: DataFrame, lists: DataFrame) -> DataFrame:
               .mapInArrow(_window_rows, "doc_id long, w1 long, w2 long"), "windows")
     first = (w.groupBy("w1", "w2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x"))
              .where("m < x").select("w1", "w2", "m"))
-    return stage(w.join(first, ["w1", "w2"]).where("doc_id > m")
-                 .groupBy("doc_id").agg(F.collect_list("w1").alias("hits")), "hits")
+    out = stage(w.join(first, ["w1", "w2"]).where("doc_id > m")
+                .groupBy("doc_id").agg(F.collect_list("w1").alias("hits")), "hits")
+    discard(w)
+    return out
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -186,7 +205,9 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     struct), n_words, n_removed, kept_text (kept words joined by one space)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(
         "doc_id is not null and text is not null")
-    lists = _extended(slim, _shared_seeds(slim))
+    shared = _shared_seeds(slim)
+    lists = _extended(slim, shared)
+    discard(shared)
     marks = lists.select("doc_id", "whole").join(_hits(slim, lists), "doc_id", "full")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = rows.join(marks, "doc_id", "left").select("text", "row", "whole", "hits")
