@@ -1,10 +1,11 @@
-"""Seeds of the substring dedup against a brute force, and what it leaves on disk."""
+"""Seeds of the substring dedup against a brute force, and what the dedups leave on disk."""
 import os
 
 import numpy as np
 
 from logsift.llm import substring_dedup as S
 from logsift.llm.common import odd_constants, rolling, rolling_at
+from logsift.llm.line_dedup import line_dedup
 
 
 def _least(s):
@@ -38,3 +39,14 @@ def test_finished_tables_are_discarded(spark):
     left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
     assert left == {"lists", "hits"}
     assert {r.row.doc_id: (r.n_words, r.n_removed) for r in out.collect()} == {1: (40, 0), 2: (26, 25), 3: (0, 0)}
+
+
+def test_line_dedup_keeps_no_wide_tables(spark):
+    folder = spark.conf.get("spark.checkpoint.dir") + "/llm"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    a = "the quick brown fox jumps over the lazy dog near the river"
+    docs = spark.createDataFrame([(1, a + "\nalone here and now"), (2, a.replace("lazy", "lasy")), (3, None)], "doc_id long, text string")
+    out = line_dedup(docs)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert not left & {"lines", "classes", "near-words", "near-grams", "norms-words", "norms-grams"}
+    assert {r.row.doc_id: (r.n_lines, r.n_removed) for r in out.collect()} == {1: (2, 0), 2: (1, 1), 3: (0, 0)}
