@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import discard, release, stage, table
 
 META = "▁"
 MASK = 60
@@ -318,6 +318,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             .join(ids, "word").groupBy("did", "rid")
             .agg(F.collect_list("at").alias("at"), F.collect_list("ids").alias("ids")))
     rare = stage(rare, "rare")
+    # the packed documents go through the last shuffle: nothing else is left on disk by then
+    discard(words)
+    discard(ids)
+    release(spark)
     packed = src.mapInArrow(_packed(path, known), "doc_id long, did long, rid long, packed binary")
     return (packed.join(rare, ["did", "rid"], "left").select("doc_id", "packed", "at", "ids")
             .mapInArrow(_filled, "doc_id long, ids array<int>"))
